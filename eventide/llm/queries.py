@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash, tokenfile
 
-QUERIES = {"op3_simhash": simhash.op3_simhash}
+QUERIES = {
+    "op2_token_files": tokenfile.op2_token_files,
+    "op3_simhash": simhash.op3_simhash,
+    "op8_bpe_automaton": bpe.op8_bpe_automaton,
+}
 ORACLES: dict[str, str] = {}
 
 
