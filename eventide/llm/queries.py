@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, tokenfile
+from . import bpe, licenses, quality, simhash, tokenfile
 
 QUERIES = {
     "op2_token_files": tokenfile.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
+    "op5_licenses": licenses.op5_licenses,
+    "op7_quality": quality.op7_quality,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
 }
 ORACLES: dict[str, str] = {}
