@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality, simhash, tokenfile
+from . import bpe, licenses, pii, quality, simhash, tokenfile
 
 QUERIES = {
     "op2_token_files": tokenfile.op2_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_licenses": licenses.op5_licenses,
     "op7_quality": quality.op7_quality,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {}
 
