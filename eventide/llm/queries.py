@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, pii, quality, simhash, tokenfile
+from . import bpe, decontam, licenses, pii, quality, simhash, tokenfile, warc
 
 QUERIES = {
     "op2_token_files": tokenfile.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
+    "op4_decontamination": decontam.op4_decontamination,
     "op5_licenses": licenses.op5_licenses,
+    "op6_revisits": warc.op6_revisits,
     "op7_quality": quality.op7_quality,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
     "op10_pii": pii.op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE}
 
 
 def queries() -> dict:
