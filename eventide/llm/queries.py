@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, licenses, pii, quality, simhash, tokenfile, warc
+from . import bpe, decontam, html, licenses, pii, quality, simhash, tokenfile, warc
 
 QUERIES = {
     "op2_token_files": tokenfile.op2_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_revisits": warc.op6_revisits,
     "op7_quality": quality.op7_quality,
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
+    "op9_main_text": html.op9_main_text,
     "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE}
