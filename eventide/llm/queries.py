@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, pii, quality, simhash, tokenfile, warc
+from . import bpe, decontam, html, licenses, pii, quality, repeats, simhash, tokenfile, warc
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_token_files": tokenfile.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontamination": decontam.op4_decontamination,
