@@ -106,5 +106,104 @@ def near_duplicates(docs: DataFrame, width: int = 3, cell_limit: int = 64, id_co
     return prints.join(points, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
+    """Fingerprints of samples of a shingle set: each the bitwise majority of the three smallest values under one mixing."""
+    out = []
+    with np.errstate(over="ignore"):
+        for i in range(lanes):
+            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+            x ^= x >> np.uint64(29)
+            a, b, c = np.partition(x, 2)[:3] if len(x) > 2 else (x[0], x[0], x[-1])
+            out.append(int((a & b) | (a & c) | (b & c)))
+    return out
+
+
+def sketches(docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, same, fp, lanes) of each text with a word: a digest of its words, its fingerprint, those of its samples."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            words = (x.as_py() or b"").lower().split()
+            if not words:
+                continue
+            grams = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) or [b" ".join(words)]
+            hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
+            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(b" ".join(words), width), _lanes(hashes, lanes)))
+        cols = list(zip(*rows)) or [()] * 4
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes"])
+
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, "doc_id long, same binary, fp long, lanes array<long>")
+
+
+def _shingled(text: str, width: int) -> frozenset:
+    words = text.encode().lower().split()
+    return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 12, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (u, v), u > v, between ids of texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
+
+    A wider radius than two bits is reached by fingerprints of samples of the shingle set ("lanes"): texts
+    that share such a fingerprint, or whose whole fingerprints are within two bits in the grid, are candidates and
+    compared exactly. Texts with equal words are linked to the smallest id among them and stand for one. Up
+    to ``few`` texts that share a fingerprint are all compared; of more, each is compared to the smallest
+    id there and to the smallest of its salted share of about ``few``, so that work stays linear.
+    """
+    prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, id_col, text_col), "sketches")
+    first = prints.groupBy("same").agg(F.min("doc_id").alias("first"))
+    named = prints.join(first, "same")
+    copies = named.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    alone = named.where("doc_id = first").select("doc_id", "fp", "lanes")
+    keyed = alone.select("doc_id", F.posexplode("lanes").alias("lane", "key"))
+    size = keyed.groupBy("lane", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
+    held = materialize(keyed.join(size, ["lane", "key"]), "lanes")
+    small = held.where(F.col("n") <= few)
+    pairs = small.alias("a").join(small.alias("b"), F.expr("a.lane = b.lane and a.key = b.key and a.doc_id > b.doc_id")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
+    large = held.where(F.col("n") > few).withColumn("salt", F.pmod(F.xxhash64("doc_id", "lane"), F.ceil(F.col("n") / few)))
+    salted = large.groupBy("lane", "key", "salt").agg(F.min("doc_id").alias("near"))
+    stars = large.select(F.col("doc_id").alias("u"), F.col("low").alias("v")).unionByName(large.join(salted, ["lane", "key", "salt"]).select(F.col("doc_id").alias("u"), F.col("near").alias("v")))
+    points = alone.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    same_fp = alone.join(points, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    grid = links(points).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = materialize(pairs.unionByName(stars).unionByName(same_fp).unionByName(grid).where("u <> v").distinct(), "pairs")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cache: dict[str, frozenset] = {}
+
+        def grams(text: str) -> frozenset:
+            if text not in cache:
+                if len(cache) > 64:
+                    cache.clear()
+                cache[text] = _shingled(text, width)
+            return cache[text]
+
+        keep = []
+        for tu, tv in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
+            a, b = grams(tu), grams(tv)
+            common = len(a & b)
+            keep.append(common >= similarity * (len(a) + len(b) - common))
+        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both.select("u", "v", "tu", "tv"), run, "u long, v long").unionByName(copies).distinct()
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near duplicates: of each group linked by ``similar`` the row with the smallest id stays.
+
+    All columns stay. Texts without a word and rows without an id are in no group. Of rows with equal id and text
+    one stays; rows with one id and different texts are one document and go or stay together.
+    """
+    groups = connected(similar(docs, width, similarity, id_col=id_col, text_col=text_col))
+    gone = groups.where("node <> component").select(F.col("node").alias(id_col))
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    return left.dropDuplicates([id_col, text_col]) if repeated else left
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
