@@ -29,6 +29,8 @@ def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms
     parts = [r[0] for r in df.select(partition).distinct().orderBy(partition).limit(MAX_PARTITIONS + 1).collect()]
     if len(parts) > MAX_PARTITIONS:
         raise ValueError(f"more than {MAX_PARTITIONS} source partitions")
+    if not parts:
+        return df.withColumn("wm", F.lit(None).cast("long")).withColumn("status", F.lit("DISCARDED"))
     low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // chunks))
     held = df.withColumn("_chunk", F.floor((F.col(order[0]) - F.lit(low or 0)) / width))

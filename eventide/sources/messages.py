@@ -15,8 +15,8 @@ def read_topic(spark: SparkSession, topic: str, servers: str, startup: str = "ea
 
 def topic_envelope(df: DataFrame) -> DataFrame:
     """(seq, partition, headers, payload, event_time, key) of a Kafka frame; repeated headers keep the last value."""
-    pairs = F.transform(F.coalesce("headers", F.array()), lambda h: F.struct(h["key"], h["value"].cast("string")))
-    last = F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))))
+    last = F.expr("""aggregate(coalesce(headers, cast(array() AS array<struct<key:string,value:binary>>)), cast(map() AS map<string,string>),
+        (m, h) -> map_concat(map_filter(m, (k, v) -> k <> h.key), map(h.key, cast(h.value AS string))))""")
     return df.select(F.col("offset").alias("seq"), "partition", last.alias("headers"), F.col("value").cast("string").alias("payload"), F.col("timestamp").alias("event_time"), raw_key(F.col("key")).alias("the_key"))
 
 
