@@ -66,7 +66,12 @@ class Automaton:
             symbols[c] = symbols[a] + symbols[b]
             self.length[c] = len(symbols[c])
         self.size = size
-        self._table(symbols)
+        # a gadget adds arcs only where a path a, b is left by the merges before it
+        self.live = [True] * size
+        for age, (a, b) in enumerate(merges):
+            x, y, c = vocab[a], vocab[b], vocab[a + b]
+            self.live[c] = self.live[x] and self.live[y] and self.arc(x, y, age)
+        self._table({t: q for t, q in symbols.items() if self.live[t]})
         self.arcs = _Arcs(self)
 
     def _table(self, symbols: dict[int, tuple[int, ...]]) -> None:
@@ -107,11 +112,11 @@ class Automaton:
             self.next[state * 512 + symbol] = to
         return to
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state after token x has an arc labelled y."""
+    def arc(self, x: int, y: int, before: int = NEVER) -> bool:
+        """Whether the state after token x has an arc labelled y, by the gadgets of an age under ``before``."""
         if x == START:
             return True
-        limit_x = limit_y = NEVER
+        limit_x, limit_y = before, before - 1
         while True:
             age = self.cuts.get(x * self.size + y)
             if age is not None and age < limit_x and age <= limit_y:
