@@ -175,7 +175,10 @@ def _models(app: str) -> dict[str, tuple[boosting.Boosted, float]]:
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two columns more: base and spans, arrays of (kind, start, end), base spans first in spans."""
+    """docs with two columns more: base and spans, arrays of (kind, start, end), base spans first in spans.
+
+    Columns of docs by these names are replaced, and _t, _base and _more are dropped.
+    """
     spark = docs.sparkSession
     models = _models(spark.sparkContext.applicationId)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -196,7 +199,11 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span in the text replaced by its kind in brackets; spans that overlap become one."""
-    found = find(docs.select("*"), text_col)
+    # columns by place, so that no name of docs meets one used here
+    at, schema = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(schema))))
+    text_col = f"c{at}"
+    found = find(docs, text_col)
     ordered = "array_sort(spans, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.end - a.end END)"
     merged = """aggregate(_s, cast(array() AS array<struct<kind:string,start:int,end:int>>), (out, s) -> CASE
         WHEN size(out) > 0 AND element_at(out, -1).end > s.start
@@ -206,7 +213,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pieces = f"transform(_s, (s, i) -> concat(substring({text_col}, IF(i = 0, 0, _s[i - 1].end) + 1, s.start - IF(i = 0, 0, _s[i - 1].end)), '[', upper(s.kind), ']'))"
     out = found.withColumn("_s", F.expr(ordered)).withColumn("_s", F.expr(merged))
     clean = F.when(F.size("_s") > 0, F.expr(f"concat(array_join({pieces}, ''), {tail})")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, clean).select(*docs.columns)
+    return out.withColumn(text_col, clean).select(*docs.columns).toDF(*schema)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
