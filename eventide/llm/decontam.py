@@ -38,8 +38,9 @@ K1, B = 1.2, 0.75
 WIDTH = 5
 
 
-def words_of(data: bytes | None) -> list[bytes]:
-    return (data or b"").translate(TABLE).split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in lower case, accents and all."""
+    return (text or "").lower().encode().translate(TABLE).split()
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -52,7 +53,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids, texts = [], []
         for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
-            words = words_of((text or "").encode())
+            words = words_of(text)
             if words:
                 self.ids.append(i)
                 texts.append(words)
@@ -149,9 +150,9 @@ class Index:
             at = [x for x in at if x[0] >= 0]
         return out
 
-    def matches(self, data: bytes | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of all verified items of a text."""
-        words = words_of(data)
+        words = words_of(text)
         if not words or not self.ids:
             return []
         best: dict[int, tuple[float, float, float]] = {}
@@ -185,7 +186,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: f
         held = sc.broadcast(index)
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            found = [(i, *m) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())) for m in held.value.matches(x.as_py(), threshold, overlap)]
+            found = [(i, *m) for i, x in zip(batch.column(0).to_pylist(), batch.column(1)) for m in held.value.matches(x.as_py(), threshold, overlap)]
             cols = list(zip(*found)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -202,7 +203,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
         held = sc.broadcast(index)
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            return batch.filter(pa.array([not held.value.matches(x.as_py(), threshold, overlap) for x in batch.column(at).cast(pa.binary())], pa.bool_()))
+            return batch.filter(pa.array([not held.value.matches(x.as_py(), threshold, overlap) for x in batch.column(at)], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)
     return docs
