@@ -9,8 +9,9 @@ cannot reach the threshold. Terms so common that no item has more than half of t
 non-essential: a passage is searched only if some item may reach the threshold by its other terms and that.
 
 A retrieved pair is then verified: an item's first two thirds count as its question and the rest as its
-answer, and the passage must have ``overlap`` of the five-word shingles of each. (Items too short for
-shingles are compared as a whole.)
+answer. The passage must have ``overlap`` of the item's five-word shingles and of the answer's words, and the
+share of the question's shingles is given too. A changed word spoils five shingles, so short answers are
+judged by words. (Items too short for shingles are compared as a whole.)
 
 The index is broadcast in blocks of items whose text is under BLOCK_BYTES together, one pass over the
 documents for each; statistics are those of the block. Null and empty texts match nothing; items without a
@@ -70,7 +71,7 @@ class Index:
             for t, x in raw.items():
                 postings[self.vocab[t]].append((d, x / total))
             cut = max(1, 2 * len(words) // 3)
-            self.parts.append((shingles(words[:cut]), shingles(words[cut:])))
+            self.parts.append((shingles(words), shingles(words[:cut]), set(words[cut:])))
         self.items = [[d for d, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
         self.blocks = [[max(p[a : a + POSTINGS]) for a in range(0, len(p), POSTINGS)] for p in self.impacts]
@@ -150,21 +151,22 @@ class Index:
             at = [x for x in at if x[0] >= 0]
         return out
 
-    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item id, score, question overlap, answer overlap) of all verified items of a text."""
+    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float, float]]:
+        """(item id, score, overlap, question overlap, answer overlap) of all verified items of a text."""
         words = words_of(text)
         if not words or not self.ids:
             return []
-        best: dict[int, tuple[float, float, float]] = {}
+        best: dict[int, tuple[float, ...]] = {}
         for p in self.hopeful(words, threshold):
             passage = words[p * self.stride : (p + 2) * self.stride]
             terms = sorted({self.vocab[w] for w in passage if w in self.vocab})
             found = self.search(terms, threshold - 1e-9)
             if found:
-                grams = shingles(passage)
+                grams, there = shingles(passage), set(passage)
                 for d, score in found:
-                    share = [len(x & grams) / len(x) if x else 1.0 for x in self.parts[d]]
-                    if min(share) >= overlap and (d not in best or (score, *share) > best[d]):
+                    whole, question, answer = self.parts[d]
+                    share = (len(whole & grams) / len(whole), len(question & grams) / max(len(question), 1), len(answer & there) / len(answer) if answer else 1.0)
+                    if min(share[0], share[2]) >= overlap and (d not in best or (score, *share) > best[d]):
                         best[d] = (score, *share)
         return [(self.ids[d], *v) for d, v in sorted(best.items())]
 
@@ -178,8 +180,8 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
         yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()])
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of each contaminated document and item."""
+def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of each contaminated document and item."""
     sc = docs.sparkSession.sparkContext
     rows, out = docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), None
     for index in indexes(items):
@@ -187,16 +189,16 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: f
 
         def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
             found = [(i, *m) for i, x in zip(batch.column(0).to_pylist(), batch.column(1)) for m in held.value.matches(x.as_py(), threshold, overlap)]
-            cols = list(zip(*found)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            cols = list(zip(*found)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        part = map_arrow(rows, run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = map_arrow(rows, run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.7, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have no verified item."""
     sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
     for index in indexes(items):

@@ -243,6 +243,16 @@ def test_planted_items_are_found_and_clean_texts_left(spark, texts):
     assert decontam.keep_clean(frame(spark, rows), items).count() == len(clean)
 
 
+def test_items_with_a_changed_word_are_found(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    index = decontam.Index(items)
+    for i, t in items:
+        words = t.split()
+        for at in (0, len(words) // 3, len(words) - 1):
+            changed = words[:at] + ["changed"] + words[at + 1 :]
+            assert i in {m[0] for m in index.matches("before it all " + " ".join(changed) + " after", 0.6, 0.5)}
+
+
 # 5. licences
 
 
