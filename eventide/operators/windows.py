@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import tumble
+from ..functions.time import epoch_ms, interval_ms, tumble
 
 
 def window_aggregate(df: DataFrame, ts: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
@@ -45,14 +45,29 @@ def enrich(events: DataFrame, table: DataFrame, key: str, table_key: str, broadc
     return events.join(table, events[key] == table[table_key])
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """left with the values of the latest right row of its key at or before its time, null where there is none."""
-    blank = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != key]
-    a = left.select(F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), *left.columns, F.lit(None).alias("_v"))
-    b = right.select(F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), *([F.col(key)] + blank), F.struct(*values).alias("_v"))
-    both = a.withColumn("_v", F.col("_v").cast(b.schema["_v"].dataType)).unionByName(b)
-    upto = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1").select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], bucket: str = "1 day") -> DataFrame:
+    """left with the values of the latest right row of its key at or before its time, null where there is none.
+
+    A key's rows are cut into buckets of time, so a key with very many rows is spread over tasks: a window finds the
+    latest value within the bucket, and one row per key and bucket carries it on to later ones. Rows without
+    key or time find nothing; of right rows at one time the one with the largest values counts.
+    """
+    usable = lambda ts: F.col(key).isNotNull() & F.col(ts).isNotNull()
+    slot = lambda ts: F.floor(epoch_ms(ts) / interval_ms(bucket)).alias("_slot")
+    a = left.select(F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), slot(left_ts), F.col(key).alias("_key"), F.struct(*left.columns).alias("_row"))
+    b = right.where(usable(right_ts)).select(F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), slot(right_ts), F.col(key).alias("_key"), F.struct(*values).alias("_v"))
+    kind = b.schema["_v"].dataType
+    both = a.withColumn("_v", F.lit(None).cast(kind)).unionByName(b.withColumn("_row", F.lit(None).cast(a.schema["_row"].dataType)))
+    within = Window.partitionBy("_key", "_slot").orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_v", F.last("_v", ignorenulls=True).over(within)).where("_side = 1")
+    ends = b.groupBy("_key", "_slot").agg(F.max_by("_v", F.struct("_at", "_v")).alias("_end"))
+    slots = ends.unionByName(a.where("_key is not null and _slot is not null").select("_key", "_slot").distinct().withColumn("_end", F.lit(None).cast(kind)))
+    slots = slots.groupBy("_key", "_slot").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select("_key", "_slot", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    out = seen.join(carried, ["_key", "_slot"], "left").withColumn("_v", F.coalesce("_v", "_carried"))
+    out = out.withColumn("_v", F.when(F.col("_key").isNotNull() & F.col("_at").isNotNull(), F.col("_v")))
+    return out.select("_row.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
