@@ -20,7 +20,7 @@ def window_aggregate(df: DataFrame, ts: str, size: str, keys: list[str], *aggreg
 def top_k(df: DataFrame, partition: list[str], by: str, tie: str, k: int) -> DataFrame:
     """The k rows with the largest ``by`` in each partition, ties by ``tie``, with row_num."""
     ranked = Window.partitionBy(*partition).orderBy(F.desc(by), F.asc(tie))
-    return df.withColumn("row_num", F.row_number().over(ranked)).where(F.col("row_num") <= k)
+    return df.withColumn("row_num", F.row_number().over(ranked)).where(F.col("row_num") <= k).withColumn("row_num", F.col("row_num").cast("long"))
 
 
 def two_level(df: DataFrame, ts: str, inner: str, outer: str, user: str, team: str, value: str) -> DataFrame:

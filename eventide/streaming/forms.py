@@ -53,7 +53,7 @@ def windowed_top_k(stream: DataFrame, ts: str, disorder: str, size: str, group:
     counted = windowed(stream, ts, disorder, size, [group, key], F.count("*").alias("n"))
     packed = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(key)))), 1, k)
     tops = counted.groupBy(F.window(F.window_time("w"), size).alias("v"), group).agg(packed.alias("top"))
-    return tops.select(F.col("v.start").alias("window_start"), F.col("v.end").alias("window_end"), group, F.posexplode("top").alias("at", "x")).select("window_start", "window_end", group, F.col(f"x.{key}").alias(key), (-F.col("x.neg")).alias("n"), (F.col("at") + 1).alias("row_num"))
+    return tops.select(F.col("v.start").alias("window_start"), F.col("v.end").alias("window_end"), group, F.posexplode("top").alias("at", "x")).select("window_start", "window_end", group, F.col(f"x.{key}").alias(key), (-F.col("x.neg")).alias("n"), (F.col("at") + 1).cast("long").alias("row_num"))
 
 
 def two_level_windows(stream: DataFrame, ts: str, disorder: str, inner: str, outer: str, user: str, team: str, value: str) -> DataFrame:
