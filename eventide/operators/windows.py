@@ -29,13 +29,22 @@ def two_level(df: DataFrame, ts: str, inner: str, outer: str, user: str, team: s
     return window_aggregate(first, "window_end", outer, [team], F.sum("score").alias("total_score"), F.count("*").alias("n_users"))
 
 
-def collect_windows(df: DataFrame, ts: str, size: str, keys: list[str], order: list[str], payload: str) -> DataFrame:
-    """The payloads of each window and key in arrival order. Keys are required: a window may be of any size."""
+def collect_windows(df: DataFrame, ts: str, size: str, keys: list[str], order: list[str], payload: str, headers: str | None = None) -> DataFrame:
+    """The payloads of each window and key in arrival order. Keys are required: a window may be of any size.
+
+    With ``headers``, those of the first message too; its content type becomes multipart of the same kind.
+    """
     if not keys:
         raise ValueError("a window is collected by key")
     rows = tumble(df, ts, size)
-    packed = F.sort_array(F.collect_list(F.struct(*order, F.col(payload).alias("_p"))))
-    return rows.groupBy("window_start", "window_end", *keys).agg(packed.alias("_all")).select("window_start", "window_end", *keys, F.transform("_all", lambda x: x["_p"]).alias("payloads"))
+    packed = F.sort_array(F.collect_list(F.struct(*order, F.col(payload).alias("_p")))).alias("_all")
+    first = [F.min_by(headers, F.struct(*order)).alias("headers")] if headers else []
+    out = rows.groupBy("window_start", "window_end", *keys).agg(packed, *first)
+    if headers:
+        kind = F.coalesce(F.regexp_extract(F.col("headers")["content-type"], "/(.*)$", 1), F.lit("json"))
+        rest = F.map_filter("headers", lambda k, v: k != "content-type")
+        out = out.withColumn("headers", F.map_concat(rest, F.create_map(F.lit("content-type"), F.concat(F.lit("multipart/"), kind))))
+    return out.select("window_start", "window_end", *keys, F.transform("_all", lambda x: x["_p"]).alias("payloads"), *(["headers"] if headers else []))
 
 
 def enrich(events: DataFrame, table: DataFrame, key: str, table_key: str, broadcast_rows: int = 0) -> DataFrame:

@@ -79,3 +79,10 @@ def test_collect_and_fold_need_keys(spark):
 def test_mapping_gives_one_row_for_each(spark):
     with pytest.raises(Exception, match="one row for each"):
         O.map_messages(spark.range(5), lambda b: b.head(1)).collect()
+
+
+def test_collected_window_has_the_first_headers(spark):
+    rows = [(2, "b", {"content-type": "application/avro"}), (1, "a", {"content-type": "application/json", "x": "1"})]
+    df = spark.createDataFrame(rows, "seq int, payload string, headers map<string,string>").selectExpr("*", "timestamp_ntz '2024-01-01 00:00:01' as ts", "'k' as k")
+    out = O.collect_windows(df, "ts", "1 minute", ["k"], ["seq"], "payload", "headers").first()
+    assert out["payloads"] == ["a", "b"] and out["headers"] == {"content-type": "multipart/json", "x": "1"}
