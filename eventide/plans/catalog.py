@@ -556,10 +556,8 @@ def stream_upsert(spark, d):
 
     stream = event_stream(spark, d).select("event_id", "user_id", "event_type", "at")
     folder = fresh_path(spark, "upsert")
-    query = S.upsert(stream, ["user_id"], ["at", "event_id"], folder, f"{folder}-state")
-    query.awaitTermination()
-    version = (query.lastProgress or {"batchId": 0})["batchId"] if isinstance(query.lastProgress, dict) else query.lastProgress.batchId
-    return spark.read.parquet(f"{folder}/version={version}").select("event_id", "user_id", "event_type")
+    S.upsert(stream, ["user_id"], ["at", "event_id"], folder, f"{folder}-state", buckets=8).awaitTermination()
+    return S.read_upserted(spark, folder, stream.schema).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, event_type FROM events")

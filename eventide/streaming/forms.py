@@ -74,17 +74,40 @@ def write_split(stream: DataFrame, tag: Callable[[DataFrame], DataFrame], policy
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str):
-    """Keep the newest row per key in a folder: each batch is merged with the version before it into a new one."""
+def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str, buckets: int = 64):
+    """Keep the newest row per key in a folder; ``read_upserted`` reads it.
+
+    Keys fall into buckets. A batch rewrites only the buckets it has rows for, under its own number, and lists which
+    number each bucket is at, so a repeated batch leaves the same files and a reader sees whole versions.
+    """
     spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = batch if number == 0 else batch.unionByName(spark.read.schema(schema).parquet(f"{folder}/version={number - 1}"))
-        latest_per_key(held, keys, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # at most buckets
+        at = _versions(spark, folder, number - 1) if number else {}
+        old = [f"{folder}/rows/version={v}/_bucket={b}" for b, v in at.items() if b in touched]
+        if old:
+            rows = rows.drop("_bucket").unionByName(spark.read.schema(schema).parquet(*old))
+        newest = latest_per_key(rows.select(*schema.fieldNames()), keys, order)
+        newest.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/rows/version={number}")
+        listed = sorted((at | {b: number for b in touched}).items())
+        spark.createDataFrame(listed, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{folder}/list/batch={number}").collect()}
+
+
+def read_upserted(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The newest row per key after the last batch."""
+    last = spark.read.parquet(f"{folder}/list").agg(F.max("batch")).first()[0]
+    paths = [f"{folder}/rows/version={v}/_bucket={b}" for b, v in _versions(spark, folder, last).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def release_idle(stream: DataFrame, ts: str, key: str, value: str, size: str, idle: str) -> DataFrame:
     """Sums per key and tumbling window, each given once after no row of it came for ``idle`` of the clock, as partial.
 

@@ -15,7 +15,7 @@ def source(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:{s:02d}", f"u{(m + s) % 3}", f"t{m % 2}", m + s) for m in range(0, 30) for s in (5, 35)]
     df = spark.createDataFrame(rows, "at string, u string, t string, v int").withColumn("at", F.to_timestamp("at"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
-    return lambda streaming=True: S.read_files(spark, str(tmp_path / "in"), df.schema, streaming)
+    return lambda streaming=True, **more: S.read_files(spark, str(tmp_path / "in"), df.schema, streaming, **more)
 
 
 def test_windows_equal_batch_but_for_open_ones(spark, source):
@@ -43,11 +43,12 @@ def test_late_rows_go_to_two_places(spark, source, tmp_path):
 
 
 def test_upsert_over_batches(spark, source, tmp_path):
-    query = forms.upsert(source(), ["u"], ["at"], str(tmp_path / "up"), str(tmp_path / "up-state"))
-    query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "up" / "version=0")).select("u", "v").collect()
+    stream = source(files_per_batch=1)
+    forms.upsert(stream, ["u"], ["at"], str(tmp_path / "up"), str(tmp_path / "up-state"), buckets=2).awaitTermination()
+    got = forms.read_upserted(spark, str(tmp_path / "up"), stream.schema)
+    assert spark.read.parquet(str(tmp_path / "up" / "list")).select("batch").distinct().count() == 3
     want = source(False).groupBy("u").agg(F.max_by("v", "at")).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sorted(map(tuple, got.select("u", "v").collect())) == sorted(map(tuple, want))
 
 
 def test_idle_windows_are_released(spark, source, tmp_path):
