@@ -244,7 +244,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memb
     """(doc, tie, s, e): spans of repeated bytes of rows (doc, tie, data); spans of a document may overlap."""
     found = anchor_rows(docs, length, gram)
     shared = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
-    held = found.join(shared.withColumn("one", F.col("lo") == F.col("hi")).select("fp", "one"), "fp")
+    # written first, so that the join deals both sides anew and can divide a fingerprint of very many rows
+    shared = materialize(shared.select("fp", (F.col("lo") == F.col("hi")).alias("one")), "shared")
+    held = found.join(shared, "fp")
     held = materialize(held, "anchors")
     whole = lambda df: df.select("doc", "tie", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + length).alias("e"))
     done = whole(held.where("one"))
