@@ -36,16 +36,17 @@ from .common import bounded_batches, fresh_path, materialize
 MAGIC = b"EVTPLANE"
 BLOCK = 1 << 16
 LEVEL = 1
-CACHE = 200_000  # pieces kept by a worker in each of two generations
-LONG = 48
-SPACES = [*"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B)), " "]
+CACHE = 300_000  # pieces kept by a worker in each of two generations
+LONG = 48  # longer pieces are not kept
+PLAIN = re.compile(r"[\n\0]?\S+")
+SPACES = [*map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), " \n", "\n "]
 
 
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizer file of the tokenizers library.
 
-    Its splitter never joins what stands on two sides of a lone space, so a text's pieces from space to
-    space are encoded once each and kept; other texts are encoded whole.
+    Its splitter never joins what stands on two sides of a lone space or line end, so a text's pieces
+    between them are encoded once each and kept; texts with other white space there are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,31 +59,40 @@ class ByteEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.line = self._whole("\n")
+        self.line_id = int.from_bytes(self.line, "little") if len(self.line) == 4 else -1
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces; "\\n" before a piece stands for a line end, "\\0" for nothing, else a space is meant."""
         if len(self.known) + len(pieces) > CACHE:
             self.older, self.known = self.known, {}
-        plain = []
+        known, older, plain = self.known, self.older, []
         for p in pieces:
-            if (value := self.older.pop(p, None)) is not None:
-                self.known[p] = value
-            elif len(self.line) == 4 and p and not any(c.isspace() for c in p[1:]) and (p[0] == " " or not p[0].isspace()) and p != " ":
+            value = older.pop(p, None)
+            if value is not None:
+                known[p] = value
+            elif PLAIN.fullmatch(p):
                 plain.append(p)
             else:
-                self.known[p] = self._whole(p)
+                known[p] = self._piece(p)
         # one call for many: a line end between two pieces is an id of its own, which no piece has
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            parts = np.split(ids, cuts)
-            if len(parts) != len(some):
-                self.known.update((p, self._whole(p)) for p in some)
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            whole = "\n".join([p[1:] if p[0] in "\n\0" else " " + p for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_id) * 4).tolist()
+            if len(cuts) != len(some) - 1:
+                known.update((p, self._piece(p)) for p in some)
                 continue
-            self.known.update((p, (x[1:] if n else x).tobytes()) for n, (p, x) in enumerate(zip(some, parts)))
+            parts = [raw[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+            known.update((p, self.line + x if p[0] == "\n" else x) for p, x in zip(some, parts))
+
+    def _piece(self, p: str) -> bytes:
+        if p[:1] == "\n":
+            return self.line + (self._whole(p[1:]) if p[1:] else b"")
+        return (self._whole(p[1:]) if p[1:] else b"") if p[:1] == "\0" else self._whole(" " + p)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -90,22 +100,25 @@ class ByteEncoder:
         for n, text in enumerate(texts):
             if not text:
                 out[n] = b""
-            elif any(w in text and (f"{w} " in text or f" {w}" in text) for w in SPACES[:-1]) or "  " in text or ("<" in text and self.special.search(text)):
+            elif "  " in text or "\n\n" in text or any(w in text and (w + " " in text or " " + w in text or w + "\n" in text or "\n" + w in text) for w in SPACES) or "\0" in text or ("<" in text and self.special.search(text)):
                 out[n] = self._whole(text)
             else:
-                first, *rest = text.split(" ")
-                pieces = [" " + p for p in rest]
-                cut[n] = [first, *pieces] if first else pieces
+                cut[n] = ("\0" + text.replace("\n", " \n")).split(" ")
         fresh = set().union(*cut.values()) if cut else set()
-        short = {p for p in fresh if len(p) <= LONG}
-        missing = short - self.known.keys()
+        missing = fresh - self.known.keys()
+        long = {p for p in missing if len(p) > LONG}
+        missing -= long
         if missing:
             if len(self.known) + len(missing) > CACHE:
-                missing = short
+                missing = {p for p in fresh if len(p) <= LONG}
             self._learn(missing)
-        long = {p: self._whole(p) for p in fresh - short}
-        for n, pieces in cut.items():
-            out[n] = b"".join([self.known[p] if len(p) <= LONG else long[p] for p in pieces]) if long else b"".join(map(self.known.__getitem__, pieces))
+        if long:
+            once = {p: self._piece(p) for p in long}
+            for n, pieces in cut.items():
+                out[n] = b"".join([once[p] if p in once else self.known[p] for p in pieces])
+        else:
+            for n, pieces in cut.items():
+                out[n] = b"".join(map(self.known.__getitem__, pieces))
         return out
 
 
