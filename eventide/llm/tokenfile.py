@@ -21,16 +21,18 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_path
+from .bpe import byte_symbols, tokenizer_path
 from .common import bounded_batches, fresh_path, materialize
 
 MAGIC = b"EVTPLANE"
@@ -38,15 +40,34 @@ BLOCK = 1 << 16
 LEVEL = 1
 CACHE = 300_000  # pieces kept by a worker in each of two generations
 LONG = 48  # longer pieces are not kept
-PLAIN = re.compile(r"[\n\0]?\S+")
+PLAIN = re.compile("[\n\0]?[!-~\u00a1-\u024f]+")
+# The pattern by which byte-level tokenizer files split text.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SPACES = [*map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), " \n", "\n "]
 
 
+class _Words(dict):
+    """Id bytes of what the splitter cuts out, by the library's own model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.table = model, {i: ord(c) for i, c in enumerate(byte_symbols())}
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.table)
+        value = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = value
+        return value
+
+
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizer file of the tokenizers library.
 
     Its splitter never joins what stands on two sides of a lone space or line end, so a text's pieces
-    between them are encoded once each and kept; texts with other white space there are encoded whole.
+    between them are encoded once each, by the library's splitting pattern and model, and kept. Texts with other
+    white space there, and pieces with characters outside the Latin blocks, are encoded by the library whole.
     """
 
     def __init__(self, path: str):
@@ -59,7 +80,7 @@ class ByteEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.line = self._whole("\n")
-        self.line_id = int.from_bytes(self.line, "little") if len(self.line) == 4 else -1
+        self.words = _Words(self.tokenizer.model)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,26 +89,20 @@ class ByteEncoder:
         """Encode pieces; "\\n" before a piece stands for a line end, "\\0" for nothing, else a space is meant."""
         if len(self.known) + len(pieces) > CACHE:
             self.older, self.known = self.known, {}
-        known, older, plain = self.known, self.older, []
+        known, older, words, cut = self.known, self.older, self.words, PATTERN.findall
         for p in pieces:
             value = older.pop(p, None)
-            if value is not None:
-                known[p] = value
-            elif PLAIN.fullmatch(p):
-                plain.append(p)
-            else:
-                known[p] = self._piece(p)
-        # one call for many: a line end between two pieces is an id of its own, which no piece has
-        for at in range(0, len(plain), 4000):
-            some = plain[at : at + 4000]
-            whole = "\n".join([p[1:] if p[0] in "\n\0" else " " + p for p in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
-            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line_id) * 4).tolist()
-            if len(cuts) != len(some) - 1:
-                known.update((p, self._piece(p)) for p in some)
-                continue
-            parts = [raw[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
-            known.update((p, self.line + x if p[0] == "\n" else x) for p, x in zip(some, parts))
+            if value is None:
+                if p.isalpha() and PLAIN.fullmatch(p):
+                    value = words[" " + p]
+                elif PLAIN.fullmatch(p):
+                    lone = p[0] in "\n\0"
+                    value = b"".join(map(words.__getitem__, cut(p[1:] if lone else " " + p)))
+                    if p[0] == "\n":
+                        value = self.line + value
+                else:
+                    value = self._piece(p)
+            known[p] = value
 
     def _piece(self, p: str) -> bytes:
         if p[:1] == "\n":
