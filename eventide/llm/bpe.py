@@ -153,7 +153,7 @@ class _Arcs(dict):
         self.automaton = automaton
 
     def __missing__(self, key: int) -> bool:
-        if len(self) > 2_000_000:
+        if len(self) > 600_000:
             self.clear()
         x, y = divmod(key, self.automaton.size)
         value = self[key] = self.automaton.arc(x - 1, y)
