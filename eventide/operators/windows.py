@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.time import epoch_ms, interval_ms, tumble
 
@@ -104,21 +107,39 @@ def map_messages(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | Non
 def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Callable[[dict, dict], None], schema: str, release: Callable[[list[dict]], list[dict]] | None = None, order: list[str] | None = None) -> DataFrame:
     """A user's fold of each window and key, record by record: fold(record, results) changes results, a dict of rows.
 
-    release may filter or extend the rows before they go out. Keys are required, so a group is one key's window.
+    release may filter or extend the rows before they go out. Records stream through sorted by window and key, so a
+    task holds the results of one group, never its records. Keys are required, else a window is one task's work.
     """
     if not keys:
         raise ValueError("a window is folded by key")
-    rows = tumble(df, ts, size)
+    group = ["window_start", "window_end", *keys]
+    rows = tumble(df, ts, size).repartition(*group).sortWithinPartitions(*group, *(order or []))
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, results, out = None, {}, []
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        results: dict = {}
-        for record in (group.sort_values(order) if order else group).to_dict("records"):
-            fold(record, results)
-        out = list(results.values())
-        names = [c.strip().split()[0] for c in schema.split(",")]
-        return pd.DataFrame(release(out) if release else out, columns=names)
+        def done() -> None:
+            if current is not None:
+                found = list(results.values())
+                out.extend(release(found) if release else found)
+                results.clear()
 
-    return rows.groupBy("window_start", "window_end", *keys).applyInPandas(run, schema)
+        for batch in batches:
+            for record in batch.to_pylist():
+                at = tuple(record[c] for c in group)
+                if at != current:
+                    done()
+                    current = at
+                fold(record, results)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return rows.mapInArrow(run, schema)
 
 
 def deal(df: DataFrame, key: str, n: int) -> DataFrame:
