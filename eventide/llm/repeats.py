@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memb
     whole = lambda df: df.select("doc", "tie", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + length).alias("e"))
     done = whole(held.where("one"))
     mixed = held.where("not one")
-    hulls = mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+    hulls = materialize(mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min("doc").alias("least")), "hulls")
     done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull"), ["fp", "hull"])))
     # one anchor per hull, where a hull that stands alone has others to be compared with
     groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1").select("fp", "m")
