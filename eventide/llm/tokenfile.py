@@ -75,8 +75,7 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Pieces(self)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.line = self._whole("\n")
@@ -85,56 +84,46 @@ class ByteEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces; "\\n" before a piece stands for a line end, "\\0" for nothing, else a space is meant."""
-        if len(self.known) + len(pieces) > CACHE:
-            self.older, self.known = self.known, {}
-        known, older, words, cut = self.known, self.older, self.words, PATTERN.findall
-        for p in pieces:
-            value = older.pop(p, None)
-            if value is None:
-                if p.isalpha() and PLAIN.fullmatch(p):
-                    value = words[" " + p]
-                elif PLAIN.fullmatch(p):
-                    lone = p[0] in "\n\0"
-                    value = b"".join(map(words.__getitem__, cut(p[1:] if lone else " " + p)))
-                    if p[0] == "\n":
-                        value = self.line + value
-                else:
-                    value = self._piece(p)
-            known[p] = value
-
     def _piece(self, p: str) -> bytes:
         if p[:1] == "\n":
             return self.line + (self._whole(p[1:]) if p[1:] else b"")
         return (self._whole(p[1:]) if p[1:] else b"") if p[:1] == "\0" else self._whole(" " + p)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for n, text in enumerate(texts):
-            if not text:
-                out[n] = b""
-            elif "  " in text or "\n\n" in text or any(w in text and (w + " " in text or " " + w in text or w + "\n" in text or "\n" + w in text) for w in SPACES) or "\0" in text or ("<" in text and self.special.search(text)):
-                out[n] = self._whole(text)
-            else:
-                cut[n] = ("\0" + text.replace("\n", " \n")).split(" ")
-        fresh = set().union(*cut.values()) if cut else set()
-        missing = fresh - self.known.keys()
-        long = {p for p in missing if len(p) > LONG}
-        missing -= long
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                missing = {p for p in fresh if len(p) <= LONG}
-            self._learn(missing)
-        if long:
-            once = {p: self._piece(p) for p in long}
-            for n, pieces in cut.items():
-                out[n] = b"".join([once[p] if p in once else self.known[p] for p in pieces])
-        else:
-            for n, pieces in cut.items():
-                out[n] = b"".join(map(self.known.__getitem__, pieces))
-        return out
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if "  " in text or "\n\n" in text or any(w in text and (w + " " in text or " " + w in text or w + "\n" in text or "\n" + w in text) for w in SPACES) or "\0" in text or ("<" in text and self.special.search(text)):
+            return self._whole(text)
+        return b"".join(map(self.known.__getitem__, ("\0" + text.replace("\n", " \n")).split(" ")))
+
+
+class _Pieces(dict):
+    """Id bytes of pieces; "\\n" before a piece stands for a line end, "\\0" for nothing, else a space is meant."""
+
+    def __init__(self, encoder: ByteEncoder):
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, p: str) -> bytes:
+        value = self.older.pop(p, None)
+        if value is None:
+            value = self._encode(p)
+        if len(p) <= LONG:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[p] = value
+        return value
+
+    def _encode(self, p: str) -> bytes:
+        if not PLAIN.fullmatch(p):
+            return self.encoder._piece(p)
+        words = self.encoder.words
+        if p.isalpha():
+            return words[" " + p]
+        lone = p[0] in "\n\0"
+        value = b"".join(map(words.__getitem__, PATTERN.findall(p[1:] if lone else " " + p)))
+        return self.encoder.line + value if p[0] == "\n" else value
 
 
 _LOADED: dict[str, ByteEncoder] = {}
@@ -255,7 +244,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                 fs.create_dir(base, recursive=True)
                 writer = Writer(fs.open_output_stream(draft), planes)
             for a in range(0, batch.num_rows, 200):
-                for doc_id, ids in zip(batch.column(0)[a : a + 200].to_pylist(), enc.encode_all(batch.column(1)[a : a + 200].to_pylist())):
+                for doc_id, ids in zip(batch.column(0)[a : a + 200].to_pylist(), map(enc.encode, batch.column(1)[a : a + 200].to_pylist())):
                     writer.add(doc_id, ids + end)
                     total += (len(ids) + len(end)) // 4
                     docs_n += 1
