@@ -155,7 +155,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     odds = np.clip(odds, -4, 4)
     n = len(nodes)
     out = np.zeros(n)  # best gain of a subtree whose root is outside, and inside; excluded subtrees gain nothing
-    inside = np.maximum(0, 0) + odds.astype(float)
+    inside = odds.astype(float)
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
         out[p] += max(out[i], inside[i], 0.0)
