@@ -153,7 +153,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int
     id there and to the smallest of its salted share of about ``few``, so that work stays linear.
     """
     prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, id_col, text_col), "sketches")
-    first = prints.groupBy("same").agg(F.min("doc_id").alias("first"))
+    # written first, so that the join deals both sides anew and can divide a text of very many copies
+    first = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "first")
     named = prints.join(first, "same")
     copies = named.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     alone = named.where("doc_id = first").select("doc_id", "fp", "lanes")
