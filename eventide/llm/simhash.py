@@ -15,6 +15,7 @@ kept, each with its fingerprint. Other columns are left aside. An empty table gi
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import connected, map_arrow, materialize
 SEED = 42
 GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))  # of the 32 two-bit segments
 CHUNK = 1 << 16
+SAMPLE_TEXTS = 1 << 14  # about so many texts are counted for the order of shingles
+COMMON = 1 << 15  # so many of their most common shingles come last in it
 
 
 def fingerprint(data: bytes | None, width: int = 3) -> int:
@@ -118,8 +121,46 @@ def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def sketches(docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp, lanes) of each text with a word: a digest of its words, its fingerprint, those of its samples."""
+def _grams(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text with a word, in order."""
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) or [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
+
+
+def common_shingles(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, in order, of at most COMMON shingles that are most common in a sample of the texts, and their counts there."""
+    share = max(1, docs.count() // SAMPLE_TEXTS)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = ((x.as_py() or b"").lower().split() for x in batch.column(0).cast(pa.binary()))
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_grams(words, width) for words in texts if words)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(share)) == 0).select(F.col(text_col).alias("text"))
+    counts = map_arrow(sample, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()  # bounded, whatever the corpus
+    keys = top.column("key").to_numpy().view(np.uint64)
+    at = np.argsort(keys)
+    return keys[at], top.column("n").to_numpy()[at]
+
+
+def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order with common ones last: two sets of this similarity share one of them."""
+    weight = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        weight = np.where(keys[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, weight))
+    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]]
+
+
+def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, same, fp, lanes, rare, n) of each text with a word.
+
+    A digest of its words, its fingerprint, those of its samples, its rarest shingles as ``_rare`` gives them
+    and how many different shingles it has.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, id_col, text_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -127,15 +168,16 @@ def sketches(docs: DataFrame, width: int, lanes: int, id_col: str = "doc_id", te
             words = (x.as_py() or b"").lower().split()
             if not words:
                 continue
-            grams = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) or [b" ".join(words)]
-            hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
-            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(b" ".join(words), width), _lanes(hashes, lanes)))
-        cols = list(zip(*rows)) or [()] * 4
+            hashes = _grams(words, width)
+            rare = _rare(hashes, similarity, *held.value).view(np.int64)
+            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(b" ".join(words), width), _lanes(hashes, lanes), rare, len(hashes)))
+        cols = list(zip(*rows)) or [()] * 6
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes"])
+        longs = pa.list_(pa.int64())
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, "doc_id long, same binary, fp long, lanes array<long>")
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n int")
 
 
 def _shingled(text: str, width: int) -> frozenset:
@@ -143,21 +185,43 @@ def _shingled(text: str, width: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
 
 
+def apart(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v), u > v, of texts (doc_id, rare, size) in different components of labels that could have the similarity.
+
+    Texts of this similarity share one of their rarest shingles, and the first they share leaves enough after it
+    in both. Shingles seen within one component only are dropped before the join. Where many texts share one,
+    those of its largest component are not held against each other.
+    """
+    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", F.coalesce("component", "doc_id").alias("part"))
+    keys = at.select("doc_id", "size", "part", F.posexplode("rare").alias("pos", "key"))
+    mixed = materialize(keys.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key"), "mixed")
+    held = materialize(keys.join(mixed, "key"), "held")
+    most = held.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+    left = materialize(held.join(most, "key").where("part <> most"), "left")
+    # of two texts outside the largest component both would stand on the left
+    fits = f"a.key = b.key and a.part <> b.part and (b.part = a.most or a.doc_id > b.doc_id) and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size)"
+    pairs = left.alias("a").join(held.alias("b"), F.expr(fits)).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v"))
+    return pairs.where("u <> v").distinct()
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 12, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edges (u, v), u > v, between ids of texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
 
-    A wider radius than two bits is reached by fingerprints of samples of the shingle set ("lanes"): texts
-    that share such a fingerprint, or whose whole fingerprints are within two bits in the grid, are candidates and
-    compared exactly. Texts with equal words are linked to the smallest id among them and stand for one. Up
-    to ``few`` texts that share a fingerprint are all compared; of more, each is compared to the smallest
-    id there and to the smallest of its salted share of about ``few``, so that work stays linear.
+    Texts with equal words are linked to the smallest id among them and stand for one. A first pass links most
+    groups by few comparisons: texts that share a fingerprint of a sample of the shingle set ("lane"), or whose
+    whole fingerprints are within two bits in the grid, are compared exactly. Up to ``few`` texts that
+    share such a fingerprint are all compared; of more, each is compared to the smallest id there and to the
+    smallest of its salted share of about ``few``.
+
+    The second pass (``apart``) compares whatever pairs of texts the first has not linked, directly or through others, and
+    could have the similarity. So the edges have the components of all pairs, and pairs within one may be left out.
     """
-    prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, id_col, text_col), "sketches")
+    prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, similarity, id_col, text_col), "sketches")
     # written first, so that the join deals both sides anew and can divide a text of very many copies
     first = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "first")
     named = prints.join(first, "same")
     copies = named.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    alone = named.where("doc_id = first").select("doc_id", "fp", "lanes")
+    alone = named.where("doc_id = first").select("doc_id", "fp", "lanes", "rare", F.col("n").alias("size"))
     keyed = alone.select("doc_id", F.posexplode("lanes").alias("lane", "key"))
     size = keyed.groupBy("lane", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
     held = materialize(keyed.join(size, ["lane", "key"]), "lanes")
@@ -171,7 +235,6 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int
     grid = links(points).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = materialize(pairs.unionByName(stars).unionByName(same_fp).unionByName(grid).where("u <> v").distinct(), "pairs")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache: dict[str, frozenset] = {}
@@ -190,7 +253,13 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int
             keep.append(common >= similarity * (len(a) + len(b) - common))
         return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("u", "v", "tu", "tv"), run, "u long, v long").unionByName(copies).distinct()
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
+        return map_arrow(both.select("u", "v", "tu", "tv"), run, "u long, v long")
+
+    first_pass = materialize(compared(pairs).unionByName(copies).distinct(), "edges")
+    rest = materialize(apart(alone.select("doc_id", "rare", "size"), connected(first_pass), similarity), "rest")
+    return first_pass.unionByName(compared(rest)).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
