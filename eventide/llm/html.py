@@ -7,10 +7,12 @@ then chooses the most likely consistent states top-down along the tree: outside
 outside, become the article or be excluded; inside an article it stays inside or is excluded; what is below
 an excluded node is excluded. So no node contradicts an ancestor.
 
-The trees are fitted on SAMPLE_PAGES made-up pages of varied layout with known article (``made_up_page``).
+The trees are fitted on SAMPLE_PAGES made-up pages of varied layout with known article (``made_up_page``), and on
+BARE_PAGES whose article stands directly in the body, or in the page where it has none; so the body and the root can be
+the article too.
 Text is taken from all blocks inside the article, whole and in page order: character references decoded,
-white space in a block as one space, ends trimmed, blocks joined by line ends. Null, empty or tagless
-html is handled: a page without tags is one block of text outside any article and gives the empty text.
+white space in a block as one space, ends trimmed, blocks joined by line ends. Null and empty html gives the
+empty text; a page without tags is one block of text in the root, judged like any other.
 Rows with equal ids are all kept; extra columns are left aside; an empty table gives an empty result.
 """
 
@@ -30,7 +32,8 @@ from . import boosting
 from .common import map_arrow
 
 SAMPLE_PAGES = 500
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<", re.S | re.I)
+BARE_PAGES = 150
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(script|style|noscript|template|svg|textarea|select|iframe)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<", re.S | re.I)
 ATTR = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -145,8 +148,9 @@ def node_features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarra
     alike = np.array([same[x.parent, x.tag] for x in nodes], float)
     chars = sub[:, 0]
     density = chars / sub[:, 2]
+    direct = own[:, 0] / np.maximum(chars, 1)
     return np.stack(
-        [np.array([x.depth for x in nodes], float), kind, good, bad, *above.T, chars, chars / total, density, sub[:, 1] / np.maximum(chars, 1), sub[:, 3], sub[:, 5], sub[:, 4] / np.maximum(chars, 1), kids, kids[up], alike, first, chars[up] / total, density[up], (sub[:, 1] / np.maximum(chars, 1))[up], sub[:, 3][up]], 1
+        [np.array([x.depth for x in nodes], float), kind, good, bad, *above.T, chars, chars / total, density, sub[:, 1] / np.maximum(chars, 1), sub[:, 3], sub[:, 5], sub[:, 4] / np.maximum(chars, 1), kids, kids[up], alike, first, chars[up] / total, density[up], (sub[:, 1] / np.maximum(chars, 1))[up], sub[:, 3][up], direct], 1
     )
 
 
@@ -161,6 +165,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
         out[p] += max(out[i], inside[i], 0.0)
         inside[p] += max(inside[i], 0.0)
     state = [0] * n  # 0 outside, 1 inside, 2 excluded
+    state[0] = 1 if inside[0] > max(out[0], 0.0) else 0
     for i in range(1, n):
         up = state[nodes[i].parent]
         if up == 0:
@@ -186,8 +191,8 @@ def extract(pages: list[str | None], model: boosting.Boosted) -> list[str]:
     return out
 
 
-def made_up_page(r: random.Random) -> tuple[str, str]:
-    """A page and its main text; boilerplate in many forms around and inside an article."""
+def made_up_page(r: random.Random, bare: bool = False) -> tuple[str, str]:
+    """A page and its main text; boilerplate in many forms around and inside an article, which has no element of its own if bare."""
     syllables = "tion an er the re heit ung que ment ción ing ver os eau lo mi".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     def prose(n: int) -> str:
@@ -228,6 +233,19 @@ def made_up_page(r: random.Random) -> tuple[str, str]:
         inner = r.choice([f"<a href='/'>{word()}</a>", f"<h2>{word()} {word()}</h2><p>{prose(r.randint(2, 6))}</p>"])
         return r.choice([f"<header>{inner}</header>", f"<div{attr('header masthead top-header')}>{inner}</div>"])
 
+    if bare:
+        lines = [prose(r.choice([3, 8, 20, 40, 80])) for _ in range(r.choice([1, 2, 3, 5, 8]))]
+        shown = [r.choice(["{}", "<b>{}</b>", "<i>{}</i>", '<a href="/x">{}</a>', "<span>{}</span>"]).format(x.split(" ", 1)[0]) + x[len(x.split(" ", 1)[0]) :] if r.random() < 0.4 else x for x in lines]
+        texts, body = [" ".join(lines)], r.choice(["<br>", "<br/><br/>\n", "\n", " "]).join(shown)
+        for _ in range(r.choice([0, 0, 0, 1, 3])):
+            texts.append(prose(r.choice([8, 20, 40])))
+            body += f"<p>{texts[-1]}</p>"
+        if r.random() < 0.5:
+            around = [[x for f, p in ((header, 0.3), (nav, 0.5), (ad, 0.2), (footer, 0.5)) if r.random() < p for x in [f()]] for _ in range(2)]
+            body = "".join(around[0]) + body + "".join(around[1])
+        head = f"<head><title>{prose(4)}</title></head>"
+        return r.choice(["{}", "<html>{}</html>", f"<!DOCTYPE html><html>{head}<body>{{}}</body></html>", "<body>{}</body>"]).format(body), "\n".join(texts)
+
     parts, texts = [], []
 
     def put(tag: str, text: str) -> None:
@@ -304,11 +322,11 @@ def labelled(page: str, text: str) -> tuple[list[Node], list[tuple[int, str]], n
 
 
 @cache
-def model(pages: int = SAMPLE_PAGES, seed: int = 5) -> boosting.Boosted:
+def model(pages: int = SAMPLE_PAGES, seed: int = 5, bare: int = BARE_PAGES) -> boosting.Boosted:
     r = random.Random(seed)
     xs, ys = [], []
-    for _ in range(pages):
-        nodes, blocks, label = labelled(*made_up_page(r))
+    for n in range(pages + bare):
+        nodes, blocks, label = labelled(*made_up_page(r, n >= pages))
         xs.append(node_features(nodes, blocks))
         ys.append(label)
     return boosting.fit(np.concatenate(xs), np.concatenate(ys), trees=40, depth=4)
