@@ -2,14 +2,15 @@
 
 Everything runs on Spark's own functions and without a shuffle. Four base kinds are found by their patterns
 and checks and always kept. High-recall generators then propose further spans, which may overlap: tokens
-that could be credentials, groups of digits that could be identifiers, and mail addresses spelled out. Each
+that could be credentials, values of any form after key words, groups of digits that could be identifiers (also with up
+to three separators between digits), and mail addresses spelled out. Each
 gets format features (lengths, character classes, digit runs, check digit) and context features (what
 stands before it); boosted trees score it, compiled to CASE expressions; a threshold per generator,
 calibrated on held-out rows for precision, selects spans. A span that overlaps a base span or one chosen
 before it is left out.
 
-The trees are fitted on SAMPLE made-up candidates of known kind (``training_rows``), whose features come
-from the same expressions. Positions are code points, ends exclusive. Null texts are empty and have no
+The trees are fitted on what the generators cut from SAMPLE made-up texts and a quarter more of known kind
+(``training_rows``), with features from the same expressions. Positions are code points, ends exclusive. Null texts are empty and have no
 spans. Repeated rows and ids are all kept. An empty table gives an empty result. All patterns run in time
 linear in the text: they start only where a run of their characters starts, or where the last match ended.
 """
@@ -35,10 +36,13 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 # Generators of further candidates.
-TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{16,}+"
-GROUPS = r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]?+[0-9]){6,}+(?![A-Za-z0-9])"
-SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++)++"
-MORE = {"secret": TOKEN, "identifier": GROUPS, "spelled": SPELLED}
+TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-)[A-Za-z0-9_/+-]{16,}+"
+GROUPS = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ .-]{0,3}+[0-9](?:[ ().-]?+[0-9]){4,}+|\(?[0-9](?:[ ().-]?+[0-9]){6,}+)(?![A-Za-z0-9])"
+WIDE = r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,3}+[0-9]){6,}+(?![A-Za-z0-9])"
+KEYED = r"""(?i)(?<![a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth)["']?\s{0,3}[=:]|bearer\s)\s{0,3}(?:"[^"\n]++"|'[^'\n]++'|[^\s"'<>,;]++)"""
+KEYED_VALUE = r"""(?i)^(?:[a-z_-]+["']?\s*[=:]|bearer\s)\s*["']?(.*?)["']?$"""
+SPELLED = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++ ?[\[(] ?at ?[\])] ?[\p{L}0-9-]++(?: ?[\[(] ?dot ?[\])] ?[\p{L}0-9-]++)++"
+MORE = {"secret": (TOKEN,), "value": (KEYED,), "identifier": (GROUPS, WIDE), "spelled": (SPELLED,)}
 BEFORE = 28
 
 FEATURES = {
@@ -56,6 +60,9 @@ FEATURES = {
     "given": r"""int(b rlike '(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)["\']?\\s*[=:]?\\s*["\']?$')""",
     "named": r"int(b rlike '(?i)(ssn|social security|passport|account|iban|phone|tel|call|mobile|fax)[a-z ]{0,12}[.:#]?\\s*$')",
     "quoted": r"""int(b rlike '["\'=:]\\s*$')""",
+    "assigned": r"""int(b rlike '=\\s*["\']?$')""",
+    "marked": r"""int(b rlike '["\']$')""",
+    "blank": r"int(v rlike '(?i)^(none|null|nil|true|false|yes|no|undefined|[*.x]+|[$%{\\x5B(&].*)$')",
 }
 
 
@@ -94,8 +101,17 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans proposed beyond the base kinds."""
-    spelled = F.when(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled")).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,v:string>>"))
-    return F.concat(_spans(text, TOKEN, "secret"), _spans(text, GROUPS, "identifier"), spelled)
+    gate = lambda test, spans: F.when(test, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,v:string>>"))
+
+    def value(s: Column) -> Column:
+        # the value's place in the match is that after the key word, and before a closing quote
+        v = F.regexp_extract(s["v"], KEYED_VALUE, 1)
+        start = s["end"] - F.length(v) - F.when(s["v"].rlike("[\"']$"), 1).otherwise(0)
+        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), v.alias("v"))
+
+    keyed = gate(text.rlike("(?i)password|passwd|pwd|secret|token|key|auth|bearer"), F.transform(_spans(text, KEYED, "value"), value))
+    spelled = gate(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
+    return F.concat(_spans(text, TOKEN, "secret"), F.filter(keyed, lambda s: s["end"] > s["start"]), _spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier"), spelled)
 
 
 def training_rows(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str, int]]:
@@ -140,6 +156,27 @@ def training_rows(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str,
             out.append(("spelled", plain, f"{words(1)}.{pick(digit, 2)} [at] {words(1)} [dot] {r.choice(['com', 'org', 'net'])}", 1))
         else:
             out.append(("spelled", plain, f"{words(1)} (at) {words(1)} (dot) {words(1)}", int(r.random() < 0.5)))
+    plainer = [k for k in keys if k != "Bearer "]
+    for _ in range(n // 4):
+        plain, what = words(3) + " ", r.randrange(8)
+        if what < 3:
+            v = r.choice([words(1).replace(" ", "")[:10] + pick(digit, r.randint(1, 4)), pick(digit, r.randint(4, 8)), pick(mixed, r.randint(4, 15)), pick(mixed, 5) + r.choice("!@#$%^&*") + pick(mixed, 4)])
+            out.append(("value", plain + r.choice(plainer), v, 1))
+        elif what < 5:
+            out.append(("value", plain + r.choice(["password=", "token=", "secret=", 'password = "', "passwd=", 'api_key="', "pwd='"]), words(r.choice([1, 2, 3])).replace(" ", ""), 1))
+        elif what == 5:
+            out.append(("value", plain + r.choice(["password: ", "token: ", "secret: ", "auth: "]), words(1), 0))
+        elif what == 6:
+            out.append(("value", plain + r.choice(plainer), r.choice(["None", "null", "true", "false", "****", "xxxx", "${PASS}", "%s", "{token}", "$1"]), 0))
+        else:
+            gap = lambda: r.choice([" - ", ". ", " ", "-", " -", ") "])
+            a, b, c = pick(digit, 3), pick(digit, r.choice([2, 3])), pick(digit, 4)
+            if r.random() < 0.5:
+                out.append(("identifier", plain + r.choice(names), f"{a}{gap().replace(')', ' ')}{b}{gap().replace(')', ' ')}{c}", 1))
+            elif r.random() < 0.5:
+                out.append(("identifier", plain, f"({a}) {b}-{c}", 1))
+            else:
+                out.append(("identifier", plain, f"{r.randint(1900, 2030)}. {r.randint(1, 500)}. {r.randint(1900, 2030)}", 0))
     return out
 
 
@@ -161,9 +198,11 @@ def _bind(expression: str, c: str) -> str:
 def _models(app: str) -> dict[str, tuple[boosting.Boosted, float]]:
     """Per generator its trees and threshold: fitted on one half of the made-up rows, calibrated on the other."""
     spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame([(k, {"b": b[-BEFORE:], "v": v}, y) for k, b, v, y in training_rows()], "kind string, c struct<b:string,v:string>, y int")
-    # SAMPLE rows, whatever the corpus
-    got = rows.select("kind", "y", F.expr(_featured("c")).alias("f")).collect()
+    rows = spark.createDataFrame([(b + v + (b[-1] if b[-1] in "\"'" else "") + " end", len(b), len(b) + len(v), y) for _, b, v, y in training_rows()], "t string, low int, high int, y int")
+    # what the generators cut from the rows, whatever the corpus; parts of a made-up candidate have its label
+    cut = rows.select("t", "low", "high", "y", F.explode(candidates(F.col("t"))).alias("s")).where("s.start < high and low < s.end")
+    context = f"struct(s.v AS v, substring(t, greatest(s.start - {BEFORE}, 0) + 1, least(s.start, {BEFORE})) AS b)"
+    got = cut.select(F.col("s.kind").alias("kind"), "y", F.expr(context).alias("c")).select("kind", "y", F.expr(_featured("c")).alias("f")).collect()
     out = {}
     for kind in MORE:
         x = np.array([list(r["f"]) for r in got if r["kind"] == kind], float)
@@ -190,7 +229,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if np.isfinite(least):
             tests.append(f"s.kind = '{kind}' AND ({model.sql([f's.f.{n}' for n in FEATURES])}) >= {least!r}D")
     chosen = f"array_sort(filter(_more, s -> ({' OR '.join(f'({t})' for t in tests) or 'false'}) AND NOT exists(_base, o -> o.start < s.end AND s.start < o.end)), (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.end - a.end END)"
-    apart = "aggregate(_more, cast(array() AS array<struct<kind:string,start:int,end:int>>), (out, s) -> CASE WHEN size(out) > 0 AND element_at(out, -1).end > s.start THEN out ELSE array_append(out, struct(s.kind AS kind, s.start AS start, s.end AS end)) END)"
+    apart = "aggregate(_more, cast(array() AS array<struct<kind:string,start:int,end:int>>), (out, s) -> CASE WHEN size(out) > 0 AND element_at(out, -1).end > s.start THEN out ELSE array_append(out, struct(IF(s.kind = 'value', 'secret', s.kind) AS kind, s.start AS start, s.end AS end)) END)"
     held = held.withColumn("_more", F.expr(chosen)).withColumn("_more", F.expr(apart))
     held = held.withColumn("base", F.expr("transform(_base, s -> struct(s.kind AS kind, s.start AS start, s.end AS end))"))
     more = "array_sort(_more, (a, b) -> CASE WHEN a.kind <> b.kind THEN CASE WHEN a.kind < b.kind THEN -1 ELSE 1 END ELSE a.start - b.start END)"
