@@ -5,9 +5,11 @@ within ``radius`` bits have segment bit counts within ``radius`` in Manhattan di
 the space of segment counts finds every pair: the 32 counts of two bits each form five groups, a
 distance of 2 touches at most two groups, and so the grid cells made of three groups' counts hold each
 pair together at least once. Pairs in a cell are held against the Manhattan bound and then compared
-exactly. Cells are made of distinct fingerprints, copies being one point; a cell beyond ``cell_limit``
-points goes to an equivalent exact way: two fingerprints differ in at most two bits if and only if some
-64-bit value differs from each in at most one, and no more than 65 fingerprints can share such a value.
+exactly. Cells are made of distinct fingerprints, copies being one point.
+
+A cell beyond ``cell_limit`` points is divided by the same embedding with segments of one bit, where the Manhattan
+distance is the distance itself: its range join of radius two meets at the grid points within one of each, and
+no more than 65 fingerprints can share such a point. So work stays linear whatever the cell holds.
 
 Null, empty or blank texts have fingerprint zero and are linked like any other. Rows with equal ids are
 kept, each with its fingerprint. Other columns are left aside. An empty table gives an empty result.
@@ -16,43 +18,48 @@ kept, each with its fingerprint. Other columns are left aside. An empty table gi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected, map_arrow, materialize
+from .common import bounded_batches, connected, map_arrow, materialize
 
 SEED = 42
 GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))  # of the 32 two-bit segments
 CHUNK = 1 << 16
 SAMPLE_TEXTS = 1 << 14  # about so many texts are counted for the order of shingles
 COMMON = 1 << 15  # so many of their most common shingles come last in it
+FEW_IDS = 1 << 20  # as many ids, 16 MB, may be broadcast
+SHARE = 1024  # texts held against one text in a task
 
 
-def fingerprint(data: bytes | None, width: int = 3) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, unsigned."""
-    words = (data or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        grams = iter([b" ".join(words)])
-        total = 1
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
-        total = len(words) - width + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, total)
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The XXH64 values of the shingles of a text with a word, repeats included."""
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - width + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the values."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, total, CHUNK):
+    for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         full = len(bits) // 255 * 255
         if full:
             counts += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += bits[full:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(data: bytes | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, unsigned."""
+    words = (data or b"").lower().split()
+    return _majority(_hashes(words, width)) if words else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,16 +93,17 @@ def links(points: DataFrame, cell_limit: int = 64) -> DataFrame:
 
     Pairs from small cells are all given; dense cells give star edges with the same components.
     """
-    cells = points.select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "node")
+    # dealt anew first, as each point makes ten cells and the counts of points before it were merged into few tasks
+    cells = materialize(points.repartition("fp").select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "node"), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    held = cells.join(sizes, "cell")
+    held = materialize(cells.join(sizes, "cell"), "dense")
     small = held.where(F.col("size") <= cell_limit)
     left, right = small.select("cell", F.col("fp").alias("fa"), F.col("node").alias("u")), small.select("cell", F.col("fp").alias("fb"), F.col("node").alias("v"))
     near = F.expr(f"fa < fb and {_manhattan('fa', 'fb')} <= 2 and bit_count(fa ^ fb) <= 2")
     pairs = left.join(right, (left["cell"] == right["cell"]) & near).select("u", "v")
     dense = held.where(F.col("size") > cell_limit).select("fp", "node").distinct()
-    ball = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    stars = dense.select(F.explode(ball).alias("at"), "node").groupBy("at").agg(F.collect_list("node").alias("nodes")).where("size(nodes) > 1")
+    around = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
+    stars = dense.select(F.explode(around).alias("at"), "node").groupBy("at").agg(F.collect_list("node").alias("nodes")).where("size(nodes) > 1")
     stars = stars.select(F.array_min("nodes").alias("v"), F.explode("nodes").alias("u")).where("u <> v")
     return pairs.unionByName(stars.select("u", "v")).distinct()
 
@@ -121,19 +129,13 @@ def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def _grams(words: list[bytes], width: int) -> np.ndarray:
-    """The distinct hashes of the shingles of a text with a word, in order."""
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) or [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
-
-
 def common_shingles(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The hashes, in order, of at most COMMON shingles that are most common in a sample of the texts, and their counts there."""
     share = max(1, docs.count() // SAMPLE_TEXTS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = ((x.as_py() or b"").lower().split() for x in batch.column(0).cast(pa.binary()))
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_grams(words, width) for words in texts if words)]), return_counts=True)
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_hashes(words, width)) for words in texts if words)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(share)) == 0).select(F.col(text_col).alias("text"))
@@ -144,23 +146,29 @@ def common_shingles(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
     return keys[at], top.column("n").to_numpy()[at]
 
 
-def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in an order with common ones last: two sets of this similarity share one of them."""
+def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in an order with common ones last, and how many of them are not common ones.
+
+    Two sets of this similarity share one of them.
+    """
     weight = np.zeros(len(hashes), np.int64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         weight = np.where(keys[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, weight))
-    return hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]]
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, weight))[:size]], min(size, int((weight == 0).sum()))
+
+
+SKETCH = "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n_rare int, size int"
 
 
 def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp, lanes, rare, n) of each text with a word.
+    """(doc_id, same, fp, lanes, rare, n_rare, size) of each text with a word.
 
-    A digest of its words, its fingerprint, those of its samples, its rarest shingles as ``_rare`` gives them
-    and how many different shingles it has.
+    A digest of its words, its fingerprint, those of its samples, its rarest shingles and how many of them are not
+    common as ``_rare`` gives them, and how many different shingles it has.
     """
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, id_col, text_col))
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, id_col, text_col))  # COMMON values at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -168,16 +176,17 @@ def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col:
             words = (x.as_py() or b"").lower().split()
             if not words:
                 continue
-            hashes = _grams(words, width)
-            rare = _rare(hashes, similarity, *held.value).view(np.int64)
-            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fingerprint(b" ".join(words), width), _lanes(hashes, lanes), rare, len(hashes)))
-        cols = list(zip(*rows)) or [()] * 6
+            hashes = _hashes(words, width)
+            fp, hashes = _majority(hashes), np.unique(hashes)
+            rare, n_rare = _rare(hashes, similarity, *held.value)
+            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fp, _lanes(hashes, lanes), rare.view(np.int64), n_rare, len(hashes)))
+        cols = list(zip(*rows)) or [()] * 7
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         longs = pa.list_(pa.int64())
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n"])
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n_rare", "size"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n int")
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, SKETCH)
 
 
 def _shingled(text: str, width: int) -> frozenset:
@@ -186,42 +195,77 @@ def _shingled(text: str, width: int) -> frozenset:
 
 
 def apart(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v), u > v, of texts (doc_id, rare, size) in different components of labels that could have the similarity.
+    """Pairs (u, v), u > v, of texts (doc_id, rare, n_rare, size) in different components of labels that could have the similarity.
 
     Texts of this similarity share one of their rarest shingles, and the first they share leaves enough after it
-    in both. Shingles seen within one component only are dropped before the join. Where many texts share one,
-    those of its largest component are not held against each other.
+    in both; in the smaller text it is even among the first (1 - s) / (1 + s) of its shingles. Shingles within one
+    component only are dropped first; common ones, known from the sample, never meet there, so no task gets a hot
+    one. Where many texts share a shingle, those of its largest component are not held against each other.
     """
-    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", F.coalesce("component", "doc_id").alias("part"))
-    keys = at.select("doc_id", "size", "part", F.posexplode("rare").alias("pos", "key"))
-    mixed = materialize(keys.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key"), "mixed")
-    held = materialize(keys.join(mixed, "key"), "held")
-    most = held.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-    left = materialize(held.join(most, "key").where("part <> most"), "left")
-    # of two texts outside the largest component both would stand on the left
-    fits = f"a.key = b.key and a.part <> b.part and (b.part = a.most or a.doc_id > b.doc_id) and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size)"
-    pairs = left.alias("a").join(held.alias("b"), F.expr(fits)).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v"))
-    return pairs.where("u <> v").distinct()
-
-
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 12, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges (u, v), u > v, between ids of texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
-
-    Texts with equal words are linked to the smallest id among them and stand for one. A first pass links most
-    groups by few comparisons: texts that share a fingerprint of a sample of the shingle set ("lane"), or whose
-    whole fingerprints are within two bits in the grid, are compared exactly. Up to ``few`` texts that
-    share such a fingerprint are all compared; of more, each is compared to the smallest id there and to the
-    smallest of its salted share of about ``few``.
-
-    The second pass (``apart``) compares whatever pairs of texts the first has not linked, directly or through others, and
-    could have the similarity. So the edges have the components of all pairs, and pairs within one may be left out.
+    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", "n_rare", F.coalesce("component", "doc_id").alias("part"))
+    keys = at.select("doc_id", "size", "part", "n_rare", F.posexplode("rare").alias("pos", "key"))
+    keys = keys.select("doc_id", "size", "part", "pos", "key", F.when(F.col("pos") >= F.col("n_rare"), F.col("doc_id")).alias("spread"))
+    together = Window.partitionBy("key", "spread")
+    mixed = keys.withColumn("lo", F.min("part").over(together)).withColumn("hi", F.max("part").over(together)).where("lo < hi or spread is not null")
+    held = materialize(mixed.select("doc_id", "size", "part", "pos", "key"), "held")
+    most = held.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    held = materialize(held.join(most, "key").select("doc_id", "size", "part", "pos", "key", (F.col("part") == F.col("most")).alias("top")), "met")
+    first = held.where(F.col("pos") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    fits = F.expr(f"""a.key = b.key and a.part <> b.part and (b.size < a.size or b.size = a.size and b.doc_id < a.doc_id)
+        and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size)""")
+    meet = lambda a, b: a.alias("a").join(b.alias("b"), fits).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v"))
+    return meet(held.where("not top"), first).unionByName(meet(held.where("top"), first.where("not top"))).where("u <> v").distinct()
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, broadcast in joins if they are counted to be few; others are joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
+def compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of the pairs (u, v) of which some texts have the similarity, compared word by word.
+
+    Only texts in a pair are moved. A pair's text u is held against that of v as texts stream by, sorted with v
+    first; of a v in many pairs these are dealt over tasks by about SHARE, so v's text is not copied for each of them.
     """
+    need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "need")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie"))
+    texts = materialize(texts.join(_few(need), "id", "left_semi").where("t is not null").dropDuplicates(["id", "tie"]), "texts")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    asked = pairs.join(shares, "v").join(texts.select(F.col("id").alias("v"), "tie"), "v").select("u", "v", "tie", F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"))
+    asked = materialize(asked, "asked")
+    first = asked.select("v", "tie", "share").distinct().join(texts.withColumnRenamed("id", "v"), ["v", "tie"]).select("v", "tie", "share", F.lit(None).cast("long").alias("u"), "t")
+    others = asked.join(texts.select(F.col("id").alias("u"), "t"), "u").select("v", "tie", "share", "u", "t")
+    both = first.unionByName(others).repartition("v", "tie", "share").sortWithinPartitions("v", "tie", "share", "u")  # nulls first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, known = None, frozenset()
+        for batch in batches:
+            keep: tuple[list, list] = ([], [])
+            for v, tie, share, u, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if u is None:
+                    head, known = (v, tie, share), _shingled(t, width)
+                    continue
+                assert head == (v, tie, share)
+                grams = _shingled(t, width)
+                common = len(known & grams)
+                if common >= similarity * (len(known) + len(grams) - common):
+                    keep[0].append(u)
+                    keep[1].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], names=["u", "v"])
+
+    bounded_batches(docs.sparkSession)
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _linked(docs: DataFrame, width: int, similarity: float, lanes: int, few: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges of the first pass, their components, and the edges of the second pass."""
     prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, similarity, id_col, text_col), "sketches")
     # written first, so that the join deals both sides anew and can divide a text of very many copies
     first = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "first")
-    named = prints.join(first, "same")
+    named = materialize(prints.select("doc_id", "same", "fp", "lanes").join(first, "same").drop("same"), "named")
     copies = named.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    alone = named.where("doc_id = first").select("doc_id", "fp", "lanes", "rare", F.col("n").alias("size"))
+    alone = named.where("doc_id = first").drop("first")
     keyed = alone.select("doc_id", F.posexplode("lanes").alias("lane", "key"))
     size = keyed.groupBy("lane", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
     held = materialize(keyed.join(size, ["lane", "key"]), "lanes")
@@ -234,32 +278,27 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int
     same_fp = alone.join(points, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     grid = links(points).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = materialize(pairs.unionByName(stars).unionByName(same_fp).unionByName(grid).where("u <> v").distinct(), "pairs")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache: dict[str, frozenset] = {}
+    edges = materialize(compared(pairs, docs, width, similarity, id_col, text_col).unionByName(copies).distinct(), "edges")
+    labels = materialize(connected(edges), "labels")
+    shown = prints.select("doc_id", "rare", "n_rare", "size").join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
+    rest = materialize(apart(shown, labels, similarity), "rest")
+    return edges, labels, compared(rest, docs, width, similarity, id_col, text_col).distinct()
 
-        def grams(text: str) -> frozenset:
-            if text not in cache:
-                if len(cache) > 64:
-                    cache.clear()
-                cache[text] = _shingled(text, width)
-            return cache[text]
 
-        keep = []
-        for tu, tv in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
-            a, b = grams(tu), grams(tv)
-            common = len(a & b)
-            keep.append(common >= similarity * (len(a) + len(b) - common))
-        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 12, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (u, v), u > v, between ids of texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v")
-        return map_arrow(both.select("u", "v", "tu", "tv"), run, "u long, v long")
+    Texts with equal words are linked to the smallest id among them and stand for one. A first pass links most
+    groups by few comparisons: texts that share a fingerprint of a sample of the shingle set ("lane"), or whose
+    whole fingerprints are within two bits in the grid, are compared exactly. Up to ``few`` texts that
+    share such a fingerprint are all compared; of more, each is compared to the smallest id there and to the
+    smallest of its salted share of about ``few``.
 
-    first_pass = materialize(compared(pairs).unionByName(copies).distinct(), "edges")
-    rest = materialize(apart(alone.select("doc_id", "rare", "size"), connected(first_pass), similarity), "rest")
-    return first_pass.unionByName(compared(rest)).distinct()
+    The second pass (``apart``) compares whatever pairs of texts the first has not linked, directly or through others, and
+    could have the similarity. So the edges have the components of all pairs, and pairs within one may be left out.
+    """
+    edges, _, rest = _linked(docs, width, similarity, lanes, few, id_col, text_col)
+    return edges.unionByName(rest).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,11 +307,16 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     All columns stay. Texts without a word and rows without an id are in no group. Of rows with equal id and text
     one stays; rows with one id and different texts are one document and go or stay together.
     """
-    groups = connected(similar(docs, width, similarity, id_col=id_col, text_col=text_col))
-    gone = groups.where("node <> component").select(F.col("node").alias(id_col))
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    return left.dropDuplicates([id_col, text_col]) if repeated else left
+    _, labels, rest = _linked(docs, width, similarity, 12, 16, id_col, text_col)
+    # the components so far are stars, so few steps are left
+    groups = connected(labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
+    gone = materialize(groups.where("node <> component").select(F.col("node").alias(id_col)), "gone")
+    left = docs.join(_few(gone), id_col, "left_anti").select(*docs.columns)
+    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
+    if twice.isEmpty():
+        return left
+    single = left.join(_few(twice), id_col, "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(_few(twice), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
