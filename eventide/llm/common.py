@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``); where it is unset and all runs on one machine, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -24,14 +28,39 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized within are removed at its end; what is needed later is materialized with keep."""
+    folder = fresh_path(spark, "scratch")
+    before = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back, so that later uses neither recompute nor lose it."""
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
+    folder = None if keep else _SCRATCH.get()
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}" if folder else fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+FEW_IDS = 1 << 20
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """ids (a written table of narrow rows), broadcast in joins if they are counted to be FEW_IDS, about 30 MB, at most; others are shuffled."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -5,6 +5,8 @@ A byte is removed if it lies in a string of LENGTH bytes that also starts somewh
 equal windows have anchors with equal fingerprints at equal offsets. An anchor's row stands for all
 windows it owns, about (LENGTH - GRAM) / 2 of them, and knows the hash of their union ("hull").
 
+0. A text of LENGTH bytes or more that occurs twice or more is removed whole. One of its copies stands for all of them in
+   what follows, so groups of copies and repeated rows cost what one text costs.
 1. Anchors whose fingerprint occurs once are done. Where all anchors of a fingerprint have one hull, all their
    windows repeat. So do those of a hull that occurs twice.
 2. What remains are anchors whose surroundings differ: one per hull is gathered by fingerprint, with the
@@ -12,14 +14,14 @@ windows it owns, about (LENGTH - GRAM) / 2 of them, and knows the hash of their
    intervals by a stack scan, and in each interval the bytes to the left are compared: members that agree on
    enough of them repeat, those in an interval whose left sides are all alike say nothing new. An interval
    and its left classes are maximal repeats with all their occurrences (``repeat_groups``), not only
-   neighbours in the array.
+   neighbours in the array. Left sides are sorted once; intervals take their common lengths from a table of range minima.
 3. A fingerprint with more than MEMBERS different hulls is not gathered: its windows are hashed (128 bits) one
    by one and counted by hash, with partial counts before the shuffle.
 
 No step holds a group of unbounded size, and copies collapse into counts before anything is compared.
-Texts are bytes in UTF-8, cut into overlapping segments so that memory doesn't grow with their length. Null and
-short texts have no windows. Rows of one id and text count as places of their own and get equal results;
-other columns are left aside; an empty table gives an empty result.
+Texts are bytes in UTF-8, known by their MD5, cut into overlapping segments so that memory doesn't grow with their
+length. Null and short texts have no windows. Rows of one id and text, or without an id, count as places of their own
+and get equal results; other columns are left aside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, few_ids, materialize
 
 LENGTH = 400
 GRAM = 128
@@ -108,10 +110,10 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return text[first], at, least, most, grams[at], hashes.of(at - most, at - least + length)
 
 
-def _segments(ids, ties, texts, length: int) -> Iterator[tuple[np.ndarray, list, list, list, np.ndarray]]:
+def _segments(ids, texts, length: int) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
     """Texts packed together up to SEGMENT bytes; longer ones in pieces that overlap by a window less a byte."""
     held, meta, size = [], [], 0
-    for doc, tie, x in zip(ids, ties, texts):
+    for text, x in zip(ids, texts):
         data = x or b""
         if len(data) < length:
             continue
@@ -121,7 +123,7 @@ def _segments(ids, ties, texts, length: int) -> Iterator[tuple[np.ndarray, list,
                 yield _pack(held, meta)
                 held, meta, size = [], [], 0
             held.append(piece)
-            meta.append((doc, tie, a))
+            meta.append((text, a))
             size += len(piece)
     if held:
         yield _pack(held, meta)
@@ -129,26 +131,24 @@ def _segments(ids, ties, texts, length: int) -> Iterator[tuple[np.ndarray, list,
 
 def _pack(held, meta):
     bounds = np.cumsum([0, *map(len, held)])
-    docs, ties, offset = zip(*meta)
-    return np.frombuffer(b"".join(held), np.uint8), list(docs), list(ties), bounds, np.array(offset, np.int64)
+    ids, offset = zip(*meta)
+    return np.frombuffer(b"".join(held), np.uint8), list(ids), bounds, np.array(offset, np.int64)
 
 
-ANCHOR = "fp long, hull long, doc long, tie int, pos int, a short, b short"
+ANCHOR = "fp long, hull long, id binary, pos int, a short, b short"
 
 
 def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors of all documents of rows (doc, tie, data)."""
+    """Anchors of all texts of rows (id, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, docs, ties, bounds, offset in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), length):
+            for data, ids, bounds, offset in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 text, at, least, most, fp, hull = anchors(data, bounds, length, gram)
                 if not len(text):
                     continue
                 pos = at - bounds[text] + offset[text]
-                doc = pa.array(docs, pa.int64()).take(pa.array(text))
-                tie = pa.array(ties, pa.int32()).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(hull.view(np.int64)), doc, tie, pa.array(pos.astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))], names=["fp", "hull", "doc", "tie", "pos", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))], names=["fp", "hull", "id", "pos", "a", "b"])
 
     bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, ANCHOR)
@@ -177,45 +177,61 @@ def prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int
             stack.append((here, left))
 
 
+def _neighbours(order: list[int], parts: list[bytes], same: np.ndarray | None = None) -> np.ndarray:
+    """The common prefix of each of the parts in this order with the one before it, 0 for the first and where same differs."""
+    widest, step, out = max(max(map(len, parts)), 1), 4096, [np.zeros(1, np.int64)]
+    for a in range(1, len(order), step):
+        some = order[a - 1 : a + step]
+        # ends of unequal texts never match: each row is padded with its own end mark
+        rows = np.full((len(some), widest), 256, np.uint16)
+        for row, i in zip(rows, some):
+            row[: len(parts[i])] = np.frombuffer(parts[i], np.uint8)
+        sizes = np.array([len(parts[i]) for i in some])
+        shared = np.minimum(_common(rows[1:], rows[:-1]), np.minimum(sizes[1:], sizes[:-1]))
+        if same is not None:
+            shared = np.where(same[some[1:]] == same[some[:-1]], shared, 0)
+        out.append(shared)
+    return np.concatenate(out)
+
+
+class _Minima:
+    """Smallest values of ranges of an array, from those of ranges whose sizes are powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values.astype(np.int32)]
+        while 2 << len(self.levels) - 1 <= len(values):
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The smallest of values[first : last + 1], element by element."""
+        out, size = np.empty(len(first), np.int64), last - first + 1
+        level = np.frexp(size)[1] - 1
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << int(k)) + 1])
+        return out
+
+
 def repeat_groups(fps: list[int], lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[list[int], int, np.ndarray]]:
     """Repeats through the anchors of a bin: (members, common bytes right of the anchor, each one's common bytes left).
 
     lefts are reversed. A member's common bytes are the most it shares with any other member. Intervals in which no
-    member's left side allows a repeat of length bytes are left out, and so are those whose left sides are not
-    diverse while a longer interval had the same members.
+    member's left side allows a repeat of length bytes are left out.
     """
     order = sorted(range(len(fps)), key=lambda i: (fps[i], rights[i]))
-    widest, deepest = max(map(len, rights)), max(max(map(len, lefts)), 1)
-
-    def matrix(parts: list[bytes], width: int) -> np.ndarray:
-        # ends of unequal texts never match: each row is padded with its own end mark
-        out = np.full((len(parts), width), 256, np.uint16)
-        for row, p in zip(out, parts):
-            row[: len(p)] = np.frombuffer(p, np.uint8)
-        return out
-
-    step = 4096
-    lcp = [0]
-    for a in range(1, len(order), step):
-        some = order[a - 1 : a + step]
-        right = matrix([rights[i] for i in some], widest)
-        sizes = np.array([len(rights[i]) for i in some])
-        same = np.array([fps[i] for i in some], np.int64)
-        shared = np.minimum(_common(right[1:], right[:-1]), np.minimum(sizes[1:], sizes[:-1]))
-        lcp += np.where(same[1:] == same[:-1], shared, 0).tolist()
-    for size, lo, hi in prefix_intervals(lcp, max(1, length - deepest)):
-        members = sorted(order[lo : hi + 1], key=lefts.__getitem__)
-        best = np.zeros(len(members), np.int64)
-        for a in range(1, len(members), step):
-            some = members[a - 1 : a + step]
-            left = matrix([lefts[i] for i in some], deepest)
-            sizes = np.array([len(lefts[i]) for i in some])
-            shared = np.minimum(_common(left[1:], left[:-1]), np.minimum(sizes[1:], sizes[:-1]))
-            at = np.arange(a - 1, a - 1 + len(some))
-            best[at[1:]] = np.maximum(best[at[1:]], shared)
-            best[at[:-1]] = np.maximum(best[at[:-1]], shared)
+    by_left = sorted(range(len(fps)), key=lefts.__getitem__)
+    rank = np.empty(len(fps), np.int64)
+    rank[by_left] = np.arange(len(fps))
+    shared_left = _Minima(_neighbours(by_left, lefts))
+    lcp = _neighbours(order, rights, np.array(fps, np.int64)).tolist()
+    places = np.array(order)
+    for size, lo, hi in prefix_intervals(lcp, max(1, length - max(map(len, lefts)))):
+        at = np.sort(rank[places[lo : hi + 1]])
+        shared = shared_left.of(at[:-1] + 1, at[1:])
+        best = np.maximum(np.concatenate([[0], shared]), np.concatenate([shared, [0]]))
         if best.max() + size >= length:
-            yield members, size, best
+            yield [by_left[i] for i in at], size, best
 
 
 def _bins(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
@@ -231,42 +247,41 @@ def _bins(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]
         yield held
 
 
-SPAN = "doc long, tie int, s int, e int"
+SPAN = "id binary, s int, e int"
+AROUND = "fp long, id binary, pos int, a short, b short, single boolean, many boolean, left_side binary, right_side binary"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "tie", "s", "e"])
+    cols = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int32(), pa.int32()])], names=["id", "s", "e"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(doc, tie, s, e): spans of repeated bytes of rows (doc, tie, data); spans of a document may overlap."""
-    found = anchor_rows(docs, length, gram)
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
+    """(id, s, e): spans of repeated bytes of texts (id, data), ids being unique; spans of a text may overlap."""
+    found = materialize(anchor_rows(texts, length, gram), "found")
     shared = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
     # written first, so that the join deals both sides anew and can divide a fingerprint of very many rows
     shared = materialize(shared.select("fp", (F.col("lo") == F.col("hi")).alias("one")), "shared")
-    held = found.join(shared, "fp")
-    held = materialize(held, "anchors")
-    whole = lambda df: df.select("doc", "tie", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + length).alias("e"))
+    held = materialize(found.join(shared, "fp"), "anchors")
+    whole = lambda df: df.select("id", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + length).alias("e"))
     done = whole(held.where("one"))
     mixed = held.where("not one")
-    hulls = materialize(mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min("doc").alias("least")), "hulls")
+    # one anchor per hull stands for it
+    hulls = mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "a", "b")).alias("at"))
+    hulls = materialize(hulls, "hulls")
     done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull"), ["fp", "hull"])))
-    # one anchor per hull, where a hull that stands alone has others to be compared with
+    # where a hull stands alone, it is compared with the others
     groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1").select("fp", "m")
-    wanted = mixed.join(hulls.select("fp", "hull", (F.col("n") == 1).alias("single"), "least"), ["fp", "hull"])
-    wanted = wanted.where("single or doc <=> least").join(groups, "fp").select("doc", "tie", F.struct("fp", "pos", "a", "b", "single", (F.col("m") > members).alias("many")).alias("w"))
-    asked = wanted.groupBy("doc", "tie").agg(F.collect_list("w").alias("ws"))  # no more than the text has anchors
-    texts = asked.join(docs, asked["doc"].eqNullSafe(docs["doc"]) & (asked["tie"] == docs["tie"])).select(asked["doc"], asked["tie"], "ws", "data")
+    wanted = hulls.join(groups, "fp").select("at.id", F.struct("fp", "at.pos", "at.a", "at.b", (F.col("n") == 1).alias("single"), (F.col("m") > members).alias("many")).alias("w"))
+    asked = wanted.groupBy("id").agg(F.collect_list("w").alias("ws"))  # no more than the text has anchors
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for doc, tie, ws, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, ws, data in zip(*(c.to_pylist() for c in batch.columns)):
                 for w in ws:
                     p = w["pos"]
-                    out.append((w["fp"], doc, tie, p, w["a"], w["b"], w["single"], w["many"], data[p - w["b"] : p][::-1], data[p : p - w["a"] + length]))
+                    out.append((w["fp"], text, p, w["a"], w["b"], w["single"], w["many"], data[p - w["b"] : p][::-1], data[p : p - w["a"] + length]))
                     size += 700
                     if size > 8 << 20:
                         yield _around(out)
@@ -274,40 +289,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memb
             if out:
                 yield _around(out)
 
-    around = texts.mapInArrow(cut, "fp long, doc long, tie int, pos int, a short, b short, single boolean, many boolean, left_side binary, right_side binary")
-    around = materialize(around, "around")
+    around = materialize(asked.join(texts, "id").select("id", "ws", "data").mapInArrow(cut, AROUND), "around")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _bins(batches, 4096):
             out = []
-            for group, size, best in repeat_groups([r[0] for r in rows], [r[8] for r in rows], [r[9] for r in rows], length):
+            for group, size, best in repeat_groups([r[0] for r in rows], [r[7] for r in rows], [r[8] for r in rows], length):
                 for i, left in zip(group, best.tolist()):
-                    _, doc, tie, p, a, b, single, _, _, _ = rows[i]
+                    _, text, p, a, b, single, _, _, _ = rows[i]
                     low, high = max(a, length - size), min(b, left)
                     if single and low <= high:
-                        out.append((doc, tie, p - high, p - low + length))
+                        out.append((text, p - high, p - low + length))
             yield _spans(out)
 
-    few = around.where("not many").repartition("fp").sortWithinPartitions("fp")
+    few = around.where("not many").repartition("fp").sortWithinPartitions("fp")  # MEMBERS rows of a fingerprint at most
     done = done.unionByName(few.mapInArrow(scan, SPAN))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, doc, tie, p, a, b, single, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, text, p, a, b, single, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(left[::-1] + right, np.uint8)
                 at = np.arange(b - a + 1)
                 x, y = (Hashes(data, k).of(at, at + length).view(np.int64) for k in (0, 1))
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int32()), pa.array((p - b + at).astype(np.int32)), pa.array([single] * n)], names=["x", "y", "doc", "tie", "s", "single"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([text] * n, pa.binary()), pa.array((p - b + at).astype(np.int32)), pa.array([single] * n)], names=["x", "y", "id", "s", "single"])
 
-    single = around.where("many").mapInArrow(windows, "x long, y long, doc long, tie int, s int, single boolean")
+    single = around.where("many").mapInArrow(windows, "x long, y long, id binary, s int, single boolean")
     twice = single.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    return done.unionByName(single.where("single").join(twice, ["x", "y"]).select("doc", "tie", "s", (F.col("s") + length).alias("e")))
+    return done.unionByName(single.where("single").join(twice, ["x", "y"]).select("id", "s", (F.col("s") + length).alias("e")))
 
 
 def _around(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
-    names = ["fp", "doc", "tie", "pos", "a", "b", "single", "many", "left_side", "right_side"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+    names = ["fp", "id", "pos", "a", "b", "single", "many", "left_side", "right_side"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -324,21 +338,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept is what is left, as bytes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("tie"), F.col(text_col).cast("binary").alias("data"))
-    spans = repeated_spans(rows, length, gram, members).groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    all_rows = rows.join(spans, rows["doc"].eqNullSafe(spans["doc"]) & (rows["tie"] == spans["tie"]), "left").select(rows["doc"], "data", "spans")
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.unhex(F.md5(data)).alias("id"), data.alias("data"))
+    long = rows.where(F.octet_length("data") >= length)
+    copied = few_ids(materialize(long.groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n > 1").select("id", "doc"), "copied"))
+    alone = rows.join(copied.select("id"), "id", "left_anti")
+    # one copy of each copied text: those of its smallest id, and of these any
+    stand_in = rows.join(copied.withColumnRenamed("doc", "least"), "id").where("doc <=> least").select("id", "data").dropDuplicates(["id"])
+    spans = repeated_spans(alone.where(F.octet_length("data") >= length).select("id", "data").unionByName(stand_in), length, gram, members)
+    spans = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))  # no more than the text has anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, data, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                data, gone = data or b"", merged([(x["s"], x["e"]) for x in spans or []])
+                gone = merged([(x["s"], x["e"]) for x in spans or []])
                 kept = b"".join(data[a:b] for (_, a), (b, _) in zip([(0, 0), *gone], [*gone, (len(data), 0)]))
                 out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return all_rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    short = rows.where(F.octet_length("data") < length).select("doc", "data", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
+    left = alone.where(F.octet_length("data") >= length).join(spans, "id", "left").select("doc", "data", "spans").unionByName(short).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    size, none = F.octet_length("data").cast("long"), F.lit(b"")
+    gone = rows.join(copied.select("id"), "id", "left_semi").select(F.col("doc").alias("doc_id"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(none, 256).alias("kept_sha256"), none.alias("kept"))
+    return left.unionByName(gone)
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
