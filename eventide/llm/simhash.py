@@ -27,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected, map_arrow, materialize
+from .common import bounded_batches, connected, few_ids, map_arrow, materialize, scratch
 
 SEED = 42
 GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))  # of the 32 two-bit segments
 CHUNK = 1 << 16
 SAMPLE_TEXTS = 1 << 14  # about so many texts are counted for the order of shingles
 COMMON = 1 << 15  # so many of their most common shingles come last in it
-FEW_IDS = 1 << 20  # as many ids, 16 MB, may be broadcast
 SHARE = 1024  # texts held against one text in a task
+KEYS = 32  # of the rarest shingles of a text of which most shingles are not common
+WORDS = 8  # 64-bit words in the parities of a shingle set
 
 
 def _hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -147,26 +148,37 @@ def common_shingles(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
 
 
 def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set in an order with common ones last, and how many of them are not common ones.
+    """The first shingles of a set in an order with common ones last and else by hash, and how many of them are not common.
 
-    Two sets of this similarity share one of them.
+    Two sets of this similarity share one of the first (1 - similarity) * n + 1. Where more than 2 * (1 - similarity) / similarity
+    of a set is not common (half of it, at 0.8), the first KEYS are enough: of the uncommon shingles in either set at
+    least half are then in both, so with hashes as order each of the first is with that chance, and a pair is missed with a
+    chance under 2 ** -KEYS.
     """
     weight = np.zeros(len(hashes), np.int64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         weight = np.where(keys[at] == hashes, counts[at], 0)
-    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    return hashes[np.lexsort((hashes, weight))[:size]], min(size, int((weight == 0).sum()))
+    size, rare = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1, int((weight == 0).sum())
+    if similarity * rare > 2 * (1 - similarity) * len(hashes):
+        size = min(size, KEYS)
+    return hashes[np.lexsort((hashes, weight))[:size]], min(size, rare)
 
 
-SKETCH = "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n_rare int, size int"
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS classes of shingles whether the set has an odd number: two sets differ in as many shingles at least as in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+SKETCH = "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n_rare int, size int, bits array<long>"
 
 
 def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp, lanes, rare, n_rare, size) of each text with a word.
+    """(doc_id, same, fp, lanes, rare, n_rare, size, bits) of each text with a word.
 
     A digest of its words, its fingerprint, those of its samples, its rarest shingles and how many of them are not
-    common as ``_rare`` gives them, and how many different shingles it has.
+    common as ``_rare`` gives them, how many different shingles it has, and their parities.
     """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, id_col, text_col))  # COMMON values at most
 
@@ -179,47 +191,50 @@ def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col:
             hashes = _hashes(words, width)
             fp, hashes = _majority(hashes), np.unique(hashes)
             rare, n_rare = _rare(hashes, similarity, *held.value)
-            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fp, _lanes(hashes, lanes), rare.view(np.int64), n_rare, len(hashes)))
-        cols = list(zip(*rows)) or [()] * 7
+            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fp, _lanes(hashes, lanes), rare.view(np.int64), n_rare, len(hashes), _parities(hashes)))
+        cols = list(zip(*rows)) or [()] * 8
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         longs = pa.list_(pa.int64())
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n_rare", "size"])
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32()), pa.array(list(cols[7]), longs)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n_rare", "size", "bits"])
 
     return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, SKETCH)
 
 
+def _alike(similarity: float) -> str:
+    """Whether the parities of sets a and b leave them room for the similarity."""
+    differ = " + ".join(f"bit_count(a.bits[{i}] ^ b.bits[{i}])" for i in range(WORDS))
+    return f"{differ} <= {(1 - similarity) / (1 + similarity)!r}D * (a.size + b.size) + 1e-6"
+
+
 def _shingled(text: str, width: int) -> frozenset:
     words = text.encode().lower().split()
     return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
 
 
 def apart(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v), u > v, of texts (doc_id, rare, n_rare, size) in different components of labels that could have the similarity.
+    """Pairs (u, v), u > v, of texts (doc_id, rare, n_rare, size, bits) in different components of labels that could have the similarity.
 
     Texts of this similarity share one of their rarest shingles, and the first they share leaves enough after it
-    in both; in the smaller text it is even among the first (1 - s) / (1 + s) of its shingles. Shingles within one
-    component only are dropped first; common ones, known from the sample, never meet there, so no task gets a hot
-    one. Where many texts share a shingle, those of its largest component are not held against each other.
+    in both; in the smaller text it is even among the first (1 - s) / (1 + s) of its shingles. And their parities differ in
+    few bits. Shingles within one component only are dropped first; common ones, known from the sample, never meet there, so
+    no task gets a hot one. Where many texts share a shingle, those of its largest component are not held against each other.
     """
-    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", "n_rare", F.coalesce("component", "doc_id").alias("part"))
-    keys = at.select("doc_id", "size", "part", "n_rare", F.posexplode("rare").alias("pos", "key"))
-    keys = keys.select("doc_id", "size", "part", "pos", "key", F.when(F.col("pos") >= F.col("n_rare"), F.col("doc_id")).alias("spread"))
+    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", "n_rare", "bits", F.coalesce("component", "doc_id").alias("part"))
+    at = materialize(at, "at")
+    keys = at.select("doc_id", "part", "n_rare", F.posexplode("rare").alias("pos", "key"))
+    keys = keys.select("doc_id", "part", "pos", "key", F.when(F.col("pos") >= F.col("n_rare"), F.col("doc_id")).alias("spread"))
     together = Window.partitionBy("key", "spread")
     mixed = keys.withColumn("lo", F.min("part").over(together)).withColumn("hi", F.max("part").over(together)).where("lo < hi or spread is not null")
-    held = materialize(mixed.select("doc_id", "size", "part", "pos", "key"), "held")
+    held = materialize(mixed.select("doc_id", "part", "pos", "key"), "held")
     most = held.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    held = materialize(held.join(most, "key").select("doc_id", "size", "part", "pos", "key", (F.col("part") == F.col("most")).alias("top")), "met")
-    first = held.where(F.col("pos") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    met = materialize(held.join(most, "key").select("doc_id", "pos", "key", "part", (F.col("part") == F.col("most")).alias("top")), "met")
+    met = materialize(met.join(at.select("doc_id", "size", "bits"), "doc_id"), "sized")
+    first = met.where(F.col("pos") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-6)
     fits = F.expr(f"""a.key = b.key and a.part <> b.part and (b.size < a.size or b.size = a.size and b.doc_id < a.doc_id)
-        and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size)""")
+        and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size) and {_alike(similarity)}""")
     meet = lambda a, b: a.alias("a").join(b.alias("b"), fits).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v"))
-    return meet(held.where("not top"), first).unionByName(meet(held.where("top"), first.where("not top"))).where("u <> v").distinct()
-
-
-def _few(ids: DataFrame) -> DataFrame:
-    """ids, broadcast in joins if they are counted to be few; others are joined by a shuffle."""
-    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+    return meet(met.where("not top"), first).unionByName(meet(met.where("top"), first.where("not top"))).where("u <> v").distinct()
 
 
 def compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +245,7 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, i
     """
     need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "need")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie"))
-    texts = materialize(texts.join(_few(need), "id", "left_semi").where("t is not null").dropDuplicates(["id", "tie"]), "texts")
+    texts = materialize(texts.join(few_ids(need), "id", "left_semi").where("t is not null").dropDuplicates(["id", "tie"]), "texts")
     shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     asked = pairs.join(shares, "v").join(texts.select(F.col("id").alias("v"), "tie"), "v").select("u", "v", "tie", F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"))
     asked = materialize(asked, "asked")
@@ -277,10 +292,13 @@ def _linked(docs: DataFrame, width: int, similarity: float, lanes: int, few: int
     points = alone.groupBy("fp").agg(F.min("doc_id").alias("node"))
     same_fp = alone.join(points, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     grid = links(points).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pairs = materialize(pairs.unionByName(stars).unionByName(same_fp).unionByName(grid).where("u <> v").distinct(), "pairs")
+    pairs = materialize(pairs.unionByName(stars).unionByName(same_fp).unionByName(grid).where("u <> v").distinct(), "near")
+    sized = prints.select("doc_id", "size", "bits")
+    alike = pairs.join(sized.alias("a"), F.col("u") == F.col("a.doc_id")).join(sized.alias("b"), F.col("v") == F.col("b.doc_id")).where(_alike(similarity))
+    pairs = materialize(alike.select("u", "v").distinct(), "pairs")
     edges = materialize(compared(pairs, docs, width, similarity, id_col, text_col).unionByName(copies).distinct(), "edges")
     labels = materialize(connected(edges), "labels")
-    shown = prints.select("doc_id", "rare", "n_rare", "size").join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
+    shown = prints.select("doc_id", "rare", "n_rare", "size", "bits").join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
     rest = materialize(apart(shown, labels, similarity), "rest")
     return edges, labels, compared(rest, docs, width, similarity, id_col, text_col).distinct()
 
@@ -307,16 +325,17 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     All columns stay. Texts without a word and rows without an id are in no group. Of rows with equal id and text
     one stays; rows with one id and different texts are one document and go or stay together.
     """
-    _, labels, rest = _linked(docs, width, similarity, 12, 16, id_col, text_col)
-    # the components so far are stars, so few steps are left
-    groups = connected(labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
-    gone = materialize(groups.where("node <> component").select(F.col("node").alias(id_col)), "gone")
-    left = docs.join(_few(gone), id_col, "left_anti").select(*docs.columns)
-    twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
+    with scratch(docs.sparkSession):
+        _, labels, rest = _linked(docs, width, similarity, 12, 16, id_col, text_col)
+        # the components so far are stars, so few steps are left
+        groups = connected(labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
+        gone = materialize(groups.where("node <> component").select(F.col("node").alias(id_col)), "gone", keep=True)
+        twice = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice", keep=True)
+    left = docs.join(few_ids(gone), id_col, "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return left
-    single = left.join(_few(twice), id_col, "left_anti").select(*docs.columns)
-    return single.unionByName(left.join(_few(twice), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
+    single = left.join(few_ids(twice), id_col, "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(few_ids(twice), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
