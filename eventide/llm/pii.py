@@ -11,13 +11,18 @@ before it is left out.
 
 The trees are fitted on what the generators cut from SAMPLE made-up texts and a quarter more of known kind
 (``training_rows``), with features from the same expressions. Positions are code points, ends exclusive. Null texts are empty and have no
-spans. Repeated rows and ids are all kept. An empty table gives an empty result. All patterns run in time
-linear in the text: they start only where a run of their characters starts, or where the last match ended.
+spans. Repeated rows and ids are all kept. An empty table gives an empty result.
+
+Time is linear in the text, whatever it holds (but for sorting its spans). Patterns start only where a run of their
+characters starts, or where the last match ended. Places, the text before a candidate, overlaps and what is left
+between redacted spans come from scans (``_scan``), which append to blocks of bounded size and never look back into the text.
 """
 
 from __future__ import annotations
 
 import random
+import re
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -37,13 +42,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 # Generators of further candidates.
 TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-)[A-Za-z0-9_/+-]{16,}+"
-GROUPS = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ .-]{0,3}+[0-9](?:[ ().-]?+[0-9]){4,}+|\(?[0-9](?:[ ().-]?+[0-9]){6,}+)(?![A-Za-z0-9])"
-WIDE = r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,3}+[0-9]){6,}+(?![A-Za-z0-9])"
+GROUPS = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ .-]{0,3}+[0-9](?:[ ().-]?+[0-9]){4,}+|\(?[0-9](?:[ ().-]?+[0-9]){6,}+)[A-Za-z]?+"  # those that end in a letter are dropped
+WIDE = r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,3}+[0-9]){6,}+[A-Za-z]?+"
 KEYED = r"""(?i)(?<![a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth)["']?\s{0,3}[=:]|bearer\s)\s{0,3}(?:"[^"\n]++"|'[^'\n]++'|[^\s"'<>,;]++)"""
 KEYED_VALUE = r"""(?i)^(?:[a-z_-]+["']?\s*[=:]|bearer\s)\s*["']?(.*?)["']?$"""
 SPELLED = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++ ?[\[(] ?at ?[\])] ?[\p{L}0-9-]++(?: ?[\[(] ?dot ?[\])] ?[\p{L}0-9-]++)++"
 MORE = {"secret": (TOKEN,), "value": (KEYED,), "identifier": (GROUPS, WIDE), "spelled": (SPELLED,)}
-BEFORE = 28
+BEFORE = 28  # characters before a candidate that features look at
+BLOCK = 256
+PIECE = 256
 
 FEATURES = {
     "n": "length(v)",
@@ -66,52 +73,100 @@ FEATURES = {
 }
 
 
+SPAN = "struct<kind:string,start:int,end:int>"
+FOUND = "struct<kind:string,start:int,end:int,v:string,b:string>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(xs: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step(state, x) -> (state, out) gives out for each x in order, as an array of the SQL type kind.
+
+    An array grows by a copy, so outputs are appended to blocks of BLOCK, and those to the whole: BLOCK / 2 + n / (2 * BLOCK ** 2)
+    copied pointers for each of n elements.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        def grown(pair: Column) -> Column:
+            return F.struct(pair["s"].alias("s"), F.array_append(acc["o"], pair["o"]).alias("o"))
+
+        after, out = step(acc["s"], x)
+        return _let(F.struct(after.alias("s"), out.alias("o")), grown)
+
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["s"].alias("s"), _none(kind).alias("o")), one)
+        return _let(done, lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["o"], r["o"]).alias("o")))
+
+    def blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+        return F.flatten(F.aggregate(cut, F.struct(zero.alias("s"), _none(f"array<{kind}>").alias("o")), block)["o"])
+
+    return _let(xs, blocks)
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, v>> of the matches of pattern."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,v:string>>").alias("out"))
+    """array<FOUND> of the matches of pattern, each with the BEFORE characters before it as b."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("v"))).alias("out"))
+        before = F.right(F.concat(state["tail"], x["p"]), F.lit(BEFORE))
+        after = F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(BEFORE)).alias("tail"))
+        return after, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("v"), before.alias("b"))
+
+    def located(found: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        zipped = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+        return _scan(zipped, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, FOUND)
 
-    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, begin, step, lambda acc: acc["out"])).otherwise(begin["out"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, located(found)).otherwise(_none(FOUND)))
 
 
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
+def _gated(test: Column, spans: Column) -> Column:
+    return F.when(test, spans).otherwise(_none(FOUND))
+
+
 def base_spans(text: Column) -> Column:
     """The four base kinds, kinds in order, then by start."""
-    gate = lambda test, spans: F.when(test, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,v:string>>"))
     # leading zeros count for nothing; what remains has three digits at most before it is read as a number
     ip_fits = lambda s: F.forall(F.split(s["v"], "\\."), lambda o: F.length(F.ltrim(o, F.lit("0"))).between(0, 3) & (F.substring(F.concat(F.lit("0"), o), -4, 4).cast("int") <= 255))
-    card_fits = lambda s: F.length(_digits(s["v"])).between(13, 19) & F.call_function("luhn_check", _digits(s["v"]))
+    card_fits = lambda s: F.length(s["v"]).between(13, 37) & F.length(_digits(s["v"])).between(13, 19) & F.call_function("luhn_check", _digits(s["v"]))
     phone_fits = lambda s: F.length(_digits(s["v"])).between(9, 15)
     return F.concat(
-        gate(text.contains("@"), _spans(text, EMAIL, "email")),
+        _gated(text.contains("@"), _spans(text, EMAIL, "email")),
         F.filter(_spans(text, IP, "ip"), ip_fits),
         F.filter(_spans(text, CARD, "card"), card_fits),
-        gate(text.contains("+"), F.filter(_spans(text, PHONE, "phone"), phone_fits)),
+        _gated(text.contains("+"), F.filter(_spans(text, PHONE, "phone"), phone_fits)),
     )
 
 
 def candidates(text: Column) -> Column:
     """Spans proposed beyond the base kinds."""
-    gate = lambda test, spans: F.when(test, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,v:string>>"))
 
     def value(s: Column) -> Column:
         # the value's place in the match is that after the key word, and before a closing quote
-        v = F.regexp_extract(s["v"], KEYED_VALUE, 1)
-        start = s["end"] - F.length(v) - F.when(s["v"].rlike("[\"']$"), 1).otherwise(0)
-        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), v.alias("v"))
+        def placed(v: Column) -> Column:
+            end = s["end"] - F.when(s["v"].rlike("[\"']$"), 1).otherwise(0)
+            before = s["v"].substr(F.lit(1), end - F.length(v) - s["start"])
+            return F.struct(s["kind"].alias("kind"), (end - F.length(v)).alias("start"), end.alias("end"), v.alias("v"), F.right(F.concat(s["b"], before), F.lit(BEFORE)).alias("b"))
+
+        return _let(F.regexp_extract(s["v"], KEYED_VALUE, 1), placed)
 
-    keyed = gate(text.rlike("(?i)password|passwd|pwd|secret|token|key|auth|bearer"), F.transform(_spans(text, KEYED, "value"), value))
-    spelled = gate(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
-    return F.concat(_spans(text, TOKEN, "secret"), F.filter(keyed, lambda s: s["end"] > s["start"]), _spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier"), spelled)
+    keyed = _gated(text.rlike("(?i)password|passwd|pwd|secret|token|key|auth|bearer"), F.transform(_spans(text, KEYED, "value"), value))
+    spelled = _gated(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
+    groups = F.concat(_spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier"))
+    return F.concat(_spans(text, TOKEN, "secret"), F.filter(keyed, lambda s: s["end"] > s["start"]), F.filter(groups, lambda s: ~s["v"].rlike("[A-Za-z]$")), spelled)
 
 
 def training_rows(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str, int]]:
@@ -189,8 +244,6 @@ def _featured(c: str) -> str:
 
 
 def _bind(expression: str, c: str) -> str:
-    import re
-
     return re.sub(r"(?<![A-Za-z'\[_\\])\b([vb])\b(?=[,) ])", lambda m: f"{c}.{m[1]}", expression)
 
 
@@ -201,8 +254,7 @@ def _models(app: str) -> dict[str, tuple[boosting.Boosted, float]]:
     rows = spark.createDataFrame([(b + v + (b[-1] if b[-1] in "\"'" else "") + " end", len(b), len(b) + len(v), y) for _, b, v, y in training_rows()], "t string, low int, high int, y int")
     # what the generators cut from the rows, whatever the corpus; parts of a made-up candidate have its label
     cut = rows.select("t", "low", "high", "y", F.explode(candidates(F.col("t"))).alias("s")).where("s.start < high and low < s.end")
-    context = f"struct(s.v AS v, substring(t, greatest(s.start - {BEFORE}, 0) + 1, least(s.start, {BEFORE})) AS b)"
-    got = cut.select(F.col("s.kind").alias("kind"), "y", F.expr(context).alias("c")).select("kind", "y", F.expr(_featured("c")).alias("f")).collect()
+    got = cut.select(F.col("s.kind").alias("kind"), "y", F.expr(_featured("s")).alias("f")).collect()
     out = {}
     for kind in MORE:
         x = np.array([list(r["f"]) for r in got if r["kind"] == kind], float)
@@ -213,6 +265,30 @@ def _models(app: str) -> dict[str, tuple[boosting.Boosted, float]]:
     return out
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Those of more (array<SPAN>) that overlap neither a base span nor one before them that stays; longer ones first."""
+    mark = lambda rank: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), (-s["end"]).alias("back"), s["kind"].alias("kind"))
+    marks = F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(more, mark(1))))
+
+    def behind(reached: Column, x: Column) -> tuple[Column, Column]:
+        is_base = x["rank"] == 0
+        return F.when(is_base, F.greatest(reached, -x["back"])).otherwise(reached), F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("end"), is_base.alias("base"), (reached > x["start"]).alias("hit"))
+
+    def ahead(next_base: Column, x: Column) -> tuple[Column, Column]:
+        free = ~x["base"] & ~x["hit"] & (next_base >= x["end"])
+        return F.when(x["base"], x["start"]).otherwise(next_base), F.when(free, F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    def greedy(last: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= last
+        kind = F.when(x["kind"] == "value", "secret").otherwise(x["kind"])
+        return F.when(free, x["end"]).otherwise(last), F.when(free, F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    there = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    seen = _scan(marks, F.lit(0), behind, "struct<kind:string,start:int,end:int,base:boolean,hit:boolean>")
+    free = there(_scan(F.reverse(seen), F.lit(2**31 - 1), ahead, SPAN))
+    return F.array_sort(there(_scan(F.reverse(free), F.lit(0), greedy, SPAN)))
+
+
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with two columns more: base and spans, arrays of (kind, start, end), base spans first in spans.
 
@@ -222,18 +298,43 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     models = _models(spark.sparkContext.applicationId)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.withColumn("_t", text).withColumn("_base", base_spans(F.col("_t"))).withColumn("_more", candidates(F.col("_t")))
-    context = f"transform(_more, s -> struct(s.kind AS kind, s.start AS start, s.end AS end, s.v AS v, substring(_t, greatest(s.start - {BEFORE}, 0) + 1, least(s.start, {BEFORE})) AS b))"
-    held = held.withColumn("_more", F.expr(context)).withColumn("_more", F.expr(f"transform(_more, s -> struct(s.kind AS kind, s.start AS start, s.end AS end, {_featured('s')} AS f))"))
     tests = []
     for kind, (model, least) in models.items():
         if np.isfinite(least):
             tests.append(f"s.kind = '{kind}' AND ({model.sql([f's.f.{n}' for n in FEATURES])}) >= {least!r}D")
-    chosen = f"array_sort(filter(_more, s -> ({' OR '.join(f'({t})' for t in tests) or 'false'}) AND NOT exists(_base, o -> o.start < s.end AND s.start < o.end)), (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.end - a.end END)"
-    apart = "aggregate(_more, cast(array() AS array<struct<kind:string,start:int,end:int>>), (out, s) -> CASE WHEN size(out) > 0 AND element_at(out, -1).end > s.start THEN out ELSE array_append(out, struct(IF(s.kind = 'value', 'secret', s.kind) AS kind, s.start AS start, s.end AS end)) END)"
-    held = held.withColumn("_more", F.expr(chosen)).withColumn("_more", F.expr(apart))
-    held = held.withColumn("base", F.expr("transform(_base, s -> struct(s.kind AS kind, s.start AS start, s.end AS end))"))
-    more = "array_sort(_more, (a, b) -> CASE WHEN a.kind <> b.kind THEN CASE WHEN a.kind < b.kind THEN -1 ELSE 1 END ELSE a.start - b.start END)"
-    return held.withColumn("spans", F.concat("base", F.expr(more))).drop("_t", "_base", "_more")
+    held = held.withColumn("_more", F.expr(f"transform(_more, s -> struct(s.kind AS kind, s.start AS start, s.end AS end, {_featured('s')} AS f))"))
+    held = held.withColumn("_more", F.expr(f"filter(_more, s -> {' OR '.join(f'({t})' for t in tests) or 'false'})"))
+    spans = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    held = held.withColumn("base", spans(F.col("_base"))).withColumn("_more", spans(F.col("_more")))
+    more = _let(F.col("_more"), lambda m: F.when(F.size(m) > 0, _apart(F.col("base"), m)).otherwise(_none(SPAN)))
+    return held.withColumn("spans", F.concat("base", more)).drop("_t", "_base", "_more")
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """text with the union of spans replaced by their kinds; each run has the kind of its first span."""
+
+    def joined(state: Column, x: Column) -> tuple[Column, Column]:
+        end, new = -x["back"], x["start"] >= state["end"]
+        run = F.struct(F.when(new, x["kind"]).otherwise(state["kind"]).alias("kind"), F.when(new, x["start"]).otherwise(state["start"]).alias("start"), F.greatest(state["end"], end).alias("end"))
+        return run, F.struct(run.alias("run"), new.alias("new"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    zero = F.struct(F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    grown = _scan(ordered, zero, joined, f"struct<run:{SPAN},new:boolean>")
+    # a run is whole where the next one begins, or nothing follows
+    last = lambda g: F.filter(F.zip_with(g, F.slice(g, F.lit(2), F.size(g)), lambda x, y: F.when(F.coalesce(y["new"], F.lit(True)), x["run"])), lambda x: x.isNotNull())
+
+    def built(parts: Column, runs: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            some = F.slice(parts, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+            return F.when(b > a, F.array_join(some, "").substr(a - first * PIECE + 1, b - a)).otherwise("")
+
+        between = F.zip_with(runs, F.concat(F.array(F.lit(0)), F.transform(runs, lambda s: s["end"])), lambda s, at: F.when(s.isNull(), cut(at, F.length(text))).otherwise(F.concat(cut(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        return F.array_join(between, "")
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(parts, lambda p: _let(_let(grown, last), lambda runs: built(p, runs)))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -243,16 +344,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.toDF(*(f"c{i}" for i in range(len(schema))))
     text_col = f"c{at}"
     found = find(docs, text_col)
-    ordered = "array_sort(spans, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.end - a.end END)"
-    merged = """aggregate(_s, cast(array() AS array<struct<kind:string,start:int,end:int>>), (out, s) -> CASE
-        WHEN size(out) > 0 AND element_at(out, -1).end > s.start
-        THEN array_append(slice(out, 1, size(out) - 1), struct(element_at(out, -1).kind AS kind, element_at(out, -1).start AS start, greatest(element_at(out, -1).end, s.end) AS end))
-        ELSE array_append(out, s) END)"""
-    tail = f"substring({text_col}, element_at(_s, -1).end + 1)"
-    pieces = f"transform(_s, (s, i) -> concat(substring({text_col}, IF(i = 0, 0, _s[i - 1].end) + 1, s.start - IF(i = 0, 0, _s[i - 1].end)), '[', upper(s.kind), ']'))"
-    out = found.withColumn("_s", F.expr(ordered)).withColumn("_s", F.expr(merged))
-    clean = F.when(F.size("_s") > 0, F.expr(f"concat(array_join({pieces}, ''), {tail})")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, clean).select(*docs.columns).toDF(*schema)
+    clean = F.when(F.size("spans") > 0, _replaced(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
+    return found.withColumn(text_col, clean).select(*docs.columns).toDF(*schema)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
