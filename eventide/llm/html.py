@@ -9,7 +9,11 @@ an excluded node is excluded. So no node contradicts an ancestor.
 
 The trees are fitted on SAMPLE_PAGES made-up pages of varied layout with known article (``made_up_page``), and on
 BARE_PAGES whose article stands directly in the body, or in the page where it has none; so the body and the root can be
-the article too.
+the article too. Attribute tokens (words of class, id, role and the like) count by weights learned on a sample of their own:
+the log-odds that an element with the token is in the article. A node's features have the highest and the lowest of its tokens.
+
+Parsing takes time linear in the page: open elements are found by name through lists of their places, never by a
+walk over the stack, and what follows the last '>' is not searched for tags.
 Text is taken from all blocks inside the article, whole and in page order: character references decoded,
 white space in a block as one space, ends trimmed, blocks joined by line ends. Null and empty html gives the
 empty text; a page without tags is one block of text in the root, judged like any other.
@@ -19,9 +23,13 @@ Rows with equal ids are all kept; extra columns are left aside; an empty table g
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +41,74 @@ from .common import map_arrow
 
 SAMPLE_PAGES = 500
 BARE_PAGES = 150
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(script|style|noscript|template|svg|textarea|select|iframe)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<", re.S | re.I)
+TOKEN_PAGES = 500
+RARE = 4  # attribute tokens in fewer elements than this have no weight
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>|<(script|style|noscript|template|svg|textarea|select|iframe)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*+>|[^<]++|<", re.S | re.I)
 ATTR = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 KEEPS_P = frozenset("body html head title".split())
-GOOD = re.compile(r"article|content|main|post|entry|story|body|text|blog|column", re.I)
-BAD = re.compile(r"nav|menu|(?:^|[^a-z])ads?(?:[^a-z]|$)|advert|sponsor|banner|foot|(?:^|[^a-z])head(?:er)?(?:[^a-z]|$)|masthead|side|aside|comment|cookie|consent|notice|alert|form|share|social|relat|promo|popup|modal|subscri|newsletter|login|search|breadcrumb|widget|toolbar|pager|tags|disqus|reply|copyright|legal", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KIND = {t: n for n, tags in enumerate(("article main", "nav menu", "aside", "footer", "header", "form fieldset dialog", "head title", "body html", "section div", "ul ol dl", "li dt dd", "h1 h2 h3 h4 h5 h6", "p pre blockquote", "table tbody thead tr td th")) for t in tags.split()}
 FLAGS = (0, 1, 2, 3, 4, 5, 6, 7)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "good", "bad", "kids", "start", "end", "chars", "links", "tags", "paras", "stops", "under_good", "under_bad", "under")
+    __slots__ = ("tag", "parent", "depth", "tokens", "kids", "start", "chars", "links", "tags", "stops")
 
     def __init__(self, tag: str, parent: int, depth: int, marks: str, start: int):
-        self.tag, self.parent, self.depth, self.start, self.end = tag, parent, depth, start, start
-        self.good, self.bad = bool(GOOD.search(marks)), bool(BAD.search(marks))
-        self.kids, self.chars, self.links, self.tags, self.paras, self.stops = 0, 0, 0, 0, 0, 0
+        self.tag, self.parent, self.depth, self.start = tag, parent, depth, start
+        self.tokens = {x.lower() for x in WORD.findall(marks)} if marks else ()
+        self.kids, self.chars, self.links, self.tags, self.stops = 0, 0, 0, 0, 0
+
+
+class _Open:
+    """The open elements: their stack, the places of each name in it, and the block elements among them."""
+
+    def __init__(self):
+        self.stack: list[str] = ["#root"]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[tuple[int, int]] = [(0, 0)]  # (place in the stack, node)
+        self.links = 0
+
+    def push(self, tag: str, node: int | None = None) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if node is not None:
+            self.blocks.append((len(self.stack), node))
+        self.links += tag == "a"
+        self.stack.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Close the element at this place of the stack and all within it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop()
+            self.at[tag].pop()
+            self.links -= tag == "a"
+        while self.blocks[-1][0] >= place:
+            self.blocks.pop()
+
+    def top(self) -> int:
+        return self.blocks[-1][1]
+
+
+def _tokens(page: str) -> Iterator[re.Match | str]:
+    """What TOKEN finds, and the text behind the last '>', where no tag can end."""
+    end, m = page.rfind(">") + 1, None
+    for m in TOKEN.finditer(page, 0, end):
+        yield m
+    if m is not None and m[0].startswith("<!--"):
+        inside = len(m[0]) < 7 or not m[0].endswith("-->")
+    else:
+        inside = m is not None and m[1] is not None and not m[0][:-1].rstrip().lower().endswith(f"</{m[1].lower()}")
+    if end < len(page) and not inside:  # else it is within a comment or element that is never closed
+        yield page[end:].partition("<!--")[0]
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order (the first is the root) and the blocks of text, each with its element."""
-    nodes, stack, blocks = [Node("#root", -1, 0, "", 0)], [("#root", 0)], []
+    nodes, there, blocks = [Node("#root", -1, 0, "", 0)], _Open(), []
     run: list[str] = []
-    links = 0
     top = 0
 
     def flush() -> None:
@@ -71,47 +121,42 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.chars += len(text)
                 node.stops += sum(map(text.count, ".,;!?"))
 
-    for m in TOKEN.finditer(page):
-        tag = m[3]
+    for m in _tokens(page):
+        shown = m if isinstance(m, str) else m[0]
+        tag = None if isinstance(m, str) else m[3]
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                run.append(m[0])
-                if links:
-                    nodes[top].links += len(m[0].strip())
+            if shown[:1] != "<" or shown == "<" or isinstance(m, str):
+                run.append(shown)
+                if there.links:
+                    nodes[top].links += len(shown.strip())
             continue
         tag = tag.lower()
         block = tag in BLOCKS
         if m[2]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at:
+            if there.at.get(tag):
                 if block:
                     flush()
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
-                if not block:
-                    continue
-                top = next(n for _, n in reversed(stack) if n is not None)
+                there.cut(there.at[tag][-1])
+                top = there.top()
             continue
         if not block:
             if tag == "br":
                 run.append(" ")
             nodes[top].tags += 1
             if tag not in VOID and not m[4].endswith("/"):
-                links += tag == "a"
-                stack.append((tag, None))
+                there.push(tag)
             continue
         flush()
         closing = CLOSES.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
-            t = stack[k][0]
-            if (t == "p" and tag not in KEEPS_P) or t in closing:
-                links -= sum(x == "a" for x, _ in stack[k:])
-                del stack[k:]
-                if t not in ("td", "th"):
-                    break
-            elif t in BLOCKS and not (closing and t in ("p",)):
+        while len(there.blocks) > 1:
+            place = there.blocks[-1][0]
+            t = there.stack[place]
+            if not ((t == "p" and tag not in KEEPS_P) or t in closing):
+                break
+            there.cut(place)
+            if t not in ("td", "th"):
                 break
-        top = next(n for _, n in reversed(stack) if n is not None)
+        top = there.top()
         if tag in VOID:
             nodes[top].tags += 1
             continue
@@ -119,13 +164,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes[top].kids += 1
         nodes.append(Node(tag, top, nodes[top].depth + 1, marks, len(blocks)))
         top = len(nodes) - 1
-        stack.append((tag, top))
+        there.push(tag, top)
     flush()
     return nodes, blocks
 
 
-def node_features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
-    """A row of features for each node."""
+def node_features(nodes: list[Node], blocks: list[tuple[int, str]], weights: dict[str, float]) -> np.ndarray:
+    """A row of features for each node; weights are those of attribute tokens."""
     n = len(nodes)
     parent = np.array([x.parent for x in nodes])
     own = np.array([[x.chars, x.links, x.tags + 1, x.tag in ("p", "pre", "blockquote"), x.stops, x.tag == "li"] for x in nodes], float)
@@ -134,7 +179,8 @@ def node_features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarra
         sub[parent[i]] += sub[i]
     up = np.maximum(parent, 0)
     kind = np.array([KIND.get(x.tag, 14) for x in nodes])
-    good, bad = np.array([x.good for x in nodes], float), np.array([x.bad for x in nodes], float)
+    good = np.array([max((weights.get(t, 0.0) for t in x.tokens), default=0.0) for x in nodes])
+    bad = np.array([-min((weights.get(t, 0.0) for t in x.tokens), default=0.0) for x in nodes])
     flags = [(kind == k).astype(float) for k in FLAGS]
     above = np.stack([good, bad, *flags[:6]], 1)
     for i in range(1, n):
@@ -177,12 +223,17 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return np.array(state) == 1
 
 
-def extract(pages: list[str | None], model: boosting.Boosted) -> list[str]:
+class Model(NamedTuple):
+    weights: dict[str, float]
+    trees: boosting.Boosted
+
+
+def extract(pages: list[str | None], model: Model) -> list[str]:
     """The main text of each page."""
     parsed = [parse(p or "") for p in pages]
     if not parsed:
         return []
-    margins = model.margin(np.concatenate([node_features(*x) for x in parsed]))
+    margins = model.trees.margin(np.concatenate([node_features(*x, model.weights) for x in parsed]))
     out, at = [], 0
     for nodes, blocks in parsed:
         inside = decode(nodes, margins[at : at + len(nodes)])
@@ -204,34 +255,34 @@ def made_up_page(r: random.Random, bare: bool = False) -> tuple[str, str]:
 
     def nav() -> str:
         inner = f"<ul>{links(r.randint(3, 9))}</ul>"
-        return r.choice([f"<nav>{inner}</nav>", f"<div{attr('menu navbar nav-main topmenu breadcrumbs')}>{inner}</div>", f"<div>{inner}</div>"])
+        return r.choice([f"<nav>{inner}</nav>", f"<div{attr('menu navbar nav nav-main topmenu breadcrumbs navigation site-nav main-menu toolbar pager pagination tabs')}>{inner}</div>", f"<div>{inner}</div>"])
 
     def aside() -> str:
         inner = f"<h3>{word()}</h3>" + r.choice([f"<ul>{links(r.randint(2, 6))}</ul>", f"<p>{prose(r.randint(5, 25))}</p>"])
-        return r.choice([f"<aside>{inner}</aside>", f"<div{attr('sidebar side-column widget related promo')}>{inner}</div>"])
+        return r.choice([f"<aside>{inner}</aside>", f"<div{attr('sidebar side-column widget related promo aside secondary related-posts tag-cloud tags share social recommended popular')}>{inner}</div>"])
 
     def ad() -> str:
         inner = prose(r.randint(4, 30))
-        return f"<div{attr('ad ads advert ad-slot sponsored banner promo')}>{r.choice([inner, f'<p>{inner}</p>'])}</div>"
+        return f"<div{attr('ad ads advert ad-slot sponsored banner promo advertisement ad-unit sponsor adbox promotion')}>{r.choice([inner, f'<p>{inner}</p>'])}</div>"
 
     def notice() -> str:
         inner = f"<p>{prose(r.randint(6, 30))}</p>" + r.choice(["", "<button>OK</button>"])
-        return f"<div{attr('cookie-notice notice consent alert newsletter popup subscribe')}>{inner}</div>"
+        return f"<div{attr('cookie-notice notice consent alert newsletter popup subscribe cookies cookie-bar message modal overlay paywall subscription')}>{inner}</div>"
 
     def form() -> str:
-        return f'<form{r.choice(["", attr("login search contact")])}><label>{word()}</label><input name="q"><p>{prose(r.randint(3, 12))}</p><button>{word()}</button></form>'
+        return f'<form{r.choice(["", attr("login search contact signup search-form register")])}><label>{word()}</label><input name="q"><p>{prose(r.randint(3, 12))}</p><button>{word()}</button></form>'
 
     def comments() -> str:
         inner = "".join(f"<div{attr('comment reply comment-body')}><p>{prose(r.randint(4, 40))}</p></div>" for _ in range(r.randint(1, 5)))
-        return r.choice([f"<section{attr('comments discussion-comments disqus')}><h3>{word()}</h3>{inner}</section>", f"<div{attr('comments comment-list replies')}>{inner}</div>"])
+        return r.choice([f"<section{attr('comments discussion-comments disqus discussion responses reader-comments')}><h3>{word()}</h3>{inner}</section>", f"<div{attr('comments comment-list replies commentlist thread')}>{inner}</div>"])
 
     def footer() -> str:
         inner = r.choice([f"&copy; {word()}.example.com &middot; {prose(3)}", f"<p>&copy; 2024 {prose(r.randint(3, 15))}</p>", f"<ul>{links(4)}</ul>"])
-        return r.choice([f"<footer>{inner}</footer>", f"<div{attr('footer page-footer copyright legal')}>{inner}</div>"])
+        return r.choice([f"<footer>{inner}</footer>", f"<div{attr('footer page-footer copyright legal site-footer colophon bottom imprint foot')}>{inner}</div>"])
 
     def header() -> str:
         inner = r.choice([f"<a href='/'>{word()}</a>", f"<h2>{word()} {word()}</h2><p>{prose(r.randint(2, 6))}</p>"])
-        return r.choice([f"<header>{inner}</header>", f"<div{attr('header masthead top-header')}>{inner}</div>"])
+        return r.choice([f"<header>{inner}</header>", f"<div{attr('header masthead top-header site-header head branding logo topbar')}>{inner}</div>"])
 
     if bare:
         lines = [prose(r.choice([3, 8, 20, 40, 80])) for _ in range(r.choice([1, 2, 3, 5, 8]))]
@@ -278,7 +329,7 @@ def made_up_page(r: random.Random, bare: bool = False) -> tuple[str, str]:
             parts.append(r.choice([ad, aside, notice, form])())
     inner = "".join(parts)
     plain = ("<div>", "</div>")
-    wraps = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), (f"<div{attr('content article post-body entry-content story-text main-content')}>", "</div>"), (f"<section{attr('post article-body content')}>", "</section>")]
+    wraps = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), (f"<div{attr('content article post-body entry-content story-text main-content post entry story main blog-post page-content article-text body-copy')}>", "</div>"), (f"<section{attr('post article-body content story entry hentry main')}>", "</section>")]
     a, b = r.choice(wraps)
     if len("".join(texts)) > 500 and r.random() < 0.1:
         a, b = plain
@@ -321,15 +372,29 @@ def labelled(page: str, text: str) -> tuple[list[Node], list[tuple[int, str]], n
     return nodes, blocks, label
 
 
+def token_weights(pages: Iterable[tuple[str, str]]) -> dict[str, float]:
+    """The log-odds of attribute tokens: how much more often elements with the token are in the article than without."""
+    inside, outside, total = Counter(), Counter(), [1, 1]
+    for page in pages:
+        nodes, _, label = labelled(*page)
+        for node, yes in zip(nodes, label.tolist()):
+            total[yes] += 1
+            (inside if yes else outside).update(node.tokens)
+    prior = math.log(total[1] / total[0])
+    return {t: math.log((inside[t] + 0.5) / (outside[t] + 0.5)) - prior for t in inside | outside if inside[t] + outside[t] >= RARE}
+
+
 @cache
-def model(pages: int = SAMPLE_PAGES, seed: int = 5, bare: int = BARE_PAGES) -> boosting.Boosted:
+def model(pages: int = SAMPLE_PAGES, seed: int = 5, bare: int = BARE_PAGES) -> Model:
+    r = random.Random(seed + 1)
+    weights = token_weights(made_up_page(r) for _ in range(TOKEN_PAGES))
     r = random.Random(seed)
     xs, ys = [], []
     for n in range(pages + bare):
         nodes, blocks, label = labelled(*made_up_page(r, n >= pages))
-        xs.append(node_features(nodes, blocks))
+        xs.append(node_features(nodes, blocks, weights))
         ys.append(label)
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys), trees=40, depth=4)
+    return Model(weights, boosting.fit(np.concatenate(xs), np.concatenate(ys), trees=40, depth=4))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
