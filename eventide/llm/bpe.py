@@ -1,16 +1,19 @@
 """BPE encoding and decoding by a deterministic automaton compiled from the merges.
 
-Compilation starts from one state that every base symbol leads back to, and applies the merges in order.
-The gadget of merge (a, b) -> c gives the state that arcs labelled a lead to a copy without the arc b, and
-adds arcs labelled c to b's target. As all arcs with one label share a target, a token's state is a chain
-of such copies, kept as the cuts of each gadget; whether a state has an arc is read off the gadgets of
-the two tokens' parts in descending order of age. A text is a right encoding if and only if it is a path
-of this automaton, so encoding a pre-split word needs no merging: a transition table over the word's
-symbols proposes the tokens that end at each place, longest first, and the one with an arc from the token
-before it is the only one that fits. Arcs once looked up stay in a table. Decoding emits arc labels.
-
-Words are bounded only by the text; each is encoded whole in time linear in its length. Null and empty
-texts have no tokens and decode to the empty text.
+Compilation starts from one state for each base symbol, with arcs to all of them, and applies the merges in order by a
+gadget each. The gadget of merge (a, b) -> c makes the state of c as a copy of b's, takes arc b from a's state, and gives
+an arc c to every state that still has arc a; where a's state has no arc b any more, the merge never happens and makes nothing.
+All arcs with one label lead to one state, so the automaton is a table of bits: which state has which arc. When all
+gadgets are done, states with equal arcs are merged into one, and labels with equal sources, which leaves a small table. Its size
+is bounded by the vocabulary's. It is compiled once, on the driver, and sent to the workers.
+
+A text is a right encoding if and only if it is a path of this automaton, so encoding a pre-split word needs no merging
+and no merge is kept: transitions over the word's symbols propose the tokens that end at each place, longest first, and
+the one with an arc from the token before it is the only one that fits. Decoding emits arc labels.
+
+Words are bounded only by the text; each is encoded whole in time linear in its length. Null and empty texts have no
+tokens and decode to the empty text. Repeated rows and ids are each given a result; other columns are left aside;
+an empty table gives an empty result. Tokenizer files of other settings than those built here are refused.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
 START = -1
-NEVER = 1 << 60
 CACHE = 200_000  # words kept by a worker in each of two generations
 TABLE = 500_000  # transitions kept by a worker
 LONG = 48  # longer words are not kept
@@ -48,9 +51,8 @@ class Automaton:
     """The automaton of a merge list; symbols are bytes, or bytes + 256 where they end a word."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        size = max(vocab.values()) + 1
-        self.left, self.right, self.born, self.length = [START] * size, [START] * size, [-1] * size, [1] * size
-        self.labels = [""] * size
+        self.size = max(vocab.values()) + 1
+        self.length, self.labels = [1] * self.size, [""] * self.size
         for token, i in vocab.items():
             self.labels[i] = token
         symbols: dict[int, tuple[int, ...]] = {}
@@ -58,20 +60,50 @@ class Automaton:
             for sym, token in ((b, ch), (b + 256, ch + suffix)):
                 if token in vocab and (sym < 256 or suffix):
                     symbols[vocab[token]] = (sym,)
-        self.cuts: dict[int, int] = {}  # (a, b) -> age of the gadget that takes arc b from a's state
-        for age, (a, b) in enumerate(merges):
-            a, b, c = vocab[a], vocab[b], vocab[a + b]
-            self.cuts[a * size + b] = age
-            self.left[c], self.right[c], self.born[c] = a, b, age
+        self._compile([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], symbols)
+        for token, seq in symbols.items():
+            self.length[token] = len(seq)
+        self._table(symbols)
+        self.arcs = _Arcs(self)
+
+    def _compile(self, merges: list[tuple[int, int, int]], symbols: dict[int, tuple[int, ...]]) -> None:
+        """Apply a gadget for each merge in order, then merge equal states and equal labels; symbols gets the tokens that merges make."""
+        state = {token: n for n, token in enumerate([START, *(t for t, seq in symbols.items() if seq[0] < 256)])}
+        column = {token: n for n, token in enumerate(symbols)}
+        width = (len(state) + len(merges) + 7) // 8
+        arcs = np.zeros((len(column) + len(merges), width), np.uint8)  # by label: a bit for each state that has it
+        arcs[: len(column)] = np.packbits(np.arange(8 * width) < len(state), bitorder="little")
+        for a, b, c in merges:
+            at = state.get(a)
+            if at is None or b not in column or not arcs[column[b], at >> 3] >> (at & 7) & 1:
+                continue  # no path a, b is left by the merges before it
+            known, column[c] = len(column), len(column)
             symbols[c] = symbols[a] + symbols[b]
-            self.length[c] = len(symbols[c])
-        self.size = size
-        # a gadget adds arcs only where a path a, b is left by the merges before it
-        self.live = [True] * size
-        for age, (a, b) in enumerate(merges):
-            x, y, c = vocab[a], vocab[b], vocab[a + b]
-            self.live[c] = self.live[x] and self.live[y] and self.arc(x, y, age)
-        self._table({t: q for t, q in symbols.items() if self.live[t]})
+            if b in state:
+                old, new = state[b], state.setdefault(c, len(state))
+                arcs[:known, new >> 3] |= (arcs[:known, old >> 3] >> (old & 7) & 1) << (new & 7)
+            arcs[column[b], at >> 3] &= 255 ^ 1 << (at & 7)
+            arcs[column[c]] = arcs[column[a]]
+        arcs = arcs[: len(column), : (len(state) + 7) // 8]
+        sources: dict[bytes, int] = {}
+        self.arc_class = [0] * self.size
+        for token, n in column.items():
+            self.arc_class[token] = sources.setdefault(arcs[n].tobytes(), len(sources))
+        packed = np.frombuffer(b"".join(sources), np.uint8).reshape(len(sources), -1)
+        same: dict[bytes, int] = {}
+        self.state_class = [0] * (self.size + 1)
+        tokens = list(state)
+        for first in range(0, packed.shape[1], 128):
+            rows = np.packbits(np.unpackbits(packed[:, first : first + 128], axis=1, bitorder="little").T, axis=1, bitorder="little")
+            for token, row in zip(tokens[8 * first : 8 * (first + 128)], rows):
+                self.state_class[token + 1] = same.setdefault(row.tobytes(), len(same))
+        self.rows = list(same)  # by class of states: a bit for each class of labels
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "arcs"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
         self.arcs = _Arcs(self)
 
     def _table(self, symbols: dict[int, tuple[int, ...]]) -> None:
@@ -112,21 +144,10 @@ class Automaton:
             self.next[state * 512 + symbol] = to
         return to
 
-    def arc(self, x: int, y: int, before: int = NEVER) -> bool:
-        """Whether the state after token x has an arc labelled y, by the gadgets of an age under ``before``."""
-        if x == START:
-            return True
-        limit_x, limit_y = before, before - 1
-        while True:
-            age = self.cuts.get(x * self.size + y)
-            if age is not None and age < limit_x and age <= limit_y:
-                return False
-            if self.born[x] < 0 and self.born[y] < 0:
-                return True
-            if self.born[x] > self.born[y]:
-                limit_x, x = self.born[x], self.right[x]
-            else:
-                limit_y, y = self.born[y], self.left[y]
+    def arc(self, x: int, y: int) -> bool:
+        """Whether the state after token x has an arc labelled y."""
+        at = self.arc_class[y]
+        return bool(self.rows[self.state_class[x + 1]][at >> 3] >> (at & 7) & 1)
 
     def encode(self, symbols: list[int]) -> list[int]:
         last, state = [START], 0
@@ -146,7 +167,7 @@ class Automaton:
 
 
 class _Arcs(dict):
-    """Arcs looked up so far."""
+    """Arcs read from the table so far, by one key."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
@@ -166,23 +187,36 @@ class WordEncoder(dict):
     As a mapping: from what stands between white space to id bytes, which stay for later.
     """
 
-    # The pattern of the tokenizer file's splitter.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, automaton: Automaton | None = None):
         super().__init__()
         self.older: dict[str, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
-        model = spec["model"]
+        model, steps = spec["model"], [spec[k] for k in ("normalizer", "pre_tokenizer", "decoder")]
+        pattern = self._pattern(steps)
+        if pattern is None or model["type"] != "BPE" or not model["end_of_word_suffix"] or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path}: only BPE with word ends, NFC, lower case and a splitting pattern is built here")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.automaton = automaton or Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = list(self.automaton.labels)
         for token, i in self.special.items():
             self.labels += [""] * (i + 1 - len(self.labels))
             self.labels[i] = token
         self.outer = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(self.PATTERN)
+        self.words = regex.compile(pattern)
+
+    @staticmethod
+    def _pattern(steps: list) -> str | None:
+        """The file's splitting pattern, if its other settings are those that are built here."""
+        try:
+            (normal, before, decoder), kinds = steps, lambda x, k: [y["type"] for y in x[k]]
+            split, bytewise = before["pretokenizers"]
+            spaces = normal["normalizers"][1]
+            fits = kinds(normal, "normalizers") == ["NFC", "Replace", "Lowercase"] and (spaces["pattern"], spaces["content"]) == ({"Regex": r"\s+"}, " ") and decoder is None
+            fits &= (split["type"], split["behavior"], split["invert"], bytewise["type"], bytewise["add_prefix_space"], bytewise["use_regex"]) == ("Split", "Removed", True, "ByteLevel", False, False)
+            return split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") if fits else None
+        except (KeyError, TypeError, ValueError):
+            return None
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.older.pop(chunk, None)
@@ -227,17 +261,24 @@ class WordEncoder(dict):
 _LOADED: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, held: Broadcast | None = None) -> WordEncoder:
+    """This process's encoder of a tokenizer file; held has its automaton, which else is compiled here."""
     if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
+        _LOADED[path] = WordEncoder(path, held.value if held else None)
     return _LOADED[path]
 
 
+def _sent(docs: DataFrame, tokenizer: str) -> Broadcast:
+    """The automaton, compiled on the driver; its size is bounded by the vocabulary."""
+    return docs.sparkSession.sparkContext.broadcast(encoder(tokenizer).automaton)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids: binary of little-endian 32-bit ids, decoded: string) for each row of docs."""
+    held = _sent(docs, tokenizer)
 
     def run(batch: pa.RecordBatch):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, held)
         texts = batch.column(1)
         for a in range(0, len(texts), 100):
             ids = [enc.encode(x.as_py() or "") for x in texts[a : a + 100]]
@@ -249,9 +290,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
 def encode_decode_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what encode_decode gives, made where it is made."""
+    held = _sent(docs, tokenizer)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, held)
         rows = []
         for x in batch.column(1):
             ids = enc.encode(x.as_py() or "")
