@@ -13,8 +13,9 @@ answer. The passage must have ``overlap`` of the item's five-word shingles and o
 share of the question's shingles is given too. A changed word spoils five shingles, so short answers are
 judged by words. (Items too short for shingles are compared as a whole.)
 
-The index is broadcast in blocks of items whose text is under BLOCK_BYTES together, one pass over the
-documents for each; statistics are those of the block. Null and empty texts match nothing; items without a
+Document frequencies, mean length and passage width are those of all items, counted on Spark. The index is broadcast in
+blocks of items whose text is under BLOCK_BYTES together, one pass over the documents for each, and only postings are
+divided: scores and rows don't depend on the blocks. Null and empty texts match nothing; items without a
 word are never found; repeated rows and ids each give their rows; other columns of documents pass through
 ``keep_clean`` and are left aside in ``search``. Empty tables on either side give an empty result.
 """
@@ -23,17 +24,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 from .licenses import TABLE
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20  # of text; an index takes about fifty times that in the driver and in each worker
 POSTINGS = 8  # in a block of the index
 K1, B = 1.2, 0.75
 WIDTH = 5
@@ -48,21 +51,33 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(WIDTH)))) if len(words) >= WIDTH else {tuple(words)} - {()}
 
 
+class Statistics(NamedTuple):
+    """Of all items with a word: how many, their words, the longest one's, and the number of items with a term."""
+
+    n: int
+    words: int
+    longest: int
+    spread: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[list[bytes]]) -> Statistics:
+        return cls(len(texts), sum(map(len, texts)), max(map(len, texts), default=0), Counter(t for words in texts for t in set(words)))
+
+
 class Index:
-    """Items by term, with normalised BM25 impacts and block maxima."""
+    """Items by term, with normalised BM25 impacts and block maxima; statistics are those of these items if none are given."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], statistics: Statistics | None = None):
         self.ids, texts = [], []
         for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             words = words_of(text)
             if words:
                 self.ids.append(i)
                 texts.append(words)
-        n = len(texts)
-        mean = sum(map(len, texts)) / max(n, 1)
-        spread = Counter(t for words in texts for t in set(words))
-        self.vocab = {t: k for k, t in enumerate(sorted(spread))}
-        self.stride = max(64, max(map(len, texts), default=0))
+        n, total, longest, spread = statistics or Statistics.of(texts)
+        mean = total / max(n, 1)
+        self.vocab = {t: k for k, t in enumerate(sorted({t for words in texts for t in words}))}
+        self.stride = max(64, longest)
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         self.parts = []
         for d, words in enumerate(texts):
@@ -171,13 +186,25 @@ class Index:
         return [(self.ids[d], *v) for d, v in sorted(best.items())]
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """The items' indexes, one per block of at most about BLOCK_BYTES of text."""
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The items' indexes, one per block of at most about BLOCK_BYTES of text, under the statistics of all items."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+
+    def terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [set(words_of(x.as_py())) for x in batch.column(0)]
+        return pa.RecordBatch.from_arrays([pa.array([t for words in found for t in words], pa.binary())], names=["term"])
+
+    def lengths(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([len(words_of(x.as_py())) for x in batch.column(0)], pa.int64())], names=["n"])
+
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n, words, longest = map_arrow(rows.select("t"), lengths, "n long").where("n > 0").agg(F.count("n"), F.sum("n"), F.max("n")).first()
     blocks = -(-total // BLOCK_BYTES) or 1
+    spread = materialize(map_arrow(rows.select("t"), terms, "term binary").groupBy("term").agg(F.count("*").alias("n")), "spread")
     for k in range(blocks):
-        yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()])
+        block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        counted = spread if blocks == 1 else spread.join(map_arrow(block.select("t"), terms, "term binary").distinct(), "term")
+        yield Index([tuple(r) for r in block.collect()], Statistics(n, words or 0, longest or 0, {bytes(r["term"]): r["n"] for r in counted.collect()}))
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
