@@ -1,53 +1,150 @@
 """Replay of recorded arrivals: watermarks, status of rows, late policies and window firings.
 
-A row's watermark is the smallest, over the source partitions seen before it, of their largest event time so
-far, less the allowed disorder and one millisecond. The scan in arrival order is cut into chunks by
-arrival number: each chunk's maxima per source partition give what it starts from, and within a chunk a
-window function goes over its rows only, so no task orders the whole stream.
+A row's watermark is the smallest, over the source partitions known before it, of their largest event time so
+far, less the allowed disorder and one millisecond. A partition is known from its first row that is not DISCARDED.
+
+The scan in arrival order is cut into chunks of about CHUNK_ROWS rows, so no task orders the whole stream: each
+partition's largest times in the chunks before give what a chunk starts from, and within a chunk rows stream by in
+order. Any number of source partitions will do: their state is a row each per chunk. Where a partition begins in
+earlier chunks is first taken to be its first row, which is then checked in the chunks of those rows; only if one
+of them is DISCARDED do further passes look for the rows where such partitions really begin.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import from_ms
+from ..sources.shared import fresh_path
+
+CHUNK_ROWS = 1 << 18
+CELLS = 16  # steps of the arrival number for each chunk, so that gaps and bursts of numbers leave chunks even
+
+
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-MAX_PARTITIONS = 64
-CHUNKS = 64
 
+def _chunked(df: DataFrame, order: list[str], rows: int, low, span: int, total: int) -> DataFrame:
+    """df with _chunk, ascending in arrival order: neighbouring steps of the arrival number with about that many rows."""
+    chunks = -(-total // rows)
+    if chunks <= 1:
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    cell = F.floor((F.coalesce(F.col(order[0]), F.lit(low)) - F.lit(low)) / max(1, -(-(span + 1) // (chunks * CELLS))))
+    counts = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    # CELLS rows for each chunk of rows
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = counts.select("_cell", F.floor(before / rows).alias("_chunk"))
+    return df.withColumn("_cell", cell).join(cells, "_cell").drop("_cell")
+
+
+def _scan(rows: DataFrame, starts: DataFrame, disorder_ms: int | None, lateness_ms: int, joins: bool) -> DataFrame:
+    """rows (_chunk, _part, _ts, _at, _o, _row) streamed in order, each chunk from its starts (_chunk, _part, _at).
+
+    Gives the rows' structs with watermark and status, or with joins the row at which each partition is first known in a
+    chunk that doesn't start with it: (_chunk, _part, _o).
+    """
+    kinds = rows.schema
+    none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
+    first = starts.select("_chunk", "_part", none("_ts"), "_at", none("_o"), none("_row"), F.lit(0).alias("_kind"))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(first).repartition("_chunk").sortWithinPartitions("_chunk", "_kind", "_o")
 
-def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int = 0, watermark: str | None = None, chunks: int = CHUNKS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, tops, heap = None, {}, []
+        for batch in batches:
+            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("_chunk", "_part", "_ts", "_at", "_kind")}
+            marks, states, begun = [], [], []
+            for n, (c, part, ts, at, kind) in enumerate(zip(*(x.to_pylist() for x in cols.values()))):
+                if c != chunk:
+                    chunk, tops, heap = c, {}, []
+                if not kind:
+                    tops[part] = at
+                    heappush(heap, (at, len(tops), part))
+                    continue
+                while heap and tops[heap[0][2]] != heap[0][0]:
+                    heappop(heap)
+                mark = heap[0][0] - disorder_ms if heap else None
+                if ts is None or at is None:
+                    state = "DISCARDED"
+                elif mark is None or mark <= at:
+                    state = "VALID"
+                else:
+                    state = "LATE" if mark - lateness_ms <= at else "DISCARDED"
+                marks.append(mark)
+                states.append(state)
+                if state != "DISCARDED":
+                    top = tops.get(part)
+                    if top is None:
+                        begun.append(n)
+                    if top is None or at > top:
+                        tops[part] = at
+                        heappush(heap, (at, n, part))
+            if joins:
+                yield batch.select(["_chunk", "_part", "_o"]).take(pa.array(begun, pa.int64()))
+            else:
+                kept = batch.column(batch.schema.get_field_index("_row")).filter(pa.array([bool(k) for k in cols["_kind"].to_pylist()], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(marks, pa.int64()), pa.array(states, pa.string())], names=[*(f.name for f in kept.type), "wm", "status"])
+
+    if joins:
+        return both.mapInArrow(run, rows.select("_chunk", "_part", "_o").schema)
+    fields = [T.StructField(f.name, f.dataType) for f in kinds["_row"].dataType.fields]
+    return both.mapInArrow(run, T.StructType([*fields, T.StructField("wm", T.LongType()), T.StructField("status", T.StringType())]))
+
+
+def _starts(rows: DataFrame, known: DataFrame, last: int) -> DataFrame:
+    """(_chunk, _part, _at): what each chunk knows of the partitions in known (_part, _from) that begin before it."""
+    counted = rows.join(known, rows["_part"].eqNullSafe(known["_from_part"])).where("_o >= _from and _at is not null")
+    tops = counted.groupBy("_part", "_chunk").agg(F.max("_at").alias("_at"))
+    by = Window.partitionBy("_part").orderBy("_chunk")
+    tops = tops.withColumn("_next", F.lead("_chunk", 1, last).over(by)).withColumn("_at", F.max("_at").over(by))
+    return tops.where("_next > _chunk").select(F.explode(F.sequence(F.col("_chunk") + 1, F.col("_next"))).alias("_chunk"), "_part", "_at")
+
+
+def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int = 0, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """df with wm (milliseconds, null before any row) and status VALID, LATE or DISCARDED.
 
-    ts is a column of milliseconds; order starts with a numeric arrival number. With ``watermark``, a column of
-    watermarks that rows carry, those are used in place of ts - disorder - 1, and compared in place of ts.
-    A source partition counts as known from its first row. Rows without event time are DISCARDED.
+    ts is a column of milliseconds; order starts with an arrival number and tells rows apart. With ``watermark``, a column
+    of watermarks that rows carry, those are used in place of ts - disorder - 1, and compared in place of ts.
+    Rows without event time are DISCARDED.
     """
-    source = watermark or ts
-    # one value per source partition, refused above MAX_PARTITIONS
-    parts = [r[0] for r in df.select(partition).distinct().orderBy(partition).limit(MAX_PARTITIONS + 1).collect()]
-    if len(parts) > MAX_PARTITIONS:
-        raise ValueError(f"more than {MAX_PARTITIONS} source partitions")
-    if not parts:
+    low, high, total = df.agg(F.min(order[0]), F.max(order[0]), F.count("*")).first()
+    if not total:
         return df.withColumn("wm", F.lit(None).cast("long")).withColumn("status", F.lit("DISCARDED"))
-    low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // chunks))
-    held = df.withColumn("_chunk", F.floor((F.col(order[0]) - F.lit(low or 0)) / width))
-    of = lambda p: F.when(F.col(partition).eqNullSafe(F.lit(p)), F.col(source))
-    tops = held.groupBy("_chunk").agg(*(F.max(of(p)).alias(f"_top{n}") for n, p in enumerate(parts)))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # a row per chunk, whatever the stream's length
-    starts = tops.select("_chunk", *(F.max(f"_top{n}").over(before).alias(f"_start{n}") for n in range(len(parts))))
-    within = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.join(F.broadcast(starts), "_chunk", "left")
-    pick = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]
-    tops = [pick(F.greatest, [F.max(of(p)).over(within), F.col(f"_start{n}")]) for n, p in enumerate(parts)]
-    combined = pick(F.least, tops) if tops else F.lit(None).cast("long")
-    wm = combined if watermark else combined - F.lit(disorder_ms + 1)
-    at = F.col(source)
-    status = F.when(F.col(ts).isNull() | at.isNull(), "DISCARDED").when(F.col("wm").isNull() | (F.col("wm") <= at), "VALID").when(F.col("wm") - lateness_ms <= at, "LATE").otherwise("DISCARDED")
-    return held.withColumn("wm", wm).withColumn("status", status).select(*df.columns, "wm", "status")
+    held = _chunked(df, order, chunk_rows, low or 0, (high or 0) - (low or 0), total)
+    rows = held.select("_chunk", F.col(partition).alias("_part"), F.col(ts).cast("long").alias("_ts"), F.col(watermark or ts).cast("long").alias("_at"), F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_row"))
+    late = 0 if watermark else disorder_ms + 1
+    usable = rows.where("_ts is not null and _at is not null")
+    timed = usable.drop("_row")
+    last = rows.agg(F.max("_chunk")).first()[0]
+    if not last:
+        return _scan(rows, timed.limit(0).select("_chunk", "_part", "_at"), late, lateness_ms, False)
+
+    # where each partition begins: at its first row, if that is not DISCARDED
+    begin = _written(timed.groupBy("_part").agg(F.min(F.struct("_o", "_chunk")).alias("_b")).select(F.col("_part").alias("_from_part"), F.col("_b._o").alias("_from"), F.col("_b._chunk").alias("_in")), "begin")
+    look = lambda known, where: _scan(rows.join(where, "_chunk", "left_semi") if where is not None else rows, _starts(timed, known, last), late, lateness_ms, True)
+    seen = look(begin, begin.select(F.col("_in").alias("_chunk")).distinct()).select(F.col("_part").alias("_p"), F.col("_o").alias("_begun"))
+    wrong = begin.join(seen, F.col("_from_part").eqNullSafe(F.col("_p")) & (F.col("_from") == F.col("_begun")), "left").where("_begun is null")
+    cut = wrong.agg(F.min("_from")).first()[0]
+    if cut is not None:
+        # partitions that begin before the first wrong one are right; the others begin where the scan lets them in, chunk by chunk
+        earliest = _written(wrong.select("_from").orderBy("_from").limit(1).withColumnRenamed("_from", "_cut"), "cut")
+        begin = _written(begin.join(F.broadcast(earliest), F.col("_from") < F.col("_cut")).drop("_cut"), "begin")
+        while True:
+            found = _written(look(begin, None).join(begin, F.col("_part").eqNullSafe(F.col("_from_part")), "left_anti"), "joined")
+            at = found.agg(F.min("_chunk")).first()[0]
+            if at is None:
+                break
+            more = found.where(F.col("_chunk") == at).groupBy("_part").agg(F.min("_o").alias("_from")).select(F.col("_part").alias("_from_part"), "_from", F.lit(at).alias("_in"))
+            begin = _written(begin.unionByName(more), "begin")
+    return _scan(rows, _starts(timed, begin, last), late, lateness_ms, False)
 
 
 def split_late(df: DataFrame, policy: str = "DROP") -> tuple[DataFrame, DataFrame]:
@@ -63,6 +160,15 @@ def split_late(df: DataFrame, policy: str = "DROP") -> tuple[DataFrame, DataFram
     raise ValueError(policy)
 
 
+def split_firings(firings: DataFrame, policy: str = "DROP") -> tuple[DataFrame, DataFrame]:
+    """(main, side) of window firings with a late flag: late ones are dropped, sent on (UPSERT) or set aside (SIDE_CHANNEL)."""
+    late = F.col("late")
+    parts = {"DROP": (firings.where(~late), firings.where(F.lit(False))), "UPSERT": (firings, firings.where(F.lit(False))), "SIDE_CHANNEL": (firings.where(~late), firings.where(late))}
+    if policy not in parts:
+        raise ValueError(policy)
+    return parts[policy]
+
+
 def fire_strict(df: DataFrame, ts: str, size_ms: int, keys: list[str], **aggregates: Column) -> DataFrame:
     """Each window once, from the rows that were not late (lateness 0)."""
     start = F.col(ts) - F.pmod(F.col(ts), F.lit(size_ms))

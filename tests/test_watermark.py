@@ -13,7 +13,7 @@ def arrivals(spark, rows):
 
 
 def replay(spark, rows, disorder=2000, lateness=0, chunks=4, **more):
-    out = W.replay(arrivals(spark, rows), "ms", ["seq"], "part", disorder, lateness, chunks=chunks, **more)
+    out = W.replay(arrivals(spark, rows), "ms", ["seq"], "part", disorder, lateness, chunk_rows=-(-len(rows) // chunks) or 1, **more)
     return [(r["wm"], r["status"]) for r in out.orderBy("seq").collect()]
 
 
@@ -28,7 +28,7 @@ def by_hand(rows, disorder, lateness):
         else:
             status = "LATE" if wm - lateness <= ts else "DISCARDED"
         out.append((wm, status))
-        if ts is not None:
+        if status != "DISCARDED":
             tops[part] = max(tops.get(part, ts), ts)
     return out
 
@@ -41,10 +41,19 @@ def test_edges_of_one_partition(spark):
 
 
 def test_slow_partition_holds_the_watermark(spark):
-    rows = [(10_000, 0), (1_000, 1), (50_000, 0), (2_000, 1), (60_000, 0)]
+    rows = [(3_000, 0), (1_000, 1), (50_000, 0), (2_000, 1), (60_000, 0), (1_500, 1)]
     got = replay(spark, rows)
     assert got == by_hand(rows, 2000, 0)
-    assert got[1][1] == "DISCARDED" and got[3][1] == "VALID"
+    assert [s for _, s in got] == ["VALID"] * 6 and got[4][0] == -1
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 5, 12])
+def test_partition_that_begins_too_late_stays_unknown(spark, chunks):
+    """Its discarded rows don't hold the watermark back; it begins with the first row that is not discarded."""
+    rows = [(10_000, 0), (1_000, 1), (50_000, 0), (2_000, 1), (49_000, 2), (60_000, 0), (1_500, 1), (57_000, 0), (46_000, 1), (99_000, 2), (99_500, 1), (90_000, 0)]
+    got = replay(spark, rows, 2000, 3000, chunks)
+    assert got == by_hand(rows, 2000, 3000)
+    assert [s for _, s in got][:4] == ["VALID", "DISCARDED", "VALID", "DISCARDED"] and got[8][1] == "LATE"
 
 
 def test_rows_without_time_are_discarded(spark):
@@ -61,24 +70,41 @@ def test_chunks_do_not_matter(spark, seed):
     r = random.Random(seed)
     rows = [(None if r.random() < 0.05 else 1000 * n + r.randrange(-20_000, 20_000), r.randrange(3)) for n in range(120)]
     want = by_hand(rows, 3000, 6000)
-    for chunks in (1, 7, 64):
+    for chunks in (1, 7, 60):
         assert replay(spark, rows, 3000, 6000, chunks) == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_partitions_that_lag(spark, seed):
+    r = random.Random(seed)
+    lag = [r.choice([0, 0, 4_000, 30_000, 90_000]) for _ in range(9)]
+    parts = [r.randrange(9) for _ in range(150)]
+    rows = [(1000 * n + r.randrange(-3_000, 3_000) - lag[p], p) for n, p in enumerate(parts)]
+    assert replay(spark, rows, 3000, 2000, 13) == by_hand(rows, 3000, 2000)
+
+
+def test_more_partitions_than_columns(spark):
+    rows = [(1000 * n, n * 7 % 200) for n in range(600)]
+    assert replay(spark, rows, 400_000, 1000, 3) == by_hand(rows, 400_000, 1000)
+
+
+def test_bursts_of_arrival_numbers_and_gaps(spark):
+    rows = [(1000 * n + n * 37 % 11 * 900, n % 3) for n in range(200)]
+    seqs = [n if n < 100 else 10**9 + n * n for n in range(200)]
+    df = spark.createDataFrame([(s, ts, p) for s, (ts, p) in zip(seqs, rows)], "seq long, ms long, part int")
+    out = W.replay(df, "ms", ["seq"], "part", 2000, 1000, chunk_rows=20).orderBy("seq").collect()
+    assert [(x["wm"], x["status"]) for x in out] == by_hand(rows, 2000, 1000)
+
+
 def test_carried_watermark_replaces_time(spark):
     df = spark.createDataFrame([(0, 100, 0, 50), (1, 200, 0, 90), (2, 10, 0, 80)], "seq long, ms long, part int, w long")
-    out = W.replay(df, "ms", ["seq"], "part", 0, 0, watermark="w", chunks=2).orderBy("seq").collect()
+    out = W.replay(df, "ms", ["seq"], "part", 0, 0, watermark="w", chunk_rows=2).orderBy("seq").collect()
     assert [(r["wm"], r["status"]) for r in out] == [(None, "VALID"), (50, "VALID"), (90, "DISCARDED")]
 
 
-def test_too_many_partitions(spark):
-    with pytest.raises(ValueError):
-        replay(spark, [(1, p) for p in range(W.MAX_PARTITIONS + 1)])
-
-
 def test_late_firing_adds_to_the_window(spark):
     rows = [(1_000, 0), (4_000, 0), (9_000, 0), (3_000, 0), (20_000, 0), (2_000, 0)]
-    df = W.replay(arrivals(spark, rows).withColumn("k", F.lit("a")).withColumn("v", F.lit(1)), "ms", ["seq"], "part", 1000, 10_000, chunks=2)
+    df = W.replay(arrivals(spark, rows).withColumn("k", F.lit("a")).withColumn("v", F.lit(1)), "ms", ["seq"], "part", 1000, 10_000, chunk_rows=3)
     out = W.fire_lateness(df, "ms", 5_000, ["k"], ["seq"], "v").collect()
     first = {(r["window_start"].second, r["late"]): r["n"] for r in out}
     assert first[0, False] == 2 and first[0, True] == 3 and first[5, False] == 1
@@ -87,7 +113,7 @@ def test_late_firing_adds_to_the_window(spark):
 
 def test_a_jump_emits_every_window(spark):
     rows = [(1_000, 0), (6_000, 0), (11_000, 0), (900_000, 0)]
-    df = W.replay(arrivals(spark, rows), "ms", ["seq"], "part", 0, 0, chunks=2)
+    df = W.replay(arrivals(spark, rows), "ms", ["seq"], "part", 0, 0, chunk_rows=2)
     out = W.fire_strict(df, "ms", 5_000, [], n=F.count("*")).collect()
     assert len(out) == 4 and {r["n"] for r in out} == {1}
 
