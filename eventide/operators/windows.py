@@ -50,10 +50,13 @@ def collect_windows(df: DataFrame, ts: str, size: str, keys: list[str], order: l
     return out.select("window_start", "window_end", *keys, F.transform("_all", lambda x: x["_p"]).alias("payloads"), *(["headers"] if headers else []))
 
 
-def enrich(events: DataFrame, table: DataFrame, key: str, table_key: str, broadcast_rows: int = 0) -> DataFrame:
-    """Inner equi-join of events with a dimension. A dimension of up to broadcast_rows rows, counted, is broadcast."""
-    if broadcast_rows and not table.isStreaming and table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        table = F.broadcast(table)
+def enrich(events: DataFrame, table: DataFrame, key: str, table_key: str, broadcast_rows: int = 0, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Inner equi-join of events with a dimension. One of up to broadcast_rows rows and broadcast_bytes bytes, as counted, is broadcast."""
+    if broadcast_rows and not table.isStreaming:
+        size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+        rows, held = table.limit(broadcast_rows + 1).agg(F.count("*"), size).first()
+        if rows <= broadcast_rows and held <= broadcast_bytes:
+            table = F.broadcast(table)
     return events.join(table, events[key] == table[table_key])
 
 
@@ -82,6 +85,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
     return out.select("_row.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
+def within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, width: str) -> DataFrame:
+    """Pairs of rows of one key in which right's time is at or after left's, by less than width: left's columns, then right's but the key.
+
+    Both are dealt by key and by steps of time as long as width: a left row meets the right rows of its step and the next.
+    """
+    step = lambda ts: F.floor(epoch_ms(ts) / interval_ms(width))
+    a = left.withColumn("_step", F.explode(F.array(step(left_ts), step(left_ts) + 1)))
+    b = right.withColumn("_step", step(right_ts)).withColumnRenamed(right_ts, "_then")
+    near = (F.col("_then") >= F.col(left_ts)) & (F.col("_then") < F.col(left_ts) + F.expr(f"interval {width}"))
+    return a.join(b, [key, "_step"]).where(near).withColumnRenamed("_then", right_ts).drop("_step")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key, by one aggregation: what an upsert leaves."""
     rest = [c for c in df.columns if c not in keys]
@@ -89,8 +104,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(newest).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
-def map_messages(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | None) -> DataFrame:
-    """A user's function over batches of rows, one row out for each row in; None leaves rows as they are."""
+def map_messages(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | None, schema: str | T.StructType | None = None) -> DataFrame:
+    """A user's function over batches of rows, one row out for each row in; None leaves rows as they are.
+
+    schema is that of the rows it gives, headers and payload of another type included; else they have df's.
+    """
     if fn is None:
         return df
 
@@ -101,7 +119,7 @@ def map_messages(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | Non
                 raise ValueError("a mapping gives one row for each row")
             yield out
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInPandas(run, schema or df.schema)
 
 
 def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Callable[[dict, dict], None], schema: str, release: Callable[[list[dict]], list[dict]] | None = None, order: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ Arrival order is made up from event_id, as events come in time order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..functions.time import cumulate, epoch_ms, event_time, hop, tumble
+from ..functions.time import cumulate, epoch_ms, event_time, from_ms, hop, tumble
 from ..operators import watermark as W
 from ..operators import windows as O
+from ..sources.messages import without_registry_prefix
+from ..sources.shared import fresh_path
 from ..streaming import forms as S
-from .tables import StreamTable, run_pipeline, run_sql
+from .tables import StreamTable, run_pipeline, run_sql, run_statements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,11 +184,24 @@ def replayed(spark, d, lateness: int = LATENESS) -> DataFrame:
 ARRIVALS = f"SELECT event_id, user_id, event_type, {CENTS} AS score, (epoch_us(ts) // 1000) AS ms, event_id + (event_id * 7919) % 97 AS seq, user_id % 4 AS part FROM events"
 
 
+def replay_sql(rows: str, at: str, late: int, lateness: int, name: str) -> str:
+    """CTEs up to one of this name: the rows with wm and status, by a window over all of them for each of four partitions.
+
+    One partition after another becomes known: each time that of the earliest row that is not DISCARDED under those before.
+    """
+    tops = ", ".join(f"max(CASE WHEN part = {p} AND rn >= jrn THEN {at} END) OVER w AS t{p}" for p in range(4))
+    out = [f"{name}_r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq, event_id) AS rn FROM {rows})", f"{name}_j1 AS MATERIALIZED (SELECT part AS jp, rn AS jrn FROM {name}_r WHERE {at} IS NOT NULL ORDER BY rn LIMIT 1)"]
+    for k in range(1, 5):
+        out.append(f"{name}_t{k} AS (SELECT {name}_r.*, {tops} FROM {name}_r LEFT JOIN {name}_j{k} ON part = jp WINDOW w AS (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        out.append(f"{name}_m{k} AS MATERIALIZED (SELECT * EXCLUDE (t0, t1, t2, t3, rn), rn, least(t0, t1, t2, t3) - {late} AS wm FROM {name}_t{k})")
+        if k < 4:
+            out.append(f"{name}_j{k + 1} AS MATERIALIZED (SELECT jp, jrn FROM {name}_j{k} UNION ALL (SELECT part, rn FROM {name}_m{k} WHERE part NOT IN (SELECT jp FROM {name}_j{k}) AND {at} IS NOT NULL AND (wm IS NULL OR wm - {lateness} <= {at}) ORDER BY rn LIMIT 1))")
+    out.append(f"{name} AS (SELECT * EXCLUDE (rn), CASE WHEN wm IS NULL OR wm <= {at} THEN 'VALID' WHEN wm - {lateness} <= {at} THEN 'LATE' ELSE 'DISCARDED' END AS status FROM {name}_m4)")
+    return ", ".join(out)
+
+
 def status_sql(lateness: int) -> str:
-    tops = ", ".join(f"max(CASE WHEN part = {p} THEN ms END) OVER w AS t{p}" for p in range(4))
-    return f"""a AS ({ARRIVALS}), t AS (SELECT *, {tops} FROM a WINDOW w AS (ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    m AS (SELECT event_id, user_id, event_type, score, ms, seq, part, least(t0, t1, t2, t3) - {DISORDER + 1} AS wm FROM t),
-    s AS (SELECT *, CASE WHEN wm IS NULL OR wm <= ms THEN 'VALID' WHEN wm - {lateness} <= ms THEN 'LATE' ELSE 'DISCARDED' END AS status FROM m)"""
+    return f"a AS ({ARRIVALS}), {replay_sql('a', 'ms', DISORDER + 1, lateness, 's')}"
 
 
 @query(f"WITH {status_sql(LATENESS)} SELECT event_id, seq, part, ms, wm, status FROM s")
@@ -208,10 +224,8 @@ def late_upsert(spark, d):
     return W.split_late(replayed(spark, d), "UPSERT")[0].select("event_id", "status")
 
 
-CARRIED = f"""WITH {status_sql(LATENESS)}, c AS (SELECT event_id, seq, part, ms, coalesce(wm, ms - 1) AS carried FROM s),
-t2 AS (SELECT *, {', '.join(f'max(CASE WHEN part = {p} THEN carried END) OVER w AS t{p}' for p in range(4))} FROM c WINDOW w AS (ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m2 AS (SELECT event_id, carried, least(t0, t1, t2, t3) AS wm FROM t2)
-SELECT event_id, carried, wm, CASE WHEN wm IS NULL OR wm <= carried THEN 'VALID' WHEN wm - {LATENESS} <= carried THEN 'LATE' ELSE 'DISCARDED' END AS status FROM m2"""
+CARRIED = f"""WITH {status_sql(LATENESS)}, c AS (SELECT event_id, seq, part, ms, coalesce(wm, ms - 1) AS carried FROM s), {replay_sql('c', 'carried', 0, LATENESS, 's2')}
+SELECT event_id, carried, wm, status FROM s2"""
 
 
 @query(CARRIED)
@@ -236,6 +250,27 @@ def tumble_lateness(spark, d):
     return W.fire_lateness(replayed(spark, d), "ms", SIZE, ["event_type"], ["seq", "event_id"], "score")
 
 
+def firings_by_policy(policy: str, part: int):
+    return lambda spark, d: W.split_firings(tumble_lateness(spark, d), policy)[part]
+
+
+# late firings are dropped, go to the main output, or to the side
+for _name, _policy, _part, _where in (("firings_drop", "DROP", 0, "NOT late"), ("firings_upsert", "UPSERT", 0, "true"), ("firings_main", "SIDE_CHANNEL", 0, "NOT late"), ("firings_side", "SIDE_CHANNEL", 1, "late")):
+    QUERIES[_name] = firings_by_policy(_policy, _part)
+    ORACLES[_name] = f"SELECT * FROM ({ORACLES['tumble_lateness']}) WHERE {_where}"
+
+
+@query(
+    f"""WITH a AS (SELECT * REPLACE (user_id % 100 AS part) FROM ({ARRIVALS})), t AS (SELECT *, {', '.join(f'max(CASE WHEN part = {p} THEN ms END) OVER w AS t{p}' for p in range(100))} FROM a WINDOW w AS (ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    m AS (SELECT event_id, ms, least({', '.join(f't{p}' for p in range(100))}) - {20 * DISORDER + 1} AS wm FROM t)
+    SELECT event_id, wm, CASE WHEN wm IS NULL OR wm <= ms THEN 'VALID' WHEN wm - {LATENESS} <= ms THEN 'LATE' ELSE 'DISCARDED' END AS status FROM m"""
+)
+def late_many_partitions(spark, d):
+    """A hundred source partitions, replayed in chunks of 3,000 rows. (No partition here begins with a DISCARDED row, so plain maxima do in SQL.)"""
+    rows = arrivals(spark, d).withColumn("part", F.col("user_id") % 100)
+    return W.replay(rows, "ms", ["seq", "event_id"], "part", 20 * DISORDER, LATENESS, chunk_rows=3000).select("event_id", "wm", "status")
+
+
 @query(f"WITH {status_sql(0)} SELECT event_id, 'eventtime=' || ms::VARCHAR || ';type=' || event_type || coalesce(';watermark=' || wm::VARCHAR, '') AS headers FROM s")
 def output_stamping(spark, d):
     rows = replayed(spark, d, 0).withColumn("headers", F.create_map(F.lit("type"), F.col("event_type"), F.lit("eventtime"), F.lit("0")))
@@ -298,17 +333,37 @@ def partition_rows(spark, d):
     return rows.groupBy("share").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT true AS one_share, count(DISTINCT user_id) AS users FROM events")
+@query("SELECT user_id, 1 AS tasks, count(*) AS n FROM events GROUP BY ALL")
 def hashed_shares(spark, d):
-    """Each key goes to one share."""
-    per = O.deal(events(spark, d), "user_id", 5).groupBy("user_id").agg(F.min("share").alias("lo"), F.max("share").alias("hi"))
-    return per.agg(F.bool_and(F.col("lo") == F.col("hi")).alias("one_share"), F.count("*").alias("users"))
+    """All rows of a key are dealt to one task."""
+    dealt = O.deal(events(spark, d), "user_id", 5).withColumn("task", F.spark_partition_id())
+    return dealt.groupBy("user_id").agg(F.count_distinct("task").cast("int").alias("tasks"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
+@query("SELECT 6 AS replicas, true AS even, count(*) AS n FROM events")
 def round_robin(spark, d):
-    """Rows dealt over replicas without a key; none is lost or repeated."""
-    return events(spark, d).repartition(6).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    """Rows dealt over six replicas without a key: each gets as many, but for the rest of each input partition."""
+    per = events(spark, d).repartition(6).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").cast("int").alias("replicas"), (F.max("n") - F.min("n") <= 64).alias("even"), F.sum("n").alias("n"))
+
+
+@query("SELECT event_id, 'kind=reply;of=' || event_type AS headers, 2.0 * CAST(json_extract_string(props, '$.k') AS DOUBLE) AS payload FROM events")
+def udf_reply(spark, d):
+    """A user's mapping that gives a payload of another type and headers of its own."""
+
+    def fn(batch: pd.DataFrame) -> pd.DataFrame:
+        payload = batch["payload"].map(lambda p: 2.0 * float(json.loads(json.loads(p)["props"])["k"]))
+        return pd.DataFrame({"event_id": batch["event_id"], "headers": batch["headers"].map(lambda h: {"kind": "reply", "of": dict(h)["type"]}), "payload": payload})
+
+    rows = M.envelope(events(spark, d), "props", headers={"type": F.col("event_type")}, keep=("event_id",))
+    return O.map_messages(rows, fn, "event_id long, headers map<string,string>, payload double").withColumn("headers", M.headers_text(F.col("headers")))
+
+
+@query("SELECT event_id, event_type AS value FROM events")
+def registry_prefix(spark, d):
+    """Values with and without the five bytes of a schema registry, cut off where they are."""
+    value = F.when(F.col("event_id") % 2 == 0, F.concat(F.unhex(F.lit("0000000007")), F.col("event_type").cast("binary"))).otherwise(F.col("event_type").cast("binary"))
+    return events(spark, d).select("event_id", without_registry_prefix(value).cast("string").alias("value"))
 
 
 # ---- tables and SQL
@@ -403,7 +458,7 @@ def interval_join(spark, d):
     e = events(spark, d)
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("at"))
     b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("buy_id"), "ts")
-    return a.join(b, (a["user_id"] == b["user_id"]) & F.expr("ts >= at and ts < at + interval 4 hours")).select("click_id", "buy_id")
+    return O.within(a, b, "user_id", "at", "ts", "4 hours").select("click_id", "buy_id")
 
 
 @query("SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND value > 90 GROUP BY ALL")
@@ -435,8 +490,8 @@ def set_operations(spark, d):
 
 @query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 def grouping_sets(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("orders_view")
-    return spark.sql("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders_view GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+    text = "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())"
+    return spark.sql(text, orders=table(spark, d, "orders"))
 
 
 @query("SELECT 'cube' AS kind, event_type, user_id % 3 AS part, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 3) UNION ALL SELECT 'rollup', event_type, user_id % 3, count(*) FROM events GROUP BY ROLLUP (event_type, user_id % 3)")
@@ -450,7 +505,6 @@ def cube_and_rollup(spark, d):
 def over_frames(spark, d):
     by = Window.partitionBy("user_id")
     rows = scored(events(spark, d))
-    rows.createOrReplaceTempView("over_view")
     last_day = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW)")
     ordered = by.orderBy("ts", "event_id")
     return rows.select("event_id", F.sum("score").over(ordered.rowsBetween(-2, 0)).alias("last_three"), last_day.alias("last_day"), F.lag("event_type").over(ordered).alias("before"))
@@ -546,18 +600,53 @@ def stream_enrich(spark, d):
 @query(f"""WITH c AS (SELECT date_trunc('day', ts) AS window_start, event_type, user_id, count(*) AS n FROM events WHERE date_trunc('day', ts) + {DAY} <= {CLOSED} GROUP BY ALL)
 SELECT window_start, window_start + {DAY} AS window_end, event_type, user_id, n, row_number() OVER (PARTITION BY window_start, event_type ORDER BY n DESC, user_id) AS row_num FROM c QUALIFY row_number() OVER (PARTITION BY window_start, event_type ORDER BY n DESC, user_id) <= 3""")
 def stream_topk(spark, d):
-    out = S.windowed_top_k(event_stream(spark, d).select("at", "event_type", "user_id"), "at", "1 minute", "1 day", "event_type", "user_id", 3)
-    return plain(S.run_available(out, "stream-topk"), "window_start", "window_end")
+    folder = fresh_path(spark, "stream-topk")
+    S.write_top_k(event_stream(spark, d).select("at", "event_type", "user_id"), "at", "1 minute", "1 day", "event_type", "user_id", 3, folder, f"{folder}-state").awaitTermination()
+    kinds = "window_start timestamp, window_end timestamp, event_type string, user_id long, n long, row_num long"
+    return plain(spark.read.schema(kinds).parquet(folder).drop("batch"), "window_start", "window_end")
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark, d):
-    from ..sources.shared import fresh_path
-
     stream = event_stream(spark, d).select("event_id", "user_id", "event_type", "at")
     folder = fresh_path(spark, "upsert")
-    S.upsert(stream, ["user_id"], ["at", "event_id"], folder, f"{folder}-state", buckets=8).awaitTermination()
-    return S.read_upserted(spark, folder, stream.schema).select("event_id", "user_id", "event_type")
+    S.upsert(stream, ["user_id"], ["at", "event_id"], folder, f"{folder}-state").awaitTermination()
+    return S.read_upserted(spark, folder, stream.schema, ["user_id"], ["at", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """Each event twice in the stream, once in the output."""
+    stream = event_stream(spark, d).select("event_id", "event_type", "at")
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return S.run_available(S.distinct_events(twice, "at", "1 hour", ["event_id"]), "stream-dedup").select("event_id", "event_type")
+
+
+CLICKS = "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 20"
+
+
+@query(f"SELECT 'sink' AS place, event_id, c_mktsegment AS segment FROM ({CLICKS}) JOIN customer ON user_id = c_custkey UNION ALL SELECT 'side', event_id, NULL FROM ({CLICKS}) WHERE user_id < 20")
+def stream_statements(spark, d):
+    """Two statements, each a query of its own into a sink, the second over the first one's sink, and a side query."""
+    statements = [
+        ("large", "SELECT event_id, user_id FROM [[STREAM:events]] WHERE event_type = 'click' AND value > 20"),
+        ("segments", "SELECT event_id, c_mktsegment AS segment FROM [[STREAM:large]] l JOIN [[STREAM:users]] u ON l.user_id = u.c_custkey"),
+    ]
+    streams = {"events": event_stream(spark, d), "users": table(spark, d, "customer")}
+    sinks, side, _ = run_statements(spark, statements, streams, fresh_path(spark, "statements"), side="SELECT event_id FROM [[STREAM:large]] WHERE user_id < 20")
+    named = lambda place, df: df.select(F.lit(place).alias("place"), "event_id", "segment")
+    return named("sink", sinks["segments"]).unionByName(named("side", side.withColumn("segment", F.lit(None).cast("string"))))
+
+
+HEADED = {"name": "headed", "fields": [{"name": "header", "type": "struct<at:timestamp>"}, {"name": "event_type", "type": "string"}], "timeAttributes": {"header.at": "`header.at` - INTERVAL '60' SECONDS"}}
+
+
+@query(f"SELECT {HOUR_START} AS window_start, event_type, count(*) AS n FROM events WHERE {HOUR_START} + {HOUR} <= (SELECT max(ts) FROM events) - INTERVAL 60 SECOND GROUP BY ALL")
+def stream_table_time(spark, d):
+    """A table whose declared event time is a field of a struct, on a stream."""
+    rows = StreamTable.from_meta(HEADED).apply(event_stream(spark, d).select(F.struct("at").alias("header"), "event_type"))
+    out = rows.groupBy(F.window("header_at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return plain(S.run_available(out.select(F.col("w.start").alias("window_start"), "event_type", "n"), "stream-table"), "window_start")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -597,10 +686,18 @@ def pipeline_game_scores(spark, d):
     rows = M.envelope(scored(events(spark, d)).withColumnRenamed("event_type", "team"), "team", "user_id", "score", keep=("ts",))
     rows = M.enrich_headers(rows, "team=payload.team;user=payload.user_id")
     rows = rows.select("ts", F.col("headers")["team"].alias("team"), F.col("headers")["user"].cast("long").alias("user_id"), F.get_json_object("payload", "$.score").cast("long").alias("score"))
-    return O.two_level(rows, "ts", "1 hour", "6 hours", "user_id", "team", "score")
+    return O.two_level(O.deal(rows, "user_id", 5).drop("share"), "ts", "1 hour", "6 hours", "user_id", "team", "score")
 
 
-@query(f"SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n, sum({CENTS})::BIGINT AS total FROM events GROUP BY ALL HAVING count(*) > 5")
+@query("SELECT date_trunc('day', ts) AS window_start, user_id::VARCHAR AS card, count(*) AS n, 'card ' || user_id::VARCHAR || ' tried ' || count(*)::VARCHAR || ' times' AS logged FROM events GROUP BY date_trunc('day', ts), user_id HAVING count(*) > 5")
 def pipeline_fraud_light(spark, d):
-    """The fold and the release by a user's functions, event time from a header."""
-    return udf_release(spark, d)
+    """Event time from a header, a user's fold per window and card, a release of frequent ones, and what is logged of them."""
+    rows = M.envelope(events(spark, d).withColumn("card", F.col("user_id").cast("string")), "card", headers={"timestamp": epoch_ms("ts")})
+    timed = rows.withColumn("at", from_ms(event_time("header.timestamp", F.col("headers"), F.col("payload")))).withColumn("card", F.get_json_object("payload", "$.card"))
+
+    def fold(record: dict, results: dict) -> None:
+        row = results.setdefault(record["card"], {"window_start": record["window_start"], "card": record["card"], "n": 0})
+        row["n"] += 1
+
+    found = O.fold_windows(timed.select("at", "card"), "at", "1 day", ["card"], fold, "window_start timestamp_ntz, card string, n long", release=lambda out: [r for r in out if r["n"] > 5])
+    return found.withColumn("logged", F.format_string("card %s tried %d times", "card", "n"))

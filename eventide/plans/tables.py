@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,12 +93,16 @@ class StreamTable:
         return cls(spec["name"], record(spec), column, delay)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """df with this table's columns and types, metadata columns, clocks and, where streaming, the watermark."""
+        """df with this table's columns and types, metadata columns, clocks and, where streaming, the watermark.
+
+        A dotted event-time column is a field of a struct; a stream gets it as a column of its own, dots as underscores.
+        """
         cols = [F.col(self.metadata.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         cols += [F.col(source).alias(name) for name, source in self.metadata.items() if name not in self.schema.fieldNames()]
         out = df.select(*cols, *(F.current_timestamp().alias(p) for p in self.processing_time))
         if self.event_time and df.isStreaming:
-            out = out.withWatermark(self.event_time, self.delay)
+            name = self.event_time.replace(".", "_")
+            out = out.withColumn(name, F.col(self.event_time).cast("timestamp")).withWatermark(name, self.delay)
         return out
 
     def decode(self, df: DataFrame, value: str = "value") -> DataFrame:
@@ -129,6 +136,39 @@ def run_sql(spark: SparkSession, text: str, streams: dict[str, DataFrame]) -> Da
     return spark.sql(PLACEHOLDER.sub(place, text), **used) if PLACEHOLDER.search(text) else spark.sql(text)
 
 
+def plans_of(frames: list[DataFrame], numbers: list[int]) -> list[str]:
+    """The extended plans of some of the frames, by their numbers."""
+    out = []
+    for n in numbers:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            frames[n].explain("extended")
+        out.append(text.getvalue())
+    return out
+
+
+def run_statements(spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame], folder: str, side: str | None = None, explain: list[int] | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, list[str]]:
+    """Statements that each fill a sink from streams and from the sinks before them, run over all that is there.
+
+    Each is a streaming query into Parquet files under folder, which later statements read as a stream. Gives the sinks'
+    rows by name, the rows of a side query over streams and sinks (held in memory, not written), and the plans asked for:
+    those of the streams first, then of the statements, counted from 0.
+    """
+    sinks: dict[str, DataFrame] = {}
+    frames = list(streams.values())
+    for name, text in statements:
+        frame = run_sql(spark, text, {**streams, **sinks})
+        frames.append(frame)
+        frame.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        sinks[name] = spark.readStream.schema(frame.schema).parquet(f"{folder}/{name}")
+    shown = None
+    if side:
+        view = f"side_{uuid.uuid4().hex}"
+        run_sql(spark, side, {**streams, **sinks}).writeStream.format("memory").queryName(view).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        shown = spark.table(view)
+    return {n: spark.read.schema(f.schema).parquet(f"{folder}/{n}") for n, f in sinks.items()}, shown, plans_of(frames, explain or [])
+
+
 def run_pipeline(spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Named statements in order, each able to use the streams and the results before it."""
     out: dict[str, DataFrame] = {}

@@ -37,12 +37,16 @@ def clock(spark: SparkSession, rows_per_second: int = 1, pattern: str = "dd/MM/y
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("seq"), "timestamp", F.date_format("timestamp", pattern).alias("payload"))
 
 
+def without_registry_prefix(value: Column) -> Column:
+    """Bytes without the five that a schema registry puts before them, a zero and the schema's number; others as they are."""
+    return F.when(F.substring(value, 1, 1) == F.lit(bytes(1)), value.substr(F.lit(6), F.octet_length(value))).otherwise(value)
+
+
 def avro_payload(value: Column, schema: str) -> Column:
     """A record from Avro bytes, with or without the five bytes of a registry. Needs the Avro package."""
     from pyspark.sql.avro.functions import from_avro
 
-    body = F.when(F.substring(value, 1, 1) == F.lit(bytes(1)), F.expr("substring(value, 6)")).otherwise(value)
-    return from_avro(body, schema)
+    return from_avro(without_registry_prefix(value), schema)
 
 
 def bridge(source: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = True):

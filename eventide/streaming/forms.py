@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.time import interval_ms
 from ..operators.watermark import split_late
-from ..operators.windows import latest_per_key
+from ..operators.windows import latest_per_key, top_k
 from ..sources.shared import fresh_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,15 +45,23 @@ def windowed(stream: DataFrame, ts: str, disorder: str, size: str, keys: list[st
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *out.columns[1:], "w")
 
 
-def windowed_top_k(stream: DataFrame, ts: str, disorder: str, size: str, group: str, key: str, k: int) -> DataFrame:
-    """The k most frequent keys of each window and group: a second aggregation over closed windows.
+def write_top_k(stream: DataFrame, ts: str, disorder: str, size: str, group: str, key: str, k: int, folder: str, checkpoint: str):
+    """Write the k most frequent keys of each window and group, by batch number; returns the running query.
 
-    The first gives one row per window, group and key; the second holds k of them per group at a time in a sorted array.
+    Counts by window, group and key come out when their window closes, all of a window in one batch, and are ranked there.
+    So state has one number a key, and ranking keeps k rows of a group in each task before they meet.
     """
-    counted = windowed(stream, ts, disorder, size, [group, key], F.count("*").alias("n"))
-    packed = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(key)))), 1, k)
-    tops = counted.groupBy(F.window(F.window_time("w"), size).alias("v"), group).agg(packed.alias("top"))
-    return tops.select(F.col("v.start").alias("window_start"), F.col("v.end").alias("window_end"), group, F.posexplode("top").alias("at", "x")).select("window_start", "window_end", group, F.col(f"x.{key}").alias(key), (-F.col("x.neg")).alias("n"), (F.col("at") + 1).cast("long").alias("row_num"))
+    counted = windowed(stream, ts, disorder, size, [group, key], F.count("*").alias("n")).drop("w")
+
+    def rank(batch: DataFrame, number: int) -> None:
+        top_k(batch, ["window_start", "window_end", group], "n", key, k).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return counted.writeStream.foreachBatch(rank).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def distinct_events(stream: DataFrame, ts: str, disorder: str, keys: list[str]) -> DataFrame:
+    """The first row of each key, with others left out that come before the watermark passes it; state goes with the watermark."""
+    return stream.withWatermark(ts, disorder).dropDuplicatesWithinWatermark(keys)
 
 
 def two_level_windows(stream: DataFrame, ts: str, disorder: str, inner: str, outer: str, user: str, team: str, value: str) -> DataFrame:
@@ -74,59 +82,80 @@ def write_split(stream: DataFrame, tag: Callable[[DataFrame], DataFrame], policy
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str, buckets: int = 64):
+def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str, compact: int = 16):
     """Keep the newest row per key in a folder; ``read_upserted`` reads it.
 
-    Keys fall into buckets. A batch rewrites only the buckets it has rows for, under its own number, and lists which
-    number each bucket is at, so a repeated batch leaves the same files and a reader sees whole versions.
+    A batch writes its own newest rows as one version, so it costs what the batch holds, however many keys there are. After
+    ``compact`` versions they are merged into one; versions merged at the time before are then removed, so that readers of
+    the last list still find theirs. A batch that is repeated leaves the same files.
     """
     spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # at most buckets
-        at = _versions(spark, folder, number - 1) if number else {}
-        old = [f"{folder}/rows/version={v}/_bucket={b}" for b, v in at.items() if b in touched]
-        if old:
-            rows = rows.drop("_bucket").unionByName(spark.read.schema(schema).parquet(*old))
-        newest = latest_per_key(rows.select(*schema.fieldNames()), keys, order)
-        newest.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/rows/version={number}")
-        listed = sorted((at | {b: number for b in touched}).items())
-        spark.createDataFrame(listed, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
+        live = _versions(spark, folder, number - 1) if number else []
+        path = f"{folder}/rows/version={number}"
+        gone: list[str] = []
+        if len(live) + 1 >= compact:
+            old = spark.read.schema(schema).parquet(*(f"{folder}/rows/{v}" for v in live))
+            latest_per_key(old.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{folder}/rows/merged={number}")
+            gone, live = live, [f"merged={number}"]
+        else:
+            latest_per_key(batch, keys, order).write.mode("overwrite").parquet(path)
+            live = [*live, f"version={number}"]
+        listed = [(v, True) for v in live] + [(v, False) for v in gone]
+        spark.createDataFrame(listed, "version string, live boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
+        for v in _versions(spark, folder, number - 1, live=False) if number else []:
+            _remove(spark, f"{folder}/rows/{v}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
-    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{folder}/list/batch={number}").collect()}
+def _versions(spark: SparkSession, folder: str, number: int, live: bool = True) -> list[str]:
+    """The versions that the list of a batch names; at most as many as are merged at a time."""
+    return [r["version"] for r in spark.read.parquet(f"{folder}/list/batch={number}").where(F.col("live") == live).orderBy("version").collect()]
+
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-def read_upserted(spark: SparkSession, folder: str, schema) -> DataFrame:
+
+def read_upserted(spark: SparkSession, folder: str, schema, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row per key after the last batch."""
     last = spark.read.parquet(f"{folder}/list").agg(F.max("batch")).first()[0]
-    paths = [f"{folder}/rows/version={v}/_bucket={b}" for b, v in _versions(spark, folder, last).items()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    paths = [f"{folder}/rows/{v}" for v in _versions(spark, folder, last)]
+    return latest_per_key(spark.read.schema(schema).parquet(*paths), keys, order)
 
 
-def release_idle(stream: DataFrame, ts: str, key: str, value: str, size: str, idle: str) -> DataFrame:
-    """Sums per key and tumbling window, each given once after no row of it came for ``idle`` of the clock, as partial.
+def release_idle_windows(stream: DataFrame, ts: str, keys: list[str], size: str, idle: str, fold: Callable[[tuple | None, pd.DataFrame], tuple], state: str, release: Callable[[tuple], dict], schema: str) -> DataFrame:
+    """Each tumbling window and key once, as partial, after no row of it came for ``idle`` of the clock.
 
-    State is two numbers per key and window, and times out by processing time.
+    fold(state or None, rows) gives the new state, a tuple of the types in ``state``; release(state) gives the columns in
+    ``schema``. State is that tuple per key and window, and times out by processing time. Keys are strings.
     """
     idle_ms = interval_ms(idle)
-    rows = stream.withColumn("_w", F.window(ts, size)).select(F.col(key).cast("string").alias("key"), F.col("_w.start").alias("window_start"), F.col(value).cast("double").alias("value"))
-    out = T.StructType.fromDDL("key string, window_start timestamp, n long, total double, partial boolean")
-
-    def step(names, batches, state):
-        if state.hasTimedOut:
-            n, total = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [names[0]], "window_start": [names[1]], "n": [n], "total": [total], "partial": [True]})
+    rows = stream.withColumn("window_start", F.window(ts, size)["start"])
+    for k in keys:
+        rows = rows.withColumn(k, F.col(k).cast("string"))
+    out = T.StructType.fromDDL(", ".join([*(f"{k} string" for k in keys), "window_start timestamp", schema, "partial boolean"]))
+
+    def step(names, batches, held):
+        if held.hasTimedOut:
+            found = release(held.get)
+            held.remove()
+            yield pd.DataFrame([dict(zip([*keys, "window_start"], names)) | found | {"partial": True}])[out.fieldNames()]
             return
-        n, total = state.get if state.exists else (0, 0.0)
+        now = held.get if held.exists else None
         for b in batches:
-            n, total = n + len(b), total + float(b["value"].sum())
-        state.update((n, total))
-        state.setTimeoutDuration(idle_ms)
+            now = fold(now, b)
+        held.update(now)
+        held.setTimeoutDuration(idle_ms)
+
+    return rows.groupBy(*keys, "window_start").applyInPandasWithState(step, out, state, "append", "ProcessingTimeTimeout")
 
-    return rows.groupBy("key", "window_start").applyInPandasWithState(step, out, "n long, total double", "append", "ProcessingTimeTimeout")
+
+def release_idle(stream: DataFrame, ts: str, key: str, value: str, size: str, idle: str) -> DataFrame:
+    """Counts and sums per key and tumbling window, each given once after it was idle."""
+    rows = stream.select(ts, F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    fold = lambda s, b: ((s[0] if s else 0) + len(b), (s[1] if s else 0.0) + float(b["value"].sum()))
+    return release_idle_windows(rows, ts, ["key"], size, idle, fold, "n long, total double", lambda s: {"n": s[0], "total": s[1]}, "n long, total double")
