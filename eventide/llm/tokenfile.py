@@ -8,7 +8,8 @@ document can be read without the rest:
 
     blocks | index (zlib-free JSON, zstandard) | length of the index, 8 bytes little-endian | MAGIC
 
-A task writes under a name of its own attempt and then moves the file, so a repeated task leaves one
+A file is closed at FILE_IDS ids and the next one begun, so that files, and the tasks that read them, are bounded whatever
+the number of partitions. A task writes under a name of its own attempt and then moves the file, so a repeated task leaves one
 whole file. Files are reached through pyarrow's file systems (file, hdfs, s3, gs) by the folder's URI.
 
 Null and empty texts have only the end id. Rows with one id are all kept, ordered by a hash of their text.
@@ -37,6 +38,7 @@ from .common import bounded_batches, fresh_path, materialize
 
 MAGIC = b"EVTPLANE"
 BLOCK = 1 << 16
+FILE_IDS = 1 << 26
 LEVEL = 1
 CACHE = 300_000  # pieces kept by a worker in each of two generations
 LONG = 48  # longer pieces are not kept
@@ -75,10 +77,15 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.load(open(path, encoding="utf-8"))
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        #: whether the file has the settings that pieces are built for; with others the library encodes texts whole
+        self.fits = plain and model["type"] == "BPE" and spec["normalizer"] is None and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
         self.known = _Pieces(self)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        self.line = self._whole("\n")
+        self.line = self._whole("\n") if self.fits else b""
         self.words = _Words(self.tokenizer.model)
 
     def _whole(self, text: str) -> bytes:
@@ -92,7 +99,7 @@ class ByteEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\n\n" in text or any(w in text and (w + " " in text or " " + w in text or w + "\n" in text or "\n" + w in text) for w in SPACES) or "\0" in text or ("<" in text and self.special.search(text)):
+        if not self.fits or "  " in text or "\n\n" in text or any(w in text and (w + " " in text or " " + w in text or w + "\n" in text or "\n" + w in text) for w in SPACES) or "\0" in text or ("<" in text and self.special.search(text)):
             return self._whole(text)
         return b"".join(map(self.known.__getitem__, ("\0" + text.replace("\n", " \n")).split(" ")))
 
@@ -164,12 +171,13 @@ class Writer:
     """Writes one file from runs of ids."""
 
     def __init__(self, stream, planes: str):
-        self.stream, self.planes, self.held, self.size, self.at = stream, planes, [], 0, 0
+        self.stream, self.planes, self.held, self.size, self.at, self.n = stream, planes, [], 0, 0, 0
         self.blocks, self.doc_ids, self.counts = [], [], []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.doc_ids.append(doc_id)
         self.counts.append(len(ids) // 4)
+        self.n += len(ids) // 4
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= 4 * BLOCK:
@@ -223,7 +231,7 @@ def file_system(uri: str):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, planes: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode docs into files in folder, in ascending id order; rows (shard, path, n_docs, n_tokens) of the files."""
+    """Encode docs into files in folder, in ascending id order; rows (shard, part, path, n_docs, n_tokens) of the files."""
     spark = docs.sparkSession
     bounded_batches(spark)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
@@ -233,27 +241,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, base = file_system(folder)
-        shard, writer, total, docs_n = task.partitionId(), None, 0, 0
-        name = f"{base}/part-{shard:05d}.ids"
-        draft = f"{name}.{task.taskAttemptId()}"
+        shard, writer, part = task.partitionId(), None, 0
         enc = byte_encoder(tokenizer)
+
+        def closed() -> pa.RecordBatch:
+            name = f"part-{shard:05d}-{part:05d}.ids"
+            writer.close()
+            fs.move(draft, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [len(writer.counts)], "n_tokens": [sum(writer.counts)]})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                fs.create_dir(base, recursive=True)
-                writer = Writer(fs.open_output_stream(draft), planes)
             for a in range(0, batch.num_rows, 200):
                 for doc_id, ids in zip(batch.column(0)[a : a + 200].to_pylist(), map(enc.encode, batch.column(1)[a : a + 200].to_pylist())):
+                    if writer is not None and writer.n >= FILE_IDS:
+                        yield closed()
+                        writer, part = None, part + 1
+                    if writer is None:
+                        fs.create_dir(base, recursive=True)
+                        draft = f"{base}/part-{shard:05d}-{part:05d}.{task.taskAttemptId()}"
+                        writer = Writer(fs.open_output_stream(draft), planes)
                     writer.add(doc_id, ids + end)
-                    total += (len(ids) + len(end)) // 4
-                    docs_n += 1
         if writer is not None:
-            writer.close()
-            fs.move(draft, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/part-{shard:05d}.ids"], "n_docs": [docs_n], "n_tokens": [total]})
+            yield closed()
 
-    return materialize(rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shards")
+    return materialize(rows.mapInArrow(run, "shard int, part int, path string, n_docs long, n_tokens long"), "shards")
 
 
 def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -276,7 +287,7 @@ def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 if rows:
                     yield _rows(rows, with_ids)
 
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     based = shards.select("path", before.cast("long").alias("base")).repartition(parts)
     return based.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
