@@ -1,7 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing extra columns, for every query and stage."""
 
+import hashlib
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from eventide.llm import queries
@@ -56,19 +61,42 @@ def test_stages_on_odd_and_empty_rows(spark, odd, empty, stage):
         assert left == [(0, ""), (0, "no id here"), (1, "a text of words"), (2, ""), (3, ""), (4, " \n\t "), (6, "other"), (6, "texts"), (8, "x" * 900)]
 
 
-def test_pipeline_keeps_one_of_each_group(spark):
-    """The first stages by brute force on the smallest tables: what stays, and that the rest is tokens of it."""
+def kept_by_hand(docs: dict[int, str]) -> list[int]:
+    """The documents that pass the quality rules, by a plain EM over each document's votes."""
+    from test_operators import quality_by_hand
+
+    votes, good = {}, {}
+    for i, t in docs.items():
+        n, chars, symbols, lines, repeats = quality_by_hand(t)
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        letters, capitals = len(re.findall(r"[A-Za-z]|[^\x00-\x7f]", t)), len(re.findall("[A-Z]", t))
+        # bytes C0-FF begin a code point outside ASCII; continuation bytes are not counted
+        shares = [(symbols / max(n, 1), 0.05, 0.25), (letters / max(chars, 1), 0.93, 0.70), (repeats / max(n, 1), 0.10, 0.30), (lines / max(len([x for x in t.split("\n") if x.strip(" \t\n\r\v\f")]), 1), 0.20, 0.50), (capitals / max(chars, 1), 0.10, 0.30), (len(set(words)) / max(n, 1), 0.45, 0.12), (chars / max(n, 1), 7.0, 10.0), (chars / max(n, 1), 3.8, 3.2), (t.count("!") / max(n, 1), 0.05, 0.30)]
+        votes[i] = [(1 if x < g else 2 if x > b else 0) if g < b else (1 if x > g else 2 if x < b else 0) for x, g, b in shares]
+        good[i] = (1 + votes[i].count(1)) / (2 + votes[i].count(1) + 4 * votes[i].count(2))
+    for _ in range(200):
+        prior = [sum(good.values()) + 1, sum(1 - p for p in good.values()) + 1]
+        rates = []
+        for side in (0, 1):
+            weight = {i: p if side == 0 else 1 - p for i, p in good.items()}
+            counts = [[0.5 + sum(w for i, w in weight.items() if votes[i][r] == v) for v in range(3)] for r in range(9)]
+            rates.append([[x / sum(c) for x in c] for c in counts])
+        for i, v in votes.items():
+            log = [math.log(prior[s] / sum(prior)) + sum(math.log(rates[s][r][x]) for r, x in enumerate(v)) for s in (0, 1)]
+            good[i] = 1 / (1 + math.exp(min(500, max(-500, log[1] - log[0]))))
+    base = {i: quality_by_hand(t) for i, t in docs.items()}
+    return sorted(i for i in docs if base[i][0] >= 50 and 100 * base[i][4] <= 50 * base[i][0] and good[i] >= 0.05)
+
+
+def test_pipeline_by_hand(spark):
+    """All stages by brute force on the smallest tables: what stays, its redacted texts, and their tokens by the library."""
     from conftest import DATA
-    from eventide.llm import bpe, decontam, quality
+    from eventide.llm import bpe, pii
+    from test_operators import contaminated_by_hand, spans_by_hand
 
     folder = f"{DATA}/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    rows = {i: quality.features(t.encode()) for i, t in docs.items()}
-    patterns: dict = {}
-    for r in rows.values():
-        patterns[quality.votes(r)] = patterns.get(quality.votes(r), 0) + 1
-    by = quality.fit(patterns)
-    kept = sorted(i for i, r in rows.items() if not quality.failed(r) and by[quality.votes(r)] >= 0.05)
+    kept = kept_by_hand(docs)
     grams = {i: set(zip(*(docs[i].encode().lower().split()[k:] for k in range(5)))) for i in kept}
     up = {i: i for i in kept}
 
@@ -82,9 +110,36 @@ def test_pipeline_keeps_one_of_each_group(spark):
             if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    index = decontam.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()])
-    want = {i for i in kept if find(i) == i and not index.matches(docs[i], 0.6, 0.5)}
+    single = [(i, docs[i]) for i in kept if find(i) == i]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    dirty = {x[0] for x in contaminated_by_hand(single, items)}
+    want = {i: t for i, t in single if i not in dirty}
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert set(got) == want
-    assert all(r["n_tokens"] > 0 for r in got.values())
-    assert bpe.encoder(bpe.tokenizer_path("word_bpe_49k.json")).encode("[EMAIL]").tolist()
+    assert set(got) == set(want)
+
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(sorted(want.items()), "doc_id long, text string")).collect()}
+    lib = Tokenizer.from_file(bpe.tokenizer_path("word_bpe_49k.json"))
+    for i, t in want.items():
+        spans = sorted((s["start"], s["end"], s["kind"]) for s in found[i])
+        assert {(s, e) for _, s, e in spans_by_hand(t)} <= {(s, e) for s, e, _ in spans}
+        clean, at, end = [], 0, 0
+        for s, e, kind in spans:
+            if s >= end:
+                clean += [t[at:s], f"[{kind.upper()}]"]
+            at = end = max(end, e)
+        clean = "".join([*clean, t[at:]])
+        ids = lib.encode(clean, add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_odd_rows_have_defined_values(spark, odd):
+    """Values, not only counts, for null, empty, repeated and long rows."""
+    q = {n: queries.queries()[n](spark, odd).collect() for n in ("op1_repeats", "op5_licenses", "op7_quality", "op8_bpe_automaton", "op10_pii")}
+    of = lambda n, i: [r for r in q[n] if r["doc_id"] == i]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for i in (2, 3, 8, 9) for r in of("op1_repeats", i)] == [(0, 0, 0), (0, 0, 0), (900, 900, 1), (900, 900, 1)]
+    assert all((r["n_words"], r["labels"], r["score"], r["first_word"]) == (0, "", 0.0, None) for i in (2, 3, 4) for r in of("op5_licenses", i))
+    assert all((r["n_words"], r["base_failed"], r["kept"]) == (0, True, False) for i in (2, 3, 4) for r in of("op7_quality", i))
+    assert all((r["n_tokens"], r["decoded_sha256"]) == (0, hashlib.sha256(b"").hexdigest()) for i in (2, 3, 4) for r in of("op8_bpe_automaton", i))
+    assert len(of("op8_bpe_automaton", 1)) == 2 and len({r["ids_sha256"] for r in of("op8_bpe_automaton", 1) + of("op8_bpe_automaton", 7)}) == 1
+    assert all((r["spans"], r["n_email"], r["base_sha256"]) == ("", 0, hashlib.sha256(b"").hexdigest()) for i in (2, 3) for r in of("op10_pii", i))
+    assert queries.queries()["op4_decontamination"](spark, odd).count() == 0

@@ -73,6 +73,16 @@ def test_repeats(spark, gram, members):
     assert [got[i] for i in range(len(rows))] == removed_by_hand([(t or "").encode() for t in rows], 40)
 
 
+def test_repeats_of_rows_without_ids_and_of_one_id(spark):
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    base, passage = text(300), text(60)
+    rows = [(7, base)] * 2000 + [(None, text(100) + passage + text(50)) for _ in range(30)] + [(None, "same short")] * 5 + [(8, base[50:120] + text(40)), (9, text(30) + passage), (None, base)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, 12).drop("kept").collect()
+    want = [(i, *x) for (i, _), x in zip(rows, removed_by_hand([t.encode() for _, t in rows], 40))]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_repeats_over_segment_ends(spark, monkeypatch):
     rows = ["".join(random.Random(7).choice("abc ") for _ in range(3000)) * 2, "q" * 100]
     data = np.frombuffer(rows[0].encode(), np.uint8)
@@ -86,6 +96,12 @@ def test_repeats_over_segment_ends(spark, monkeypatch):
     assert windows == {(p, o, f) for p, a, b, f in zip(at, least, most, fp) for o in range(a, b + 1)}
 
 
+def test_smallest_of_ranges():
+    values = np.random.default_rng(1).integers(0, 50, 37)
+    a, b = np.array([(i, j) for i in range(37) for j in range(i, 37)]).T
+    assert repeats._Minima(values).of(a, b).tolist() == [values[i : j + 1].min() for i, j in zip(a, b)]
+
+
 def test_prefix_intervals():
     lcp = [0, 2, 4, 4, 1, 0, 3]
     assert list(repeats.prefix_intervals(lcp, 1)) == [(4, 1, 3), (2, 0, 3), (1, 0, 4), (3, 5, 6)]
@@ -102,8 +118,9 @@ def test_planes(planes, n):
     assert (tokenfile.unpack(data, sizes, n) == ids).all()
 
 
-@pytest.mark.parametrize("planes", ["bit", "byte"])
-def test_token_files(spark, texts, tmp_path, planes, monkeypatch):
+@pytest.mark.parametrize("planes,limit", [("bit", 1 << 26), ("byte", 1 << 26), ("byte", 500)])
+def test_token_files(spark, texts, tmp_path, planes, limit, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_IDS", limit)
     rows = [*list(texts.values())[:60], None, "", "a  b\n \nc", "x " * 3000, "<|endoftext|> it's"]
     path = bpe.tokenizer_path("byte_bpe_50k.json")
     shards = tokenfile.write_tokens(frame(spark, rows).repartition(3), path, f"file://{tmp_path}/ids", planes=planes)
@@ -116,6 +133,22 @@ def test_token_files(spark, texts, tmp_path, planes, monkeypatch):
         at += len(ids)
 
 
+def test_byte_encoder_of_other_settings(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    enc, lib = tokenfile.ByteEncoder(path), Tokenizer.from_file(path)
+    assert np.frombuffer(enc.encode("plain words here"), "<u4").tolist() == lib.encode("plain words here", add_special_tokens=False).ids
+
+
+def test_word_encoder_refuses_other_settings(tmp_path):
+    with pytest.raises(ValueError):
+        bpe.WordEncoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_byte_encoder_on_white_space():
     path = bpe.tokenizer_path("byte_bpe_50k.json")
     r, lib, enc = random.Random(3), Tokenizer.from_file(path), tokenfile.ByteEncoder(path)
@@ -202,6 +235,19 @@ def test_similar_texts(spark, few):
     assert components_by_hand(len(rows), got) == components_by_hand(len(rows), want)
 
 
+def test_recall_of_similar_texts(spark):
+    """Texts whose id is divisible by 20 against all rows: every similar pair is in one component."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    grams = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        if w:
+            grams[r["doc_id"]] = set(zip(*(w[i:] for i in range(5)))) or {tuple(w)}
+    up = {r["node"]: r["component"] for r in connected(simhash.similar(docs)).collect()}
+    pairs = [(a, b) for a in grams if a % 20 == 0 for b in grams if a != b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert len(pairs) > 5 and all(up.get(a, a) == up.get(b, b) for a, b in pairs)
+
+
 # 4. decontamination
 
 
@@ -492,6 +538,39 @@ def test_automaton_of_random_merges():
             assert [auto.labels[i] for i in auto.encode([ord(c) for c in word])] == parts
 
 
+def arcs_by_gadgets(base, merges):
+    """The states and their arcs as sets, one gadget after another."""
+    arcs = {s: set(base) for s in ("", *base)}
+    for a, b in merges:
+        if b in arcs.get(a, ()):
+            new = set(arcs[b])
+            arcs[a].discard(b)
+            arcs[a + b] = new
+            for labels in arcs.values():
+                if a in labels:
+                    labels.add(a + b)
+    return arcs
+
+
+def test_compiled_arcs_are_those_of_the_gadgets():
+    r = random.Random(10)
+    chars = bpe.byte_symbols()
+    for _ in range(30):
+        vocab, tokens, merges = {c: i for i, c in enumerate(chars)}, [chars[ord(c)] for c in "abc"], []
+        while len(merges) < 30:
+            a, b = r.choice(tokens), r.choice(tokens)
+            if a + b not in vocab:
+                vocab[a + b] = len(vocab)
+                merges.append((a, b))
+                tokens.append(a + b)
+        auto, want = bpe.Automaton(vocab, merges), arcs_by_gadgets(chars, merges)
+        live = set(want) - {""}
+        for x in want:
+            at = vocab[x] if x else bpe.START
+            assert {y for y in live if auto.arc(at, vocab[y])} == want[x] & live
+        assert not {"merges", "cuts", "left", "right", "born"} & set(vars(auto))  # encoding has nothing but tables
+
+
 # 9. main text
 
 
@@ -516,6 +595,23 @@ def test_main_text_of_given_pages(spark):
         assert row["text"] == "\n".join(b for b in blocks if b) and row["n_chars"] == len(row["text"])
 
 
+@pytest.mark.parametrize("page", ["<b>x<p>y" * 60_000, "<div>" * 20 + "</i>x" * 100_000, "<div>" * 60_000, "<a x" * 100_000, "<a x" * 100_000 + '">', "<!-- " * 50_000, "<a '" * 100_000 + ">"])
+def test_pages_parse_in_linear_time(page):
+    import time
+
+    began = time.time()
+    html.parse(page)
+    assert time.time() - began < 10
+
+
+def test_text_behind_the_last_tag():
+    text = lambda page: [t for _, t in html.parse(page)[1]]
+    assert text("<p>one</p>two < three") == ["one", "two < three"]
+    assert text("<p>one</p><!-- never > closed") == ["one"]
+    assert text("<p>one</p><script>a > b") == ["one"]
+    assert text("<p>one</p><!-- x --> y") == ["one", "y"]
+
+
 def test_decoding_has_no_contradictions():
     r = np.random.default_rng(0)
     nodes = [html.Node("#root", -1, 0, "", 0)] + [html.Node("div", int(r.integers(0, i)), 1, "", 0) for i in range(1, 200)]
@@ -558,6 +654,28 @@ def test_secrets_and_redaction(spark):
     assert got == ['key token = "[SECRET]" end', "[SECRET]", "password=[SECRET] x", rows[3], "a [EMAIL] c", None, ""]
 
 
+def test_recall_of_personal_data_held_out(spark):
+    rows = [(b + v + (b[-1] if b[-1] in "\"'" else "") + " end", len(b), len(b) + len(v), y) for _, b, v, y in pii.training_rows(2000, seed=99)]
+    got = pii.find(frame(spark, [t for t, *_ in rows])).orderBy("doc_id").collect()
+    hit = [any(s["start"] < high and low < s["end"] for s in x["spans"]) for x, (_, low, high, _) in zip(got, rows)]
+    found = [h for h, (*_, y) in zip(hit, rows) if y]
+    wrong = [h for h, x, (*_, y) in zip(hit, got, rows) if not y and not x["base"]]
+    assert sum(found) / len(found) > 0.9 and sum(wrong) / len(wrong) < 0.05
+
+
+def test_personal_data_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        began = time.time()
+        pii.redact(frame(spark, [" ".join(str(i) for i in range(n)) + "kg", "u@m.com 1.2.3.4 password=hunter2 " * (n // 10)])).collect()
+        return time.time() - began
+
+    seconds(1000)
+    small, large = seconds(10_000), seconds(100_000)
+    assert large < 15 * max(small, 1)
+
+
 def test_boosting_and_its_sql(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 3))
