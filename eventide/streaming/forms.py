@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.time import interval_ms
 from ..operators.watermark import split_late
 from ..operators.windows import latest_per_key, top_k
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -105,7 +105,7 @@ def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, ch
         listed = [(v, True) for v in live] + [(v, False) for v in gone]
         spark.createDataFrame(listed, "version string, live boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
         for v in _versions(spark, folder, number - 1, live=False) if number else []:
-            _remove(spark, f"{folder}/rows/{v}")
+            remove(spark, f"{folder}/rows/{v}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -115,11 +115,6 @@ def _versions(spark: SparkSession, folder: str, number: int, live: bool = True)
     return [r["version"] for r in spark.read.parquet(f"{folder}/list/batch={number}").where(F.col("live") == live).orderBy("version").collect()]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def read_upserted(spark: SparkSession, folder: str, schema, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row per key after the last batch."""
     last = spark.read.parquet(f"{folder}/list").agg(F.max("batch")).first()[0]
