@@ -33,7 +33,7 @@ def test_two_levels(spark, source):
 def test_late_rows_go_to_two_places(spark, source, tmp_path):
     def tag(batch):
         rows = batch.select(F.unix_millis("at").alias("ms"), F.hash("u", "v").cast("long").alias("seq"), F.lit(0).alias("part"))
-        return W.replay(rows, "ms", ["seq"], "part", 60_000, 300_000, chunks=3)
+        return W.replay(rows, "ms", ["seq"], "part", 60_000, 300_000, chunk_rows=20)
 
     main, side = str(tmp_path / "main"), str(tmp_path / "side")
     forms.write_split(source(), tag, "SIDE_CHANNEL", main, side, str(tmp_path / "state")).awaitTermination()
@@ -44,8 +44,8 @@ def test_late_rows_go_to_two_places(spark, source, tmp_path):
 
 def test_upsert_over_batches(spark, source, tmp_path):
     stream = source(files_per_batch=1)
-    forms.upsert(stream, ["u"], ["at"], str(tmp_path / "up"), str(tmp_path / "up-state"), buckets=2).awaitTermination()
-    got = forms.read_upserted(spark, str(tmp_path / "up"), stream.schema)
+    forms.upsert(stream, ["u"], ["at"], str(tmp_path / "up"), str(tmp_path / "up-state"), compact=2).awaitTermination()
+    got = forms.read_upserted(spark, str(tmp_path / "up"), stream.schema, ["u"], ["at"])
     assert spark.read.parquet(str(tmp_path / "up" / "list")).select("batch").distinct().count() == 3
     want = source(False).groupBy("u").agg(F.max_by("v", "at")).collect()
     assert sorted(map(tuple, got.select("u", "v").collect())) == sorted(map(tuple, want))
@@ -87,3 +87,35 @@ def test_state_store_setting(spark):
     forms.use_state_store(spark)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == forms.ROCKSDB
     forms.use_state_store(spark, "MEMORY")
+
+
+def test_upsert_merges_versions_and_removes_old_ones(spark, tmp_path):
+    import os
+
+    schema = "k int, at int, v string"
+    for n in range(9):
+        spark.createDataFrame([(k, n * 10 + k, f"{n}:{k}") for k in range(n % 4, 8)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    forms.upsert(stream, ["k"], ["at"], f"file://{tmp_path}/out", f"file://{tmp_path}/state", compact=3).awaitTermination()
+    got = {r["k"]: r["v"] for r in forms.read_upserted(spark, f"file://{tmp_path}/out", stream.schema, ["k"], ["at"]).collect()}
+    newest = {k: max((n * 10 + k, f"{n}:{k}") for n in range(9) if n % 4 <= k)[1] for k in range(8)}
+    assert got == newest
+    assert len([x for x in os.listdir(f"{tmp_path}/out/rows") if "=" in x]) <= 6
+
+
+def test_statements_explain_and_sinks(spark, tmp_path):
+    from eventide.plans.tables import run_statements
+
+    spark.createDataFrame([(i, i % 3) for i in range(30)], "id int, k int").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id int, k int").parquet(f"{tmp_path}/in")
+    sinks, side, plans = run_statements(spark, [("ones", "SELECT id FROM [[STREAM:rows]] WHERE k = 1"), ("even", "SELECT id FROM [[STREAM:ones]] WHERE id % 2 = 0")], {"rows": stream}, f"file://{tmp_path}/out", explain=[1])
+    assert side is None and len(plans) == 1 and "Physical Plan" in plans[0]
+    assert sorted(r["id"] for r in sinks["even"].collect()) == [i for i in range(30) if i % 3 == 1 and i % 2 == 0]
+
+
+def test_late_firings_by_policy(spark):
+    from eventide.operators import watermark as W
+
+    df = spark.createDataFrame([(1, False), (2, True)], "n int, late boolean")
+    count = lambda p: tuple(x.count() for x in W.split_firings(df, p))
+    assert (count("DROP"), count("UPSERT"), count("SIDE_CHANNEL")) == ((1, 0), (2, 0), (1, 1))
