@@ -2,9 +2,11 @@
 
 import io
 import random
+import re
 from contextlib import redirect_stdout
 
 from conftest import DATA
+from eventide.operators import watermark as W
 from eventide.operators import windows as O
 from eventide.plans import catalog
 
@@ -31,9 +33,11 @@ def test_ranking_is_limited_before_the_shuffle(spark):
 
 
 def test_replay_has_no_global_window_over_rows(spark):
-    text = plan(catalog.late_status(spark, FOLDER))
-    # the only single partition holds a row per chunk
-    assert text.count("SinglePartition") == 1 and "_chunk" in text
+    text = plan(W.replay(catalog.arrivals(spark, FOLDER), "ms", ["seq", "event_id"], "part", catalog.DISORDER, catalog.LATENESS, chunk_rows=100))
+    # single partitions hold some rows for each chunk: counts of steps of the arrival number
+    single = re.findall(r"Exchange\nInput \[(\d+)\]: \[([^\]]*)\]\nArguments: SinglePartition", text)
+    assert single and all("_cell" in cols and int(n) == 2 for n, cols in single)
+    assert "hashpartitioning(_chunk" in text
 
 
 def test_as_of_against_brute_force(spark):

@@ -10,6 +10,8 @@ from eventide.plans.tables import StreamTable, run_sql
 
 PLAYS = {"name": "plays", "fields": [{"name": "song", "type": "long"}, {"name": "at", "type": "long_timestamp-millis", "watermark": "`at` - INTERVAL '30' SECONDS"}, {"name": "album", "type": "string", "optional": True}]}
 
+pytestmark = pytest.mark.usefixtures("spark")  # column expressions need a session
+
 
 def test_three_spellings_agree():
     meta = StreamTable.from_meta(PLAYS)
