@@ -80,7 +80,8 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     links, seen = materialize(links, "links"), None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # written first, so that the join deals both sides anew and can divide the links of a node with very many
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.inline(F.expr("array(struct(v as u, low as v), struct(u as u, low as v))"))).where("u <> v").distinct()
