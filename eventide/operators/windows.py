@@ -122,16 +122,17 @@ def map_messages(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | Non
     return df.mapInPandas(run, schema or df.schema)
 
 
-def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Callable[[dict, dict], None], schema: str, release: Callable[[list[dict]], list[dict]] | None = None, order: list[str] | None = None) -> DataFrame:
+def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Callable[[dict, dict], None], schema: str, release: Callable[[list[dict]], list[dict]] | None = None, order: list[str] | None = None, headers: Callable[[dict], dict[str, str]] | None = None) -> DataFrame:
     """A user's fold of each window and key, record by record: fold(record, results) changes results, a dict of rows.
 
-    release may filter or extend the rows before they go out. Records stream through sorted by window and key, so a
+    release may filter or extend the rows before they go out, and headers gives those of each, a column of that name. Records stream through sorted by window and key, so a
     task holds the results of one group, never its records. Keys are required, else a window is one task's work.
     """
     if not keys:
         raise ValueError("a window is folded by key")
     group = ["window_start", "window_end", *keys]
     rows = tumble(df, ts, size).repartition(*group).sortWithinPartitions(*group, *(order or []))
+    schema = f"{schema}, headers map<string,string>" if headers else schema
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,8 @@ def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Calla
         def done() -> None:
             if current is not None:
                 found = list(results.values())
-                out.extend(release(found) if release else found)
+                found = release(found) if release else found
+                out.extend([row | {"headers": list(headers(row).items())} for row in found] if headers else found)
                 results.clear()
 
         for batch in batches:

@@ -320,6 +320,18 @@ def udf_release(spark, d):
     return O.fold_windows(scored(events(spark, d)).select("ts", "user_id", "score"), "ts", "1 day", ["user_id"], _fold, FOLD, release=lambda rows: [r for r in rows if r["n"] > 5])
 
 
+@query("SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n, 'count=' || count(*)::VARCHAR || ';kind=busy' AS headers FROM events GROUP BY date_trunc('day', ts), user_id HAVING count(*) > 5")
+def udf_release_headers(spark, d):
+    """What is released has headers of the user's making."""
+
+    def fold(record: dict, results: dict) -> None:
+        row = results.setdefault(record["user_id"], {"window_start": record["window_start"], "user_id": record["user_id"], "n": 0})
+        row["n"] += 1
+
+    out = O.fold_windows(events(spark, d).select("ts", "user_id"), "ts", "1 day", ["user_id"], fold, "window_start timestamp_ntz, user_id long, n long", release=lambda rows: [r for r in rows if r["n"] > 5], headers=lambda r: {"kind": "busy", "count": str(r["n"])})
+    return out.withColumn("headers", M.headers_text(F.col("headers")))
+
+
 @query("SELECT event_id, '[' || event_type || ']' AS payloads FROM events")
 def single_collection(spark, d):
     """No function: rows pass as they are, each wrapped as a collection of one."""
