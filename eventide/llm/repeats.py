@@ -269,7 +269,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
     # one anchor per hull stands for it
     hulls = mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "a", "b")).alias("at"))
     hulls = materialize(hulls, "hulls")
-    done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull"), ["fp", "hull"])))
+    # by a merge join, in which hulls of very many rows can be divided; a broadcast would leave them as they are dealt
+    done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull").hint("merge"), ["fp", "hull"])))
     # where a hull stands alone, it is compared with the others
     groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1").select("fp", "m")
     wanted = hulls.join(groups, "fp").select("at.id", F.struct("fp", "at.pos", "at.a", "at.b", (F.col("n") == 1).alias("single"), (F.col("m") > members).alias("many")).alias("w"))
