@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, pii, quality, repeats, simhash, tokenfile, warc
+from . import bpe, decontam, html, licenses, pii, quality, repeats, resample, simhash, tokenfile, warc
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_automaton": bpe.op8_bpe_automaton,
     "op9_main_text": html.op9_main_text,
     "op10_pii": pii.op10_pii,
+    "op11_importance": resample.op11_importance,
 }
 ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE}
 
