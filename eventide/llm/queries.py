@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, pii, quality, repeats, resample, simhash, tokenfile, warc
+from . import bpe, decontam, html, licenses, negatives, pii, quality, repeats, resample, simhash, tokenfile, warc
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -16,8 +16,9 @@ QUERIES = {
     "op9_main_text": html.op9_main_text,
     "op10_pii": pii.op10_pii,
     "op11_importance": resample.op11_importance,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE}
+ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE, "op12_hard_negatives": negatives.ORACLE}
 
 
 def queries() -> dict:
