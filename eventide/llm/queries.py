@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, negatives, pii, quality, repeats, resample, simhash, tokenfile, warc
+from . import bpe, decontam, html, licenses, negatives, pii, quality, repeats, resample, simhash, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_importance": resample.op11_importance,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op6_revisits": warc.ORACLE, "op12_hard_negatives": negatives.ORACLE}
 
