@@ -3,11 +3,18 @@
 A row's watermark is the smallest, over the source partitions known before it, of their largest event time so
 far, less the allowed disorder and one millisecond. A partition is known from its first row that is not DISCARDED.
 
-The scan in arrival order is cut into chunks of about CHUNK_ROWS rows, so no task orders the whole stream: each
-partition's largest times in the chunks before give what a chunk starts from, and within a chunk rows stream by in
-order. Any number of source partitions will do: their state is a row each per chunk. Where a partition begins in
-earlier chunks is first taken to be its first row, which is then checked in the chunks of those rows; only if one
-of them is DISCARDED do further passes look for the rows where such partitions really begin.
+The scan in arrival order is cut into chunks of about CHUNK_ROWS rows by quantiles of the arrival order, whatever its numbers
+are, so no task orders the whole stream: each partition's largest times in the chunks before give what a chunk starts from, and
+within a chunk rows stream by in order. Any number of source partitions will do: their state is a row each per chunk.
+
+Where partitions begin in earlier chunks is found by a fixpoint. Each is first taken to begin with its first row; a pass
+then finds the first row of each that is not DISCARDED under the beginnings of the others so far. Earlier beginnings only
+lower watermarks, so beginnings only move on, to the one solution there is: a row's status depends on rows before it alone.
+Summaries of chunks (the least watermark, each partition's largest time) say which chunks can hold such rows, and only those are
+scanned. Usually every partition begins with its first row and one pass over the chunks of these confirms it; else it takes as many more as
+beginnings depend on one another across chunks, however many chunks there are.
+
+On a stream the state after a batch is a row for each known partition, its largest time: what the next batch starts from.
 """
 
 from __future__ import annotations
@@ -24,7 +31,6 @@ from ..functions.time import from_ms
 from ..sources.shared import fresh_path
 
 CHUNK_ROWS = 1 << 18
-CELLS = 16  # steps of the arrival number for each chunk, so that gaps and bursts of numbers leave chunks even
 
 
 def _written(df: DataFrame, tag: str) -> DataFrame:
@@ -33,45 +39,62 @@ def _written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _chunked(df: DataFrame, order: list[str], rows: int, low, span: int, total: int) -> DataFrame:
-    """df with _chunk, ascending in arrival order: neighbouring steps of the arrival number with about that many rows."""
-    chunks = -(-total // rows)
-    if chunks <= 1:
-        return df.withColumn("_chunk", F.lit(0).cast("long"))
-    cell = F.floor((F.coalesce(F.col(order[0]), F.lit(low)) - F.lit(low)) / max(1, -(-(span + 1) // (chunks * CELLS))))
-    counts = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    # CELLS rows for each chunk of rows
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = counts.select("_cell", F.floor(before / rows).alias("_chunk"))
-    return df.withColumn("_cell", cell).join(cells, "_cell").drop("_cell")
+def in_pieces(df: DataFrame, order: list[str], rows: int, total: int, name: str) -> DataFrame:
+    """df with a number of its piece, ascending in order: ranges of about that many rows by sampled quantiles, written once so that they stay."""
+    pieces = -(-total // rows)
+    if pieces <= 1:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    return _written(df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id().cast("long")), "pieces")
 
 
-def _scan(rows: DataFrame, starts: DataFrame, disorder_ms: int | None, lateness_ms: int, joins: bool) -> DataFrame:
-    """rows (_chunk, _part, _ts, _at, _o, _row) streamed in order, each chunk from its starts (_chunk, _part, _at).
+class _Tops:
+    """The largest time of each known partition, and the least of those, with or without one partition."""
 
-    Gives the rows' structs with watermark and status, or with joins the row at which each partition is first known in a
-    chunk that doesn't start with it: (_chunk, _part, _o).
-    """
+    def __init__(self):
+        self.at, self.heap = {}, []
+
+    def add(self, part, at) -> None:
+        if part not in self.at or at > self.at[part]:
+            self.at[part] = at
+            heappush(self.heap, (at, id(part), part))
+
+    def least(self, without=None, leave_out: bool = False):
+        while self.heap and self.at[self.heap[0][2]] != self.heap[0][0]:
+            heappop(self.heap)
+        if not self.heap:
+            return None
+        if leave_out and self.heap[0][2] == without:
+            first = heappop(self.heap)
+            found = self.least()
+            heappush(self.heap, first)
+            return found
+        return self.heap[0][0]
+
+
+def _in_order(rows: DataFrame, first: DataFrame) -> DataFrame:
+    return rows.unionByName(first).repartition("_chunk").sortWithinPartitions("_chunk", "_kind", "_o", "_mark")
+
+
+def _scan(rows: DataFrame, starts: DataFrame, late: int, lateness_ms: int) -> DataFrame:
+    """rows (_chunk, _part, _ts, _at, _o, _row) streamed in order, each chunk from its starts (_chunk, _part, _at): the rows' structs with watermark and status."""
     kinds = rows.schema
     none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
-    first = starts.select("_chunk", "_part", none("_ts"), "_at", none("_o"), none("_row"), F.lit(0).alias("_kind"))
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(first).repartition("_chunk").sortWithinPartitions("_chunk", "_kind", "_o")
+    first = starts.select("_chunk", "_part", none("_ts"), "_at", none("_o"), none("_row"), F.lit(0).alias("_kind"), F.lit(0).alias("_mark"))
+    both = _in_order(rows.withColumns({"_kind": F.lit(1), "_mark": F.lit(0)}), first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, tops, heap = None, {}, []
+        chunk, tops = None, _Tops()
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("_chunk", "_part", "_ts", "_at", "_kind")}
-            marks, states, begun = [], [], []
-            for n, (c, part, ts, at, kind) in enumerate(zip(*(x.to_pylist() for x in cols.values()))):
+            marks, states = [], []
+            for c, part, ts, at, kind in zip(*(x.to_pylist() for x in cols.values())):
                 if c != chunk:
-                    chunk, tops, heap = c, {}, []
+                    chunk, tops = c, _Tops()
                 if not kind:
-                    tops[part] = at
-                    heappush(heap, (at, len(tops), part))
+                    tops.add(part, at)
                     continue
-                while heap and tops[heap[0][2]] != heap[0][0]:
-                    heappop(heap)
-                mark = heap[0][0] - disorder_ms if heap else None
+                least = tops.least()
+                mark = None if least is None else least - late
                 if ts is None or at is None:
                     state = "DISCARDED"
                 elif mark is None or mark <= at:
@@ -81,70 +104,118 @@ def _scan(rows: DataFrame, starts: DataFrame, disorder_ms: int | None, lateness_
                 marks.append(mark)
                 states.append(state)
                 if state != "DISCARDED":
-                    top = tops.get(part)
-                    if top is None:
-                        begun.append(n)
-                    if top is None or at > top:
-                        tops[part] = at
-                        heappush(heap, (at, n, part))
-            if joins:
-                yield batch.select(["_chunk", "_part", "_o"]).take(pa.array(begun, pa.int64()))
-            else:
-                kept = batch.column(batch.schema.get_field_index("_row")).filter(pa.array([bool(k) for k in cols["_kind"].to_pylist()], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(marks, pa.int64()), pa.array(states, pa.string())], names=[*(f.name for f in kept.type), "wm", "status"])
-
-    if joins:
-        return both.mapInArrow(run, rows.select("_chunk", "_part", "_o").schema)
+                    tops.add(part, at)
+            kept = batch.column(batch.schema.get_field_index("_row")).filter(pa.array([bool(k) for k in cols["_kind"].to_pylist()], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(marks, pa.int64()), pa.array(states, pa.string())], names=[*(f.name for f in kept.type), "wm", "status"])
+
     fields = [T.StructField(f.name, f.dataType) for f in kinds["_row"].dataType.fields]
     return both.mapInArrow(run, T.StructType([*fields, T.StructField("wm", T.LongType()), T.StructField("status", T.StringType())]))
 
 
-def _starts(rows: DataFrame, known: DataFrame, last: int) -> DataFrame:
-    """(_chunk, _part, _at): what each chunk knows of the partitions in known (_part, _from) that begin before it."""
-    counted = rows.join(known, rows["_part"].eqNullSafe(known["_from_part"])).where("_o >= _from and _at is not null")
-    tops = counted.groupBy("_part", "_chunk").agg(F.max("_at").alias("_at"))
+def _accepted(timed: DataFrame, starts: DataFrame, begin: DataFrame, late: int, lateness_ms: int) -> DataFrame:
+    """(_chunk, _part, _o, _at): in each chunk the first row of each partition, from where it is taken to begin, that is not DISCARDED under the others."""
+    kinds = timed.schema
+    none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
+    known = starts.select("_chunk", "_part", "_at", none("_o"), F.lit(0).alias("_kind"), F.lit(0).alias("_mark"))
+    # a mark where a partition is taken to begin, just before that row
+    marks = begin.select(F.col("_in").alias("_chunk"), F.col("_from_part").alias("_part"), F.col("_from_at").alias("_at"), F.col("_from").alias("_o"), F.lit(1).alias("_kind"), F.lit(0).alias("_mark"))
+    both = _in_order(timed.select("_chunk", "_part", "_at", "_o", F.lit(1).alias("_kind"), F.lit(1).alias("_mark")), known.unionByName(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, tops, done = None, _Tops(), set()
+        for batch in batches:
+            found = []
+            for n, (c, part, at, kind, mark) in enumerate(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_chunk", "_part", "_at", "_kind", "_mark")))):
+                if c != chunk:
+                    chunk, tops, done = c, _Tops(), set()
+                if not kind or not mark:
+                    tops.add(part, at)
+                elif part in tops.at:  # rows before its beginning were ruled out by an earlier pass
+                    if part not in done:
+                        least = tops.least(part, True)
+                        if least is None or least - late - lateness_ms <= at:
+                            done.add(part)
+                            found.append(n)
+                    tops.add(part, at)
+            yield batch.select(["_chunk", "_part", "_o", "_at"]).take(pa.array(found, pa.int64()))
+
+    return both.mapInArrow(run, timed.select("_chunk", "_part", "_o", "_at").schema)
+
+
+def _starts(timed: DataFrame, begin: DataFrame, initial: DataFrame, last: int) -> DataFrame:
+    """(_chunk, _part, _at): what each chunk knows of the partitions that begin before it."""
+    counted = timed.join(begin, timed["_part"].eqNullSafe(begin["_from_part"])).where("_o >= _from")
+    again = timed.join(initial, timed["_part"].eqNullSafe(initial["_known"])).select("_part", "_chunk", timed["_at"])
+    held = initial.select(F.col("_known").alias("_part"), F.lit(-1).cast("long").alias("_chunk"), F.col("_top").alias("_at"))
+    tops = counted.select("_part", "_chunk", "_at").unionByName(again).unionByName(held).groupBy("_part", "_chunk").agg(F.max("_at").alias("_at"))
     by = Window.partitionBy("_part").orderBy("_chunk")
     tops = tops.withColumn("_next", F.lead("_chunk", 1, last).over(by)).withColumn("_at", F.max("_at").over(by))
     return tops.where("_next > _chunk").select(F.explode(F.sequence(F.col("_chunk") + 1, F.col("_next"))).alias("_chunk"), "_part", "_at")
 
 
-def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int = 0, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _possible(starts: DataFrame, begin: DataFrame, largest: DataFrame, late: int, lateness_ms: int) -> DataFrame:
+    """(_chunk): where, by summaries, a partition that is taken to begin then or earlier can have a row that is not DISCARDED under the others.
+
+    No watermark in a chunk is below the least it starts from or that a beginning within it brings.
+    """
+    lows = starts.select("_chunk", "_part", "_at").unionByName(begin.select(F.col("_in").alias("_chunk"), F.col("_from_part").alias("_part"), F.col("_from_at").alias("_at")))
+    two = lows.withColumn("_k", F.row_number().over(Window.partitionBy("_chunk").orderBy("_at", "_part"))).where("_k <= 2")
+    two = two.groupBy("_chunk").agg(F.min(F.struct("_k", "_part", "_at")).alias("_one"), F.max(F.when(F.col("_k") == 2, F.col("_at"))).alias("_two"))
+    held = largest.join(begin.select("_from_part", "_in"), largest["_part"].eqNullSafe(F.col("_from_part"))).where("_chunk >= _in").join(two, "_chunk", "left")
+    other = F.when(F.col("_one._part").eqNullSafe(F.col("_part")), F.col("_two")).otherwise(F.col("_one._at"))
+    return held.where(other.isNull() | (other - late - lateness_ms <= F.col("_largest"))).select("_chunk").distinct()
+
+
+def _beginnings(timed: DataFrame, initial: DataFrame, last: int, late: int, lateness_ms: int) -> DataFrame:
+    """(_from_part, _from, _from_at, _in): the row, its time and chunk with which each partition not known before begins."""
+    new = timed.join(initial, timed["_part"].eqNullSafe(initial["_known"]), "left_anti")
+    largest = _written(new.groupBy("_part", "_chunk").agg(F.max("_at").alias("_largest")), "largest")
+    first = lambda rows: rows.groupBy("_part").agg(F.min(F.struct("_o", "_at", "_chunk")).alias("_b")).select(F.col("_part").alias("_from_part"), F.col("_b._o").alias("_from"), F.col("_b._at").alias("_from_at"), F.col("_b._chunk").alias("_in"))
+    begin = _written(first(new), "begin")
+    state = lambda b: b.agg(F.count("*"), F.sum(F.xxhash64("_from_part", "_from").cast("decimal(38,0)"))).first()
+    was, where = state(begin), begin.select(F.col("_in").alias("_chunk")).distinct()
+    while True:
+        starts = _starts(timed, begin, initial, last)
+        looked = _accepted(timed.join(where, "_chunk", "left_semi"), starts.join(where, "_chunk", "left_semi"), begin.join(where.withColumnRenamed("_chunk", "_in"), "_in", "left_semi"), late, lateness_ms)
+        found = _written(first(looked.join(begin.select("_from_part"), F.col("_part").eqNullSafe(F.col("_from_part"))).drop("_from_part")), "begin")
+        now = state(found)
+        if now == was:
+            return found
+        if where is not None and now[0] < was[0]:
+            # some partition has no such row where its first one is: look wherever there may be one, before it is taken away
+            where = _written(_possible(_starts(timed, begin, initial, last), begin, largest, late, lateness_ms), "possible")
+            looked = _accepted(timed.join(where, "_chunk", "left_semi"), starts.join(where, "_chunk", "left_semi"), begin.join(where.withColumnRenamed("_chunk", "_in"), "_in", "left_semi"), late, lateness_ms)
+            found = _written(first(looked.join(begin.select("_from_part"), F.col("_part").eqNullSafe(F.col("_from_part"))).drop("_from_part")), "begin")
+            now = state(found)
+        begin, was = found, now
+        where = _written(_possible(_starts(timed, begin, initial, last), begin, largest, late, lateness_ms), "possible")
+
+
+def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int = 0, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS, state: DataFrame | None = None) -> DataFrame:
     """df with wm (milliseconds, null before any row) and status VALID, LATE or DISCARDED.
 
     ts is a column of milliseconds; order starts with an arrival number and tells rows apart. With ``watermark``, a column
     of watermarks that rows carry, those are used in place of ts - disorder - 1, and compared in place of ts.
-    Rows without event time are DISCARDED.
+    Rows without event time are DISCARDED. ``state`` (part, top) is what ``state_after`` gave for the rows before these.
     """
-    low, high, total = df.agg(F.min(order[0]), F.max(order[0]), F.count("*")).first()
-    if not total:
-        return df.withColumn("wm", F.lit(None).cast("long")).withColumn("status", F.lit("DISCARDED"))
-    held = _chunked(df, order, chunk_rows, low or 0, (high or 0) - (low or 0), total)
+    total = df.count()
+    held = in_pieces(df, order, chunk_rows, total, "_chunk")
     rows = held.select("_chunk", F.col(partition).alias("_part"), F.col(ts).cast("long").alias("_ts"), F.col(watermark or ts).cast("long").alias("_at"), F.struct(*order).alias("_o"), F.struct(*df.columns).alias("_row"))
     late = 0 if watermark else disorder_ms + 1
-    usable = rows.where("_ts is not null and _at is not null")
-    timed = usable.drop("_row")
-    last = rows.agg(F.max("_chunk")).first()[0]
-    if not last:
-        return _scan(rows, timed.limit(0).select("_chunk", "_part", "_at"), late, lateness_ms, False)
-
-    # where each partition begins: at its first row, if that is not DISCARDED
-    begin = _written(timed.groupBy("_part").agg(F.min(F.struct("_o", "_chunk")).alias("_b")).select(F.col("_part").alias("_from_part"), F.col("_b._o").alias("_from"), F.col("_b._chunk").alias("_in")), "begin")
-    look = lambda known, where: _scan(rows.join(where, "_chunk", "left_semi") if where is not None else rows, _starts(timed, known, last), late, lateness_ms, True)
-    seen = look(begin, begin.select(F.col("_in").alias("_chunk")).distinct()).select(F.col("_part").alias("_p"), F.col("_o").alias("_begun"))
-    wrong = begin.join(seen, F.col("_from_part").eqNullSafe(F.col("_p")) & (F.col("_from") == F.col("_begun")), "left").where("_begun is null")
-    cut = wrong.agg(F.min("_from")).first()[0]
-    if cut is not None:
-        # partitions that begin before the first wrong one are right; the others begin where the scan lets them in, chunk by chunk
-        earliest = _written(wrong.select("_from").orderBy("_from").limit(1).withColumnRenamed("_from", "_cut"), "cut")
-        begin = _written(begin.join(F.broadcast(earliest), F.col("_from") < F.col("_cut")).drop("_cut"), "begin")
-        while True:
-            found = _written(look(begin, None).join(begin, F.col("_part").eqNullSafe(F.col("_from_part")), "left_anti"), "joined")
-            at = found.agg(F.min("_chunk")).first()[0]
-            if at is None:
-                break
-            more = found.where(F.col("_chunk") == at).groupBy("_part").agg(F.min("_o").alias("_from")).select(F.col("_part").alias("_from_part"), "_from", F.lit(at).alias("_in"))
-            begin = _written(begin.unionByName(more), "begin")
-    return _scan(rows, _starts(timed, begin, last), late, lateness_ms, False)
+    timed = rows.where("_ts is not null and _at is not null").drop("_row", "_ts")
+    kind = rows.schema["_part"].dataType
+    initial = (state if state is not None else df.sparkSession.createDataFrame([], T.StructType([T.StructField("part", kind), T.StructField("top", T.LongType())]))).select(F.col("part").cast(kind).alias("_known"), F.col("top").alias("_top"))
+    if total <= chunk_rows:
+        return _scan(rows, initial.select(F.lit(0).cast("long").alias("_chunk"), F.col("_known").alias("_part"), F.col("_top").alias("_at")), late, lateness_ms)
+    last = -(-total // chunk_rows) - 1
+    begin = _beginnings(timed, initial, last, late, lateness_ms)
+    return _scan(rows, _starts(timed, begin, initial, last), late, lateness_ms)
+
+
+def state_after(replayed: DataFrame, time: str, partition: str, state: DataFrame | None = None) -> DataFrame:
+    """(part, top): the known partitions after replayed rows and their largest times, from the state before. time is the column that was compared."""
+    rows = replayed.where("status <> 'DISCARDED'").select(F.col(partition).alias("part"), F.col(time).cast("long").alias("top"))
+    return (rows if state is None else rows.unionByName(state)).groupBy("part").agg(F.max("top").alias("top"))
 
 
 def split_late(df: DataFrame, policy: str = "DROP") -> tuple[DataFrame, DataFrame]:
@@ -177,18 +248,32 @@ def fire_strict(df: DataFrame, ts: str, size_ms: int, keys: list[str], **aggrega
     return out.select(from_ms(F.col("_start")).alias("window_start"), from_ms(F.col("_start") + size_ms).alias("window_end"), *keys, *aggregates)
 
 
-def fire_lateness(df: DataFrame, ts: str, size_ms: int, keys: list[str], order: list[str], value: str) -> DataFrame:
+def fire_lateness(df: DataFrame, ts: str, size_ms: int, keys: list[str], order: list[str], value: str, piece_rows: int = CHUNK_ROWS) -> DataFrame:
     """All firings of windows with allowed lateness: (window, keys, late, seq, n, total).
 
     A window's first firing has its rows that came while it was open; each accepted row after that fires
     the window again with all rows so far, late = true and the row's arrival number.
+
+    Running counts and sums go in pieces of about piece_rows rows in the order of firing: a window and key of any size is spread
+    over tasks, and one row for each of its pieces carries the sums on.
     """
     start = F.col(ts) - F.pmod(F.col(ts), F.lit(size_ms))
     rows = df.where(F.col("status") != "DISCARDED").withColumn("_start", start)
     rows = rows.withColumn("_late", F.coalesce(F.col("wm") >= F.col("_start") + size_ms, F.lit(False)))
     group = ["_start", *keys]
-    first = rows.where("not _late").groupBy(*group).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    so_far = Window.partitionBy(*group).orderBy("_late", *order).rowsBetween(Window.unboundedPreceding, 0)
-    again = rows.withColumn("n", F.count("*").over(so_far)).withColumn("total", F.sum(value).over(so_far)).where("_late")
-    both = first.select(*group, F.lit(False).alias("late"), F.lit(None).cast("long").alias("seq"), "n", "total").unionByName(again.select(*group, F.lit(True).alias("late"), F.col(order[0]).cast("long").alias("seq"), "n", "total"))
+    rows = _written(rows.select(*group, "_late", *order, F.col(value).alias("_value")), "firings")
+    first = rows.where("not _late").groupBy(*group).agg(F.count("*").alias("n"), F.sum("_value").alias("total"))
+    pieces = in_pieces(rows, [*group, "_late", *order], piece_rows, rows.count(), "_piece")
+    so_far = Window.partitionBy("_piece", *group).orderBy("_late", *order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = pieces.groupBy("_piece", *group).agg(F.count("*").alias("_n"), F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    carried = sums.select("_piece", *group, F.sum("_n").over(before).alias("_n"), F.sum("_total").over(before).alias("_total")).where("_n is not null")
+    carried = carried.select(F.col("_piece").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_n", "_total")
+    within = pieces.withColumn("_own", F.count("*").over(so_far)).withColumn("_sum", F.sum("_value").over(so_far)).where("_late")
+    same = F.col("_piece") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    plus = lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    again = within.join(carried, same, "left").select(*group, F.lit(True).alias("late"), F.col(order[0]).cast("long").alias("seq"), (F.col("_own") + F.coalesce("_n", F.lit(0))).alias("n"), plus(F.col("_sum"), F.col("_total")).alias("total"))
+    both = first.select(*group, F.lit(False).alias("late"), F.lit(None).cast("long").alias("seq"), "n", "total").unionByName(again)
     return both.select(from_ms(F.col("_start")).alias("window_start"), from_ms(F.col("_start") + size_ms).alias("window_end"), *keys, "late", "seq", "n", "total")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.time import epoch_ms, interval_ms, tumble
+from .watermark import CHUNK_ROWS, in_pieces
 
 
 def window_aggregate(df: DataFrame, ts: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
@@ -50,6 +52,27 @@ def collect_windows(df: DataFrame, ts: str, size: str, keys: list[str], order: l
     return out.select("window_start", "window_end", *keys, F.transform("_all", lambda x: x["_p"]).alias("payloads"), *(["headers"] if headers else []))
 
 
+def collect_pieces(df: DataFrame, ts: str, size: str, keys: list[str], order: list[str], payload: str, most: int = 1000, piece_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The payloads of each window and key in arrival order, in pieces of at most ``most``, numbered from 0: no row holds a whole window.
+
+    Rows are numbered in ranges of (window, key, order), and one row for each window and key in a range carries its count on to the
+    next, so a window and key of any size is spread over tasks.
+    """
+    group = ["window_start", "window_end", *keys]
+    rows = tumble(df, ts, size).select(*group, *order, F.col(payload).alias("_p"))
+    ranged = in_pieces(rows, [*group, *order], piece_rows, rows.count(), "_range")
+    counts = ranged.groupBy("_range", *group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_range").alias("_r"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    own = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order))
+    placed = ranged.withColumn("_own", own).join(carried, same).withColumn("piece", F.floor((F.col("_before") + F.col("_own") - 1) / most))
+    packed = F.sort_array(F.collect_list(F.struct(*order, "_p"))).alias("_all")
+    return placed.groupBy(*group, "piece").agg(packed).select(*group, "piece", F.transform("_all", lambda x: x["_p"]).alias("payloads"))
+
+
 def enrich(events: DataFrame, table: DataFrame, key: str, table_key: str, broadcast_rows: int = 0, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Inner equi-join of events with a dimension. One of up to broadcast_rows rows and broadcast_bytes bytes, as counted, is broadcast."""
     if broadcast_rows and not table.isStreaming:
@@ -162,6 +185,52 @@ def fold_windows(df: DataFrame, ts: str, size: str, keys: list[str], fold: Calla
     return rows.mapInArrow(run, schema)
 
 
+def fold_merging(df: DataFrame, ts: str, size: str, keys: list[str], init: Callable[[], object], add: Callable[[object, dict], object], merge: Callable[[object, object], object], finish: Callable[[dict, object], list[dict]], schema: str, held: int = 10_000) -> DataFrame:
+    """A user's fold of each window and key whose states can be merged: init(), add(state, record), merge(state, state), finish(group, state) to rows.
+
+    Records are folded where they are read, in any order, and only states are shuffled: one for each window and key and task, or
+    more where a task meets over ``held`` groups at a time. So a window and key with very many records is folded by all tasks. States are pickled.
+    Without keys a window's states still meet in one task, a state for each task that read it.
+    """
+    group = ["window_start", "window_end", *keys]
+    rows = tumble(df, ts, size)
+    partial = T.StructType([*rows.select(*group).schema.fields, T.StructField("_state", T.BinaryType())])
+    between, kinds = to_arrow_schema(partial), to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, object] = {}
+        give = lambda: pa.RecordBatch.from_pylist([dict(zip(group, g)) | {"_state": pickle.dumps(s)} for g, s in states.items()], schema=between)
+        for batch in batches:
+            for record in batch.to_pylist():
+                g = tuple(record[c] for c in group)
+                states[g] = add(states[g] if g in states else init(), record)
+                if len(states) >= held:
+                    yield give()
+                    states.clear()
+        yield give()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, out = None, None, []
+        for batch in batches:
+            for record in batch.to_pylist():
+                g, own = tuple(record[c] for c in group), pickle.loads(record["_state"])
+                if current is not None and g == current:
+                    state = merge(state, own)
+                    continue
+                if current is not None:
+                    out.extend(finish(dict(zip(group, current)), state))
+                current, state = g, own
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                out.clear()
+        if current is not None:
+            out.extend(finish(dict(zip(group, current)), state))
+        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    states = rows.mapInArrow(fold, partial)
+    return states.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, schema)
+
+
 def deal(df: DataFrame, key: str, n: int) -> DataFrame:
     """df repartitioned by key, with the number of the share each key goes to."""
     return df.withColumn("share", F.pmod(F.hash(key), F.lit(n))).repartition(n, "share")

@@ -20,7 +20,7 @@ from ..operators import windows as O
 from ..sources.messages import without_registry_prefix
 from ..sources.shared import fresh_path
 from ..streaming import forms as S
-from .tables import StreamTable, run_pipeline, run_sql, run_statements
+from .tables import Statements, StreamTable, run_pipeline, run_sql, run_statements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +122,14 @@ def window_collect(spark, d):
     return out.select("window_start", "window_end", "event_type", F.array_join("payloads", "|").alias("payloads"), F.size("payloads").cast("long").alias("n"))
 
 
+@query(f"""WITH r AS (SELECT {HOUR_START} AS window_start, event_type, event_id, (row_number() OVER (PARTITION BY {HOUR_START}, event_type ORDER BY event_id) - 1) // 3 AS piece FROM events)
+SELECT window_start, window_start + {HOUR} AS window_end, event_type, piece, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS payloads FROM r GROUP BY ALL""")
+def window_pieces(spark, d):
+    """Windows in pieces of at most three payloads."""
+    out = O.collect_pieces(events(spark, d), "ts", "1 hour", ["event_type"], ["event_id"], "event_id", most=3, piece_rows=5000)
+    return out.withColumn("payloads", F.array_join(F.col("payloads").cast("array<string>"), "|"))
+
+
 # ---- messages and expressions
 
 
@@ -332,6 +340,17 @@ def udf_release_headers(spark, d):
     return out.withColumn("headers", M.headers_text(F.col("headers")))
 
 
+@query(f"SELECT date_trunc('day', ts) AS window_start, count(*) AS n, sum({CENTS})::BIGINT AS total, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def udf_merging_fold(spark, d):
+    """A user's fold of one key a day that has all rows: folded where they are read, states merged."""
+
+    def add(state, record: dict):
+        return state[0] + 1, state[1] + record["score"], state[2] | {record["user_id"]}
+
+    rows = scored(events(spark, d)).select("ts", "user_id", "score", F.lit("all").alias("key"))
+    return O.fold_merging(rows, "ts", "1 day", ["key"], lambda: (0, 0, frozenset()), add, lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] | b[2]), lambda g, s: [{"window_start": g["window_start"], "n": s[0], "total": s[1], "users": len(s[2])}], "window_start timestamp_ntz, n long, total long, users long")
+
+
 @query("SELECT event_id, '[' || event_type || ']' AS payloads FROM events")
 def single_collection(spark, d):
     """No function: rows pass as they are, each wrapped as a collection of one."""
@@ -652,6 +671,70 @@ def stream_statements(spark, d):
     return named("sink", sinks["segments"]).unionByName(named("side", side.withColumn("segment", F.lit(None).cast("string"))))
 
 
+@query(f"SELECT 'sink' AS place, event_id, 3 AS alive FROM ({CLICKS}) UNION ALL SELECT 'second', event_id, 3 FROM ({CLICKS}) WHERE event_id % 2 = 0 UNION ALL SELECT 'side', event_id, 3 FROM ({CLICKS}) WHERE user_id < 20")
+def stream_statements_together(spark, d):
+    """Two statements and a side query, all alive at once; the second and the side query read the first one's sink."""
+    statements = [("large", "SELECT event_id, user_id FROM [[STREAM:events]] WHERE event_type = 'click' AND value > 20"), ("even", "SELECT event_id FROM [[STREAM:large]] WHERE event_id % 2 = 0")]
+    running = Statements(spark, statements, {"events": event_stream(spark, d)}, fresh_path(spark, "together"), side="SELECT event_id FROM [[STREAM:large]] WHERE user_id < 20")
+    running.settle()
+    alive = running.alive()
+    running.stop()
+    named = lambda place, name: running.rows(name).select(F.lit(place).alias("place"), "event_id", F.lit(alive).alias("alive"))
+    return named("sink", "large").unionByName(named("second", "even")).unionByName(named("side", "side"))
+
+
+def arrival_stream(spark, d, pieces: int = 4) -> DataFrame:
+    """Arrivals as a stream of several batches: files of successive ranges of the arrival number, written one after another."""
+    rows = arrivals(spark, d)
+    folder, (low, high) = fresh_path(spark, "arrivals"), rows.agg(F.min("seq"), F.max("seq")).first()
+    low, step = low or 0, ((high or 0) - (low or 0)) // pieces + 1
+    for n in range(pieces):
+        rows.where(F.col("seq").between(low + n * step, low + (n + 1) * step - 1)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_replayed(spark, d, part: int) -> DataFrame:
+    out = fresh_path(spark, "stream-late")
+    places = (f"{out}/main", f"{out}/side")
+    S.write_replayed(arrival_stream(spark, d), "ms", ["seq", "event_id"], "part", DISORDER, LATENESS, "SIDE_CHANNEL", *places, f"{out}/held", f"{out}/state").awaitTermination()
+    return spark.read.schema("event_id long, wm long, status string").parquet(places[part]).select("event_id", "wm", "status")
+
+
+@query(f"WITH {status_sql(LATENESS)} SELECT event_id, wm, status FROM s WHERE status = 'VALID'")
+def stream_late_main(spark, d):
+    """The main rows of arrivals in four batches, with watermarks carried from batch to batch."""
+    return stream_replayed(spark, d, 0)
+
+
+@query(f"WITH {status_sql(LATENESS)} SELECT event_id, wm, status FROM s WHERE status = 'LATE'")
+def stream_late_side(spark, d):
+    return stream_replayed(spark, d, 1)
+
+
+def two_streams(spark, d) -> tuple[DataFrame, DataFrame]:
+    clicks = event_stream(spark, d).where("event_type = 'click'").select(F.col("user_id").alias("clicker"), F.col("event_id").alias("click_id"), F.col("at").alias("clicked"))
+    buys = event_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("buy_id"), F.col("at").alias("bought"))
+    return clicks, buys
+
+
+@query("SELECT a.event_id AS click_id, b.event_id AS buy_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 4 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_interval_join(spark, d):
+    """Stream with stream within a time, state bounded by watermarks."""
+    clicks, buys = two_streams(spark, d)
+    return S.run_available(S.join_within_time(clicks, buys, "clicker", "buyer", "clicked", "bought", "1 hour", "4 hours").select("click_id", "buy_id"), "stream-within")
+
+
+@query("""WITH m AS (SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 6 HOUR AS closed FROM events)
+SELECT a.event_id AS click_id, b.event_id AS buy_id FROM (SELECT * FROM events WHERE event_type = 'click') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 4 HOUR WHERE a.ts < (SELECT closed FROM m)""")
+def stream_outer_join(spark, d):
+    """The same with clicks that nobody bought after, of the time that is closed."""
+    clicks, buys = two_streams(spark, d)
+    rows = S.run_available(S.join_within_time(clicks, buys, "clicker", "buyer", "clicked", "bought", "1 hour", "4 hours", "left_outer").select("click_id", "clicked", "buy_id"), "stream-outer")
+    tops = events(spark, d).agg(F.least(F.max(F.when(F.col("event_type") == "click", F.col("ts"))), F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))).alias("top"))
+    closed = tops.select((F.col("top") - F.expr("interval 6 hours")).alias("closed"))
+    return plain(rows, "clicked").join(F.broadcast(closed), F.col("clicked") < F.col("closed")).select("click_id", "buy_id")
+
+
 HEADED = {"name": "headed", "fields": [{"name": "header", "type": "struct<at:timestamp>"}, {"name": "event_type", "type": "string"}], "timeAttributes": {"header.at": "`header.at` - INTERVAL '60' SECONDS"}}
 
 
@@ -696,11 +779,11 @@ def pipeline_iot_errors(spark, d):
 
 @query(TWO_LEVEL.format(inner="INTERVAL 1 HOUR", outer="INTERVAL 6 HOUR"))
 def pipeline_game_scores(spark, d):
-    """Headers from the payload, dealt by key, per user and then per team."""
+    """Headers from the payload, per user and then per team: dealt by user for the first level and by team for the second, partial sums before either."""
     rows = M.envelope(scored(events(spark, d)).withColumnRenamed("event_type", "team"), "team", "user_id", "score", keep=("ts",))
     rows = M.enrich_headers(rows, "team=payload.team;user=payload.user_id")
     rows = rows.select("ts", F.col("headers")["team"].alias("team"), F.col("headers")["user"].cast("long").alias("user_id"), F.get_json_object("payload", "$.score").cast("long").alias("score"))
-    return O.two_level(O.deal(rows, "user_id", 5).drop("share"), "ts", "1 hour", "6 hours", "user_id", "team", "score")
+    return O.two_level(rows, "ts", "1 hour", "6 hours", "user_id", "team", "score")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, user_id::VARCHAR AS card, count(*) AS n, 'card ' || user_id::VARCHAR || ' tried ' || count(*)::VARCHAR || ' times' AS logged FROM events GROUP BY date_trunc('day', ts), user_id HAVING count(*) > 5")

@@ -6,7 +6,6 @@ import contextlib
 import io
 import json
 import re
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import watermark_declaration
+from ..sources.shared import make_folder
 
 TYPES = {"null": "void", "boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "bytes": "binary", "string": "string", "long_timestamp-millis": "timestamp", "int_date": "date"}
 
@@ -147,26 +147,62 @@ def plans_of(frames: list[DataFrame], numbers: list[int]) -> list[str]:
     return out
 
 
-def run_statements(spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame], folder: str, side: str | None = None, explain: list[int] | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, list[str]]:
-    """Statements that each fill a sink from streams and from the sinks before them, run over all that is there.
+class Statements:
+    """Statements that each fill a sink from streams and from the sinks before them, running side by side.
 
-    Each is a streaming query into Parquet files under folder, which later statements read as a stream. Gives the sinks'
-    rows by name, the rows of a side query over streams and sinks (held in memory, not written), and the plans asked for:
-    those of the streams first, then of the statements, counted from 0.
+    Each is a streaming query into Parquet files under folder, which later statements read as a stream, as does a side query,
+    whose rows go to files of their own. ``settle`` waits until all that has come so far went through all of them; ``stop``
+    ends them. If one fails, all are stopped and its error is raised.
     """
-    sinks: dict[str, DataFrame] = {}
-    frames = list(streams.values())
-    for name, text in statements:
-        frame = run_sql(spark, text, {**streams, **sinks})
-        frames.append(frame)
-        frame.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        sinks[name] = spark.readStream.schema(frame.schema).parquet(f"{folder}/{name}")
-    shown = None
-    if side:
-        view = f"side_{uuid.uuid4().hex}"
-        run_sql(spark, side, {**streams, **sinks}).writeStream.format("memory").queryName(view).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        shown = spark.table(view)
-    return {n: spark.read.schema(f.schema).parquet(f"{folder}/{n}") for n, f in sinks.items()}, shown, plans_of(frames, explain or [])
+
+    def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame], folder: str, side: str | None = None, every: str = "200 milliseconds"):
+        self.spark, self.folder, self.side = spark, folder, side
+        self.frames, self.queries, self.sinks = list(streams.values()), {}, {}
+        try:
+            for name, text in [*statements, *([("side", side)] if side else [])]:
+                frame = run_sql(spark, text, {**streams, **self.sinks})
+                path = f"{folder}/{name}"
+                make_folder(spark, path)
+                query = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(processingTime=every).start()
+                self.queries[name] = query
+                if name != "side" or not side:
+                    self.frames.append(frame)
+                self.sinks[name] = spark.readStream.schema(frame.schema).parquet(path)
+        except BaseException:
+            self.stop()
+            raise
+
+    def alive(self) -> int:
+        return sum(q.isActive for q in self.queries.values())
+
+    def settle(self) -> None:
+        try:
+            for query in self.queries.values():  # each after those that it may read from
+                query.processAllAvailable()
+                for other in self.queries.values():
+                    if other.exception():
+                        raise other.exception()
+        except BaseException:
+            self.stop()
+            raise
+
+    def stop(self) -> None:
+        for query in self.queries.values():
+            query.stop()
+
+    def rows(self, name: str) -> DataFrame:
+        """What a sink, or "side", holds."""
+        return self.spark.read.schema(self.sinks[name].schema).parquet(f"{self.folder}/{name}")
+
+
+def run_statements(spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame], folder: str, side: str | None = None, explain: list[int] | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, list[str]]:
+    """Statements run side by side over all that is there: the sinks' rows by name, those of the side query, and the plans
+    asked for: those of the streams first, then of the statements, counted from 0.
+    """
+    running = Statements(spark, statements, streams, folder, side)
+    running.settle()
+    running.stop()
+    return {n: running.rows(n) for n, _ in statements}, running.rows("side") if side else None, plans_of(running.frames, explain or [])
 
 
 def run_pipeline(spark: SparkSession, statements: list[tuple[str, str]], streams: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import interval_ms
-from ..operators.watermark import split_late
+from ..operators.watermark import CHUNK_ROWS, replay, split_late, state_after
 from ..operators.windows import latest_per_key, top_k
 from ..sources.shared import fresh_path, remove
 
@@ -82,43 +82,85 @@ def write_split(stream: DataFrame, tag: Callable[[DataFrame], DataFrame], policy
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str, compact: int = 16):
+def write_replayed(stream: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int, policy: str, main: str, side: str, state: str, checkpoint: str, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS):
+    """Replay arrivals as they stream in: each batch is tagged with watermarks by source partition and split by the late policy.
+
+    Batches follow one another in arrival order, rows of a batch by ``order``. After a batch the largest time of each known
+    partition is written under ``state``, by batch number; the next one starts from it. So rows are what a replay of all
+    arrivals gives, however they are cut into batches, and a batch that is repeated reads the same state and leaves the same files.
+    State has a row for each source partition; that of the batch before last is removed.
+    """
+    spark = stream.sparkSession
+
+    def tag(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(_state_schema(batch, partition)).parquet(f"{state}/batch={number - 1}") if number else None
+        tagged = f"{state}/tagged"
+        replay(batch, ts, order, partition, disorder_ms, lateness_ms, watermark, chunk_rows, before).write.mode("overwrite").parquet(tagged)
+        rows = spark.read.parquet(tagged)
+        for part, path in zip(split_late(rows, policy), (main, side)):
+            part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        state_after(rows, watermark or ts, partition, before).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        remove(spark, tagged)
+        if number > 1:
+            remove(spark, f"{state}/batch={number - 2}")
+
+    return stream.writeStream.foreachBatch(tag).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _state_schema(rows: DataFrame, partition: str) -> T.StructType:
+    return T.StructType([T.StructField("part", rows.schema[partition].dataType), T.StructField("top", T.LongType())])
+
+
+def join_within_time(left: DataFrame, right: DataFrame, key: str, right_key: str, left_ts: str, right_ts: str, disorder: str, width: str, how: str = "inner") -> DataFrame:
+    """Stream-stream join of rows of one key in which right's time is at or after left's, by less than width, with bounded state.
+
+    Both sides have a watermark, so either keeps only rows that a partner can still come for. With how="left_outer" a left row
+    without a partner comes out when it can have none any more.
+    """
+    a, b = left.withWatermark(left_ts, disorder), right.withWatermark(right_ts, disorder)
+    near = F.expr(f"{key} = {right_key} AND {right_ts} >= {left_ts} AND {right_ts} < {left_ts} + interval {width}")
+    return a.join(b, near, how)
+
+
+def upsert(stream: DataFrame, keys: list[str], order: list[str], folder: str, checkpoint: str, compact: int = 16, lists: int = 4):
     """Keep the newest row per key in a folder; ``read_upserted`` reads it.
 
-    A batch writes its own newest rows as one version, so it costs what the batch holds, however many keys there are. After
-    ``compact`` versions they are merged into one; versions merged at the time before are then removed, so that readers of
-    the last list still find theirs. A batch that is repeated leaves the same files.
+    A batch writes its own newest rows as one version of level 0. As soon as a level has ``compact`` versions, they are merged
+    into one of the next level, with those below. So a row is written once a level, in proportion to the logarithm of the
+    number of batches, and reading meets fewer than ``compact`` versions a level. Versions merged at the time before are then removed, so that readers of
+    the last list still find theirs; the last ``lists`` lists are kept. A batch that is repeated leaves the same files.
     """
     spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
         live = _versions(spark, folder, number - 1) if number else []
-        path = f"{folder}/rows/version={number}"
-        gone: list[str] = []
-        if len(live) + 1 >= compact:
-            old = spark.read.schema(schema).parquet(*(f"{folder}/rows/{v}" for v in live))
-            latest_per_key(old.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{folder}/rows/merged={number}")
-            gone, live = live, [f"merged={number}"]
-        else:
-            latest_per_key(batch, keys, order).write.mode("overwrite").parquet(path)
-            live = [*live, f"version={number}"]
-        listed = [(v, True) for v in live] + [(v, False) for v in gone]
-        spark.createDataFrame(listed, "version string, live boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
-        for v in _versions(spark, folder, number - 1, live=False) if number else []:
+        merged, level = [], 0
+        while len(at := [v for v in live if v[1] == level]) + 1 >= compact:  # this batch, or what is merged below, is one more
+            merged, level = merged + at, level + 1
+        name = f"merged={number}" if level else f"version={number}"
+        rows = batch
+        if merged:
+            rows = spark.read.schema(schema).parquet(*(f"{folder}/rows/{v}" for v, _ in merged)).unionByName(batch)
+        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{folder}/rows/{name}")
+        listed = [(v, at, True) for v, at in live if (v, at) not in merged] + [(name, level, True)] + [(v, at, False) for v, at in merged]
+        spark.createDataFrame(listed, "version string, level int, live boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
+        for v, _ in _versions(spark, folder, number - 1, live=False) if number else []:
             remove(spark, f"{folder}/rows/{v}")
+        if number >= lists:
+            remove(spark, f"{folder}/list/batch={number - lists}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, folder: str, number: int, live: bool = True) -> list[str]:
-    """The versions that the list of a batch names; at most as many as are merged at a time."""
-    return [r["version"] for r in spark.read.parquet(f"{folder}/list/batch={number}").where(F.col("live") == live).orderBy("version").collect()]
+def _versions(spark: SparkSession, folder: str, number: int, live: bool = True) -> list[tuple[str, int]]:
+    """The versions and levels that the list of a batch names; fewer than are merged at a time of each level."""
+    return [(r["version"], r["level"]) for r in spark.read.parquet(f"{folder}/list/batch={number}").where(F.col("live") == live).orderBy("version").collect()]
 
 
 def read_upserted(spark: SparkSession, folder: str, schema, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row per key after the last batch."""
     last = spark.read.parquet(f"{folder}/list").agg(F.max("batch")).first()[0]
-    paths = [f"{folder}/rows/{v}" for v in _versions(spark, folder, last)]
+    paths = [f"{folder}/rows/{v}" for v, _ in _versions(spark, folder, last)]
     return latest_per_key(spark.read.schema(schema).parquet(*paths), keys, order)
 
 

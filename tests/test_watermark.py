@@ -128,3 +128,57 @@ def test_policies(spark):
 
 def test_empty_stream(spark):
     assert replay(spark, []) == []
+
+
+def chunk_sizes(spark, seqs, rows):
+    df = spark.createDataFrame([(x,) for x in seqs], "seq long")
+    return [r["count"] for r in W.in_pieces(df, ["seq"], rows, len(seqs), "_chunk").groupBy("_chunk").count().orderBy("_chunk").collect()]
+
+
+def test_chunks_are_even_whatever_the_numbers(spark):
+    """One row with a number far below all others, and a burst, leave chunks even."""
+    for seqs in ([0, *range(10**12, 10**12 + 20_000)], [n if n < 10_000 else 10**9 + n * n for n in range(20_000)]):
+        sizes = chunk_sizes(spark, seqs, 1000)
+        assert len(sizes) >= 20 and max(sizes) <= 2000 and sum(sizes) == len(seqs)
+
+
+def test_passes_do_not_grow_with_chunks(spark, monkeypatch):
+    """Partitions that begin one chunk apart, each with a discarded row."""
+    passes = []
+    looked = W._accepted
+    monkeypatch.setattr(W, "_accepted", lambda *a: passes.append(1) or looked(*a))
+    counts = {}
+    for chunks in (4, 12):
+        rows = []
+        for c in range(chunks):
+            for n in range(20):
+                t = 1000 * len(rows)
+                rows.append((t - 10**9, c) if n == 5 and c else (t, c if n > 5 else max(0, c - 1)))
+        passes.clear()
+        assert replay(spark, rows, 2000, 1000, chunks) == by_hand(rows, 2000, 1000)
+        counts[chunks] = len(passes)
+    assert counts[12] <= counts[4] + 1 <= 6
+
+
+def test_firings_of_a_hot_window_in_pieces(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(100_000), 0) for _ in range(400)]
+    df = W.replay(arrivals(spark, rows).withColumn("k", F.when(F.col("seq") % 9 > 0, "hot")).withColumn("v", F.when(F.col("seq") % 7 > 0, F.col("seq"))), "ms", ["seq"], "part", 5_000, 60_000)
+    whole = sorted(map(str, W.fire_lateness(df, "ms", 50_000, ["k"], ["seq"], "v").collect()))
+    assert whole == sorted(map(str, W.fire_lateness(df, "ms", 50_000, ["k"], ["seq"], "v", piece_rows=17).collect())) and len(whole) > 50
+
+
+@pytest.mark.parametrize("cuts", [[40], [1, 2, 90], [30, 60, 61, 100]])
+def test_state_carried_between_batches(spark, cuts):
+    """Whatever the cut into batches, rows are those of one replay."""
+    r = random.Random(len(cuts))
+    lag = [0, 0, 30_000, 90_000]
+    rows = [(1000 * n + r.randrange(-3_000, 3_000) - lag[p], p) for n, p in enumerate(r.randrange(4) for _ in range(120))]
+    df, state, got = arrivals(spark, rows).withColumn("part", F.col("part").cast("string")), None, []
+    for low, high in zip([0, *cuts], [*cuts, 120]):
+        out = W.replay(df.where(f"seq >= {low} and seq < {high}"), "ms", ["seq"], "part", 3000, 2000, chunk_rows=25, state=state)
+        found = out.orderBy("seq").collect()
+        got += [(x["wm"], x["status"]) for x in found]
+        after = W.state_after(out, "ms", "part", state).collect()
+        state = spark.createDataFrame([tuple(x) for x in after], "part string, top long")
+    assert got == by_hand(rows, 3000, 2000)
