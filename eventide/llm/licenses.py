@@ -7,13 +7,16 @@ licence expression after a tag is parsed with operator precedence (with, and, or
 size is that of the expression however many ways it leaves open; it is evaluated to whether permissive licences alone
 satisfy it, and its identifiers become labels. An expression and a notice of one licence give one label (``label``).
 
-An expression reaches as far as its tokens can follow each other and its operands are licences (``LICENCE``); where what
+An expression reaches as far as its tokens can follow each other, to the end of its line or the next tag; where what
 follows an operator looks like no identifier, the operator is taken as prose. It is malformed if it is
-empty, has an unknown identifier or an operator without operand, or its brackets don't match.
-
-The score of a document says how sure its labels are: 0 without evidence, 1 for a well-formed expression
-after a tag, 0.9 for a base phrase, 0.6 for other notice phrases and 0.3 for a malformed expression, the
-highest of those found. Null texts are empty: no words, no labels, score 0. Repeated rows and ids are all
+empty, has an operand that is no identifier by form or an operator without operand, or its brackets don't match. Form is not
+knowledge: a well-formed identifier outside ``LICENCE`` is a label too and is listed as unknown, and never counts as permissive.
+Lists are read: a slash between licences as or, a comma between known ones as and. Fields like "License:" are read where a known licence
+follows, as the words also occur in prose.
+
+The score of a document says how sure its labels are: 0 without evidence, 1 for a well-formed expression of known licences
+after a tag, 0.9 for a base phrase, 0.7 for an expression with unknown licences or written as a list, 0.6 for other notice phrases
+and 0.3 for a malformed expression, the highest of those found. Ties don't occur: labels are a set, in alphabetical order. Null texts are empty: no words, no labels, score 0. Repeated rows and ids are all
 kept; other columns are left aside; an empty table gives an empty result. Time is linear in the text.
 """
 
@@ -64,14 +67,20 @@ NOTICES = {
 }
 VERSION = re.compile(r" (?:version |v)?([0-9]{1,2})(?: ([0-9]{1,2}))?(?= )| (?:(?!version )[^ ]+ ){1,14}version ([0-9]{1,2})(?: ([0-9]{1,2}))?(?= )")
 TAGS = ("spdx-license-identifier:",)
+FIELDS = ("license:", "licence:", "license-expression:")
 # Identifiers of licences in lower case, by families; a licence may also be given by a reference.
 LICENCE = re.compile(
-    r"(?:(?:a|l)?gpl|gfdl)-\d\.\d(?:-only|-or-later|\+)?|(?:apache|mpl|epl|cddl|ofl|ecl|osl|afl|apsl|cpl|ipl|lppl|php|python|psf|zpl|upl|artistic|eupl|odbl|odc-by|pddl|bsl|blueoak|libpng|unicode-dfs|w3c|ms|cecill)-[0-9][0-9.]*[a-z]?(?:-[a-z-]+)?\+?"
-    r"|bsd-[0-4]-clause(?:-[a-z-]+)?|0bsd|cc-by(?:-nc)?(?:-sa|-nd)?-\d\.\d(?:-[a-z]{2,3})?|cc0-1\.0|cc-pddc|mit(?:-0|-[a-z]+)?|isc|zlib|unlicense|wtfpl|x11|ncsa|curl|vim|ruby|postgresql|openssl|hpnd|icu|beerware|libpng|psfl?|w3c|ms-[pr]l|cecill-[bc]|unicode-3\.0|json|ftl|ijg|sleepycat|tcl|fsfap|naist-2003|bzip2-1\.0\.\d"
+    r"(?:(?:a|l)?gpl|gfdl)-\d\.\d(?:-only|-or-later|\+)?|apache-(?:1\.[01]|2\.0)\+?|(?:mpl|epl|cddl|sspl|busl|mulanpsl|elastic|ofl|ecl|osl|afl|apsl|cpl|ipl|lppl|php|python|psf|zpl|upl|artistic|eupl|odbl|odc-by|pddl|bsl|blueoak|libpng|unicode-dfs|w3c|ms|cecill)-[0-9][0-9.]*[a-z]?(?:-[a-z-]+)?\+?"
+    r"|bsd-[0-4]-clause(?:-[a-z-]+)?|0bsd|cc-by(?:-nc)?(?:-sa|-nd)?-\d\.\d(?:-[a-z]{2,3})?|cc0-1\.0|cc-pddc|mit(?:-0|-cmu|-feh|-enna|-wu|-advertising|-festival|-khronos-old|-modern-variant|-open-group|-testregex)?|isc|intel|zlib|unlicense|wtfpl|x11|ncsa|curl|vim|ruby|postgresql|openssl|hpnd|icu|beerware|libpng|psfl?|w3c|ms-[pr]l|cecill-[bc]|unicode-3\.0|json|ftl|ijg|sleepycat|tcl|fsfap|naist-2003|bzip2-1\.0\.\d"
     r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|none|noassertion"
 )
 EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|[a-z0-9.+-]+-note|[a-z0-9.+-]+-linking[a-z0-9.+-]*|additionref-[a-z0-9.-]+")
-PERMISSIVE = re.compile(r"apache|bsd|0bsd|mit|isc|zlib|unlicense|cc0|cc-by-\d|x11|ncsa|curl|postgresql|python|psf|bsl|upl|blueoak|libpng|wtfpl|w3c|icu|ftl|unicode|hpnd|beerware|php|zpl|ijg|tcl")
+#: Whole identifiers of licences that ask for little more than a notice.
+PERMISSIVE = re.compile(
+    r"apache-(?:1\.[01]|2\.0)\+?|bsd-[0-4]-clause(?:-[a-z-]+)?|0bsd|mit(?:-[a-z0-9-]+)?|isc|zlib|unlicense|cc0-1\.0|cc-by-\d\.\d(?:-[a-z]{2,3})?|x11|ncsa|curl|postgresql|python-[0-9.]+|psfl?|psf-[0-9.]+|bsl-1\.0|upl-1\.0"
+    r"|blueoak-1\.0\.0|libpng(?:-2\.0)?|wtfpl|w3c|icu|ftl|unicode-(?:3\.0|dfs-[0-9]+)|hpnd|beerware|php-3\.[0-9]+|zpl-[0-9.]+|ijg|tcl"
+)
+FORM = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.-]*\+?")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[ \t]*+([()]|[a-z0-9.:+-]++|$|.)", re.M)
@@ -87,7 +96,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def tag_automaton() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for tag in TAGS:
+    for tag in (*TAGS, *FIELDS):
         machine.add_word(tag, tag)
     machine.make_automaton()
     return machine
@@ -103,11 +112,13 @@ def label(identifier: str) -> str:
     return m[1] if m else identifier
 
 
-def tokens(text: str, at: int) -> list[str]:
-    """The tokens of the expression in a text in lower case from this place to the end of the line."""
+def tokens(text: str, at: int, stop: int | None = None) -> tuple[list[str], bool]:
+    """The tokens of the expression in a text in lower case from this place to the end of the line or to stop, and whether it is a list."""
     out: list[str] = []
-    depth = 0
-    for m in TOKEN.finditer(text, at):
+    depth, listed, last = 0, "", ""
+    end = text.find("\n", at, len(text) if stop is None else stop)
+    end = (len(text) if stop is None else stop) if end < 0 else end
+    for m in TOKEN.finditer(text, at, end):
         t = m[1].rstrip(".:-") if m[1] not in "()" else m[1]
         operand = bool(out) and out[-1] not in RANK and out[-1] != "("  # what came last
         if t == "(" and not operand:
@@ -116,9 +127,15 @@ def tokens(text: str, at: int) -> list[str]:
             depth -= 1
         elif t in RANK and operand:
             pass
-        elif t and t not in "()" and t not in RANK and not operand and (re.search(r"[0-9a-z]", t)):
+        elif t in ("/", ",") and operand and not depth:
+            listed, last = listed + t, t
+            out.append("or" if t == "/" else "and")
+            continue
+        elif t and t not in "()" and t not in RANK and not operand and re.search(r"[0-9a-z]", t):
             exception = bool(out) and out[-1] == "with"
-            if not (EXCEPTION if exception else LICENCE).fullmatch(t) and out and out[-1] in RANK and not re.search(r"[0-9-]", t):
+            known = (EXCEPTION if exception else LICENCE).fullmatch(t)
+            joined = last in ("/", ",")
+            if not known and out and out[-1] in RANK and (joined or not re.search(r"[0-9-]", t)):
                 out.pop()  # prose
                 break
         else:
@@ -126,7 +143,10 @@ def tokens(text: str, at: int) -> list[str]:
                 out.append(t)
             break  # of prose, or a bracket closed that the text opened before
         out.append(t)
-    return out
+        last = t
+    if out and out[-1] in RANK and (last in ("/", ",") or stop is not None and end == stop):
+        out.pop()  # between two tags, or at the end of a list
+    return out, bool(listed) and any(x in RANK for x in out)
 
 
 def parse(expression: str | list[str]) -> tuple[set[str], list[str], bool]:
@@ -171,7 +191,7 @@ def parse(expression: str | list[str]) -> tuple[set[str], list[str], bool]:
         else:
             sound &= not operand
             exception = bool(stack) and stack[-1] == "with"
-            if (EXCEPTION if exception else LICENCE).fullmatch(t):
+            if (EXCEPTION if exception else FORM).fullmatch(t):
                 if not exception:
                     names.add(t)
             else:
@@ -197,7 +217,7 @@ def permissive(postfix: list[str]) -> bool:
             b, a = values.pop(), values.pop()
             values.append(a or b if t == "or" else a and b if t == "and" else a)
         else:
-            values.append(bool(PERMISSIVE.match(t)))
+            values.append(bool(PERMISSIVE.fullmatch(t) and LICENCE.fullmatch(t)))
     return values[0]
 
 
@@ -247,7 +267,7 @@ class Scanner:
         self.machine, self.tags = automaton(), tag_automaton()
 
     def scan(self, text: str | None) -> tuple:
-        """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive)."""
+        """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive, unknown)."""
         text = text or ""
         words = text.encode().translate(TABLE).split()
         line = f" {b' '.join(words).decode()} "
@@ -273,32 +293,39 @@ class Scanner:
                 labels |= base
                 score = 0.9
         low = text.lower()
-        for end, _ in self.tags.iter(low):
-            names, postfix, sound = parse(tokens(low, end + 1))
-            labels |= {label(n) for n in names}
+        places = [(end + 1 - len(tag), end + 1, tag) for end, tag in self.tags.iter(low)]
+        unknown: set[str] = set()
+        for n, (_, at, tag) in enumerate(places):
+            given, listed = tokens(low, at, places[n + 1][0] if n + 1 < len(places) else None)
+            if tag in FIELDS and not (given and LICENCE.fullmatch(next((t for t in given if t != "("), ""))):
+                continue
+            names, postfix, sound = parse(given)
+            new = {x for x in names if not LICENCE.fullmatch(x)}
+            labels |= {label(x) for x in names}
+            unknown |= new
             shown.append(" ".join(postfix))
-            score = max(score, 1.0 if sound else 0.3)
+            score = max(score, 0.3 if not sound else 0.7 if new or listed else 1.0)
             if sound:
                 free = bool(free) or permissive(postfix)
-        return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(set(shown)), free)
+        return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(set(shown)), free, sorted(unknown))
 
 
 _SCANNER: list[Scanner] = []
-NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive"]
+NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive", "unknown"]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: word and match counts, labels, score, the expressions after tags in postfix order, and
-    whether permissive licences alone satisfy one of them (null where none is well formed)."""
+    whether permissive licences alone satisfy one of them (null where none is well formed), and identifiers that are not known."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not _SCANNER:
             _SCANNER.append(Scanner())
-        cols = list(zip(*(_SCANNER[0].scan(x.as_py()) for x in batch.column(1)))) or [()] * 9
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.bool_()]
+        cols = list(zip(*(_SCANNER[0].scan(x.as_py()) for x in batch.column(1)))) or [()] * 10
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=NAMES)
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean, unknown array<string>"
     return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, schema)
 
 

@@ -378,8 +378,16 @@ def test_license_expressions(text, names, sets, sound):
         ("SPDX-License-Identifier: MIT OR Apache-2.0 and more prose", "apache-2,mit", 1.0),
         ("(SPDX-License-Identifier: MIT)", "mit", 1.0),
         ("<!-- SPDX-License-Identifier: CC-BY-NC-4.0 -->", "cc-by-nc", 1.0),
-        ("SPDX-License-Identifier: MIT OR Frob-1.0", "mit", 0.3),
-        ("SPDX-License-Identifier: Frob", "", 0.3),
+        ("SPDX-License-Identifier: MIT OR Frob-1.0", "frob-1.0,mit", 0.7),
+        ("SPDX-License-Identifier: Frob", "frob", 0.7),
+        ("SPDX-License-Identifier: _x", "", 0.3),
+        ("SPDX-License-Identifier: SSPL-1.0 OR BUSL-1.1 OR MulanPSL-2.0 OR Elastic-2.0 OR Intel", "busl-1.1,elastic-2.0,intel,mulanpsl-2.0,sspl-1.0", 1.0),
+        ("SPDX-License-Identifier: MIT, Apache-2.0", "apache-2,mit", 0.7),
+        ("SPDX-License-Identifier: MIT/Apache-2.0", "apache-2,mit", 0.7),
+        ("SPDX-License-Identifier: MIT, see the file", "mit", 1.0),
+        ("SPDX-License-Identifier: MIT or SPDX-License-Identifier: Zlib", "mit,zlib", 1.0),
+        ("License: MIT", "mit", 1.0),
+        ("this license: see below", "", 0.0),
         ("SPDX-License-Identifier:", "", 0.3),
         ("SPDX-License-Identifier: MIT or or Zlib", "mit", 0.3),
         ("creative commons attribution sharealike", "cc-by-sa", 0.6),
@@ -430,6 +438,35 @@ def test_license_tags_in_linear_time():
     assert time.time() - began < 5
 
 
+def test_license_tags_chained_in_linear_time():
+    import time
+
+    scanner = licenses.Scanner()
+    for line in ("SPDX-License-Identifier:MIT or ", "SPDX-License-Identifier: MIT/", "License: MIT and (", "SPDX-License-Identifier:"):
+        began = time.time()
+        got = scanner.scan(line * 4000)
+        assert time.time() - began < 1 and sum(map(len, got[7])) < 1000
+
+
+def test_unknown_licenses_are_flagged_and_never_permissive():
+    scan = lambda t: licenses.Scanner().scan(f"SPDX-License-Identifier: {t}")[6:]
+    assert scan("MIT-nonsense") == (0.7, ["mit-nonsense"], False, ["mit-nonsense"])
+    assert scan("apache-9.9") == (0.7, ["apache-9.9"], False, ["apache-9.9"])
+    assert scan("apache-9.9 OR MIT") == (0.7, ["apache-9.9 mit or"], True, ["apache-9.9"])
+    assert scan("MIT-0") == (1.0, ["mit-0"], True, [])
+    assert scan("GPL-3.0-only/MIT")[2:] == (True, [])
+
+
+def test_license_labels_and_score_by_hand():
+    """Made-up texts of notices, tags and prose against a plain reading of each line."""
+    r = random.Random(11)
+    parts = [("SPDX-License-Identifier: MIT", {"mit"}, 1.0), ("SPDX-License-Identifier: Zlib OR Apache-2.0", {"zlib", "apache-2"}, 1.0), ("SPDX-License-Identifier: Odd-7", {"odd-7"}, 0.7), ("under the MIT license", {"mit"}, 0.9), ("all rights reserved", {"all-rights-reserved"}, 0.6), ("BSD 3-Clause", {"bsd-3-clause"}, 0.6), ("SPDX-License-Identifier: AND", set(), 0.3), ("plain words of prose", set(), 0.0), ("license: unknown words", set(), 0.0)]
+    for _ in range(150):
+        own = r.choices(parts, k=r.randrange(6))
+        got = licenses.Scanner().scan("\n".join(f"xx {t}\nyy" for t, _, _ in own))
+        assert got[5] == ",".join(sorted(set().union(*(x for _, x, _ in own)))) and got[6] == max([s for _, _, s in own], default=0.0)
+
+
 def test_license_tag():
     got = licenses.Scanner().scan("x\n// SPDX-License-Identifier: (MIT OR GPL-3.0-only)\nmore")
     assert got[5] == "gpl-3.0-only,mit" and got[6] == 1.0 and got[7] == ["mit gpl-3.0-only or"]
