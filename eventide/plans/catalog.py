@@ -7,6 +7,7 @@ Arrival order is made up from event_id, as events come in time order.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,6 +21,7 @@ from ..operators import windows as O
 from ..sources.messages import without_registry_prefix
 from ..sources.shared import fresh_path
 from ..streaming import forms as S
+from ..streaming import stateful as K
 from .tables import Statements, StreamTable, run_pipeline, run_sql, run_statements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,6 +737,35 @@ def stream_outer_join(spark, d):
     return plain(rows, "clicked").join(F.broadcast(closed), F.col("clicked") < F.col("closed")).select("click_id", "buy_id")
 
 
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS closed FROM events WHERE event_type IN ('purchase', 'signup'))
+SELECT a.event_id, a.user_id, b.event_id AS last_signup, b.value AS signup_value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.ts < (SELECT closed FROM m)""")
+def stream_asof(spark, d):
+    """As-of enrichment on a stream, of the time that is closed."""
+    e = event_stream(spark, d)
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    right = e.where("event_type = 'signup'").select("user_id", F.col("at").alias("since"), F.col("event_id").alias("last_signup"), F.col("value").alias("signup_value"))
+    rows = plain(S.run_available(K.as_of_stream(left, right, "user_id", "at", "since", ["last_signup", "signup_value"], "1 hour"), "stream-asof"), "at")
+    closed = events(spark, d).where("event_type in ('purchase', 'signup')").select((F.max("ts") - F.expr("interval 2 hours")).alias("closed"))
+    return rows.join(F.broadcast(closed), F.col("at") < F.col("closed")).drop("at", "closed")
+
+
+@query("SELECT time_bucket(INTERVAL 10 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, true AS partial FROM events GROUP BY ALL")
+def stream_idle_release(spark, d):
+    """A source that falls silent: each key's windows are released one after another, the oldest first, until none is open."""
+    fold = lambda s, b: ((s[0] if s else 0) + len(b),)
+    stream = K.release_oldest(event_stream(spark, d).select("event_type", "at"), "at", ["event_type"], "10 days", "300 milliseconds", fold, "n long", lambda s: {"n": s[0]}, "n long")
+    out = fresh_path(spark, "idle")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(processingTime="300 milliseconds").start()
+    wanted, until = events(spark, d).select("event_type", F.window("ts", "10 days")).distinct().count(), time.time() + 120
+    read = lambda: spark.read.schema(stream.schema).parquet(out)
+    try:
+        while query.isActive and time.time() < until and read().count() < wanted:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    return plain(read(), "window_start")
+
+
 HEADED = {"name": "headed", "fields": [{"name": "header", "type": "struct<at:timestamp>"}, {"name": "event_type", "type": "string"}], "timeAttributes": {"header.at": "`header.at` - INTERVAL '60' SECONDS"}}
 
 
