@@ -197,6 +197,8 @@ class WordEncoder(dict):
             raise ValueError(f"{path}: only BPE with word ends, NFC, lower case and a splitting pattern is built here")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = automaton or Automaton(model["vocab"], merges, model["end_of_word_suffix"])
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word")) or not all(t["content"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens are only built here as they stand in the text")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = list(self.automaton.labels)
         for token, i in self.special.items():
@@ -245,7 +247,7 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, chunks))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.outer is None or "<|" not in text:
+        if not any(token in text for token in self.special):
             return np.frombuffer(self._plain(text), "<u4")
         parts, at = [], 0
         for m in self.outer.finditer(text):

@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version on small fixtures, whole texts included."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -608,6 +609,23 @@ def test_compiled_arcs_are_those_of_the_gadgets():
         assert not {"merges", "cuts", "left", "right", "born"} & set(vars(auto))  # encoding has nothing but tables
 
 
+def test_added_tokens_of_other_forms(tmp_path):
+    """Any added token is found as it stands; files that want more of them are refused."""
+    spec = json.load(open(bpe.tokenizer_path("word_bpe_49k.json"), encoding="utf-8"))
+    spec["added_tokens"][0]["content"] = "[UNK]"
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(spec))
+    lib, mine = Tokenizer.from_file(str(path)), bpe.WordEncoder(str(path), bpe.encoder(bpe.tokenizer_path("word_bpe_49k.json")).automaton)
+    for t in ("hello [UNK] world", "[UNK]", "a[UNK]b <|endoftext|>", "[unk] <|startoftext|>", ""):
+        assert mine.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    for flag in ("normalized", "lstrip", "rstrip", "single_word"):
+        other = json.loads(json.dumps(spec))
+        other["added_tokens"][1][flag] = True
+        path.write_text(json.dumps(other))
+        with pytest.raises(ValueError):
+            bpe.WordEncoder(str(path), mine.automaton)
+
+
 # 9. main text
 
 
