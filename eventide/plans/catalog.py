@@ -18,7 +18,7 @@ from ..functions import messages as M
 from ..functions.time import cumulate, epoch_ms, event_time, from_ms, hop, tumble
 from ..operators import watermark as W
 from ..operators import windows as O
-from ..sources.messages import without_registry_prefix
+from ..sources.messages import topic_envelope, without_registry_prefix
 from ..sources.shared import fresh_path
 from ..streaming import forms as S
 from ..streaming import stateful as K
@@ -146,6 +146,15 @@ def header_enrich(spark, d):
     return out.select("event_id", M.headers_text(F.col("headers")).alias("headers"))
 
 
+@query("SELECT event_id AS seq, user_id % 4 AS partition, 'kind=' || event_type || ';user=' || user_id::VARCHAR AS headers, props AS payload, ts AS event_time, user_id::VARCHAR AS the_key FROM events")
+def topic_envelopes(spark, d):
+    """Messages from a frame of a broker's shape: bytes, and headers as a list in which a repeated name counts last."""
+    header = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").cast("binary").alias("value"))
+    text = lambda c: F.col(c).cast("string").cast("binary")
+    frame = events(spark, d).select(F.col("event_id").alias("offset"), (F.col("user_id") % 4).alias("partition"), F.array(header("kind", F.lit("old")), header("user", F.col("user_id")), header("kind", F.col("event_type"))).alias("headers"), text("props").alias("value"), F.col("ts").alias("timestamp"), text("user_id").alias("key"))
+    return topic_envelope(frame).withColumn("headers", M.headers_text(F.col("headers")))
+
+
 @query("SELECT event_id, upper('user ' || user_id::VARCHAR || ' did ' || event_type || ' at ' || (epoch_us(ts) // 1000)::VARCHAR) AS payload FROM events")
 def inline_transform(spark, d):
     out = M.transform_payload(message_rows(spark, d), "upper(concat('user ', get_json_object(payload, '$.user_id'), ' did ', headers['type'], ' at ', get_json_object(payload, '$.at')))")
@@ -713,6 +722,16 @@ def stream_late_side(spark, d):
     return stream_replayed(spark, d, 1)
 
 
+@query(f"WITH {status_sql(LATENESS)} SELECT event_id, 'eventtime=' || ms::VARCHAR || ';type=' || event_type || coalesce(';watermark=' || wm::VARCHAR, '') AS headers FROM s WHERE status <> 'DISCARDED'")
+def stream_stamped_bridge(spark, d):
+    """A bridge that forwards what isn't discarded, with event time and watermark in the headers."""
+    out = fresh_path(spark, "stamped")
+    stamp = lambda rows: M.stamp(rows.withColumn("headers", F.create_map(F.lit("type"), F.col("event_type"))), eventtime=F.col("ms"), watermark=F.col("wm"))
+    S.write_replayed(arrival_stream(spark, d), "ms", ["seq", "event_id"], "part", DISORDER, LATENESS, "UPSERT", f"{out}/main", f"{out}/side", f"{out}/held", f"{out}/state", stamp=stamp).awaitTermination()
+    rows = spark.read.schema("event_id long, headers map<string,string>").parquet(f"{out}/main")
+    return rows.select("event_id", M.headers_text(F.col("headers")).alias("headers"))
+
+
 def two_streams(spark, d) -> tuple[DataFrame, DataFrame]:
     clicks = event_stream(spark, d).where("event_type = 'click'").select(F.col("user_id").alias("clicker"), F.col("event_id").alias("click_id"), F.col("at").alias("clicked"))
     buys = event_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("buy_id"), F.col("at").alias("bought"))

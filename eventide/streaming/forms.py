@@ -82,13 +82,14 @@ def write_split(stream: DataFrame, tag: Callable[[DataFrame], DataFrame], policy
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_replayed(stream: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int, policy: str, main: str, side: str, state: str, checkpoint: str, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS):
+def write_replayed(stream: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int, policy: str, main: str, side: str, state: str, checkpoint: str, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS, stamp: Callable[[DataFrame], DataFrame] | None = None):
     """Replay arrivals as they stream in: each batch is tagged with watermarks by source partition and split by the late policy.
 
     Batches follow one another in arrival order, rows of a batch by ``order``. After a batch the largest time of each known
     partition is written under ``state``, by batch number; the next one starts from it. So rows are what a replay of all
     arrivals gives, however they are cut into batches, and a batch that is repeated reads the same state and leaves the same files.
-    State has a row for each source partition; that of the batch before last is removed.
+    State has a row for each source partition; that of the batch before last is removed. ``stamp`` may change the tagged rows before they are
+    split, for example to put event time and watermark into their headers.
     """
     spark = stream.sparkSession
 
@@ -97,7 +98,7 @@ def write_replayed(stream: DataFrame, ts: str, order: list[str], partition: str,
         tagged = f"{state}/tagged"
         replay(batch, ts, order, partition, disorder_ms, lateness_ms, watermark, chunk_rows, before).write.mode("overwrite").parquet(tagged)
         rows = spark.read.parquet(tagged)
-        for part, path in zip(split_late(rows, policy), (main, side)):
+        for part, path in zip(split_late(stamp(rows) if stamp else rows, policy), (main, side)):
             part.write.mode("overwrite").parquet(f"{path}/batch={number}")
         state_after(rows, watermark or ts, partition, before).write.mode("overwrite").parquet(f"{state}/batch={number}")
         remove(spark, tagged)

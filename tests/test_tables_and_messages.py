@@ -88,3 +88,27 @@ def test_collected_window_has_the_first_headers(spark):
     df = spark.createDataFrame(rows, "seq int, payload string, headers map<string,string>").selectExpr("*", "timestamp_ntz '2024-01-01 00:00:01' as ts", "'k' as k")
     out = O.collect_windows(df, "ts", "1 minute", ["k"], ["seq"], "payload", "headers").first()
     assert out["payloads"] == ["a", "b"] and out["headers"] == {"content-type": "multipart/json", "x": "1"}
+
+
+def test_what_a_session_writes_goes_with_it(tmp_path):
+    """Tables are in a folder of the session, which release empties and the end of the driver deletes."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+from eventide.sources import shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+import os
+path = shared.fresh_path(spark, "some")
+spark.range(3).write.parquet(path)
+assert len([x for x in os.listdir("{tmp_path}") if x.startswith("session-")]) == 1 and spark.read.parquet(path).count() == 3
+shared.release(spark)
+assert not os.path.exists(path.removeprefix("file://"))
+spark.range(3).write.parquet(shared.fresh_path(spark, "other"))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("session-")]  # Spark makes an empty folder of its own
