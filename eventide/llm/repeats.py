@@ -15,10 +15,12 @@ windows it owns, about (LENGTH - GRAM) / 2 of them, and knows the hash of their
    enough of them repeat, those in an interval whose left sides are all alike say nothing new. An interval
    and its left classes are maximal repeats with all their occurrences (``repeat_groups``), not only
    neighbours in the array. Left sides are sorted once; intervals take their common lengths from a table of range minima.
-3. A fingerprint with more than MEMBERS different hulls is not gathered: its windows are hashed (128 bits) one
-   by one and counted by hash, with partial counts before the shuffle.
+3. A task sorts MEMBERS suffixes of a fingerprint at most. Where there are more, they are divided by ranges of the place of
+   the anchor in the window, of half the size each time: windows with the anchor in lo..hi-1 share lo bytes left of it and
+   length - hi + 1 bytes right of it, so each half is a group of members by one more prefix (128-bit digests), in
+   which all its repeats are found. Members alone in their group are done. After log2(length) steps at most a group shares whole windows.
 
-No step holds a group of unbounded size, and copies collapse into counts before anything is compared.
+Places of one hull in a text at equal steps (a line over and over) are one row. No step holds a group of unbounded size, and copies collapse into counts before anything is compared.
 Texts are bytes in UTF-8, known by their MD5, cut into overlapping segments so that memory doesn't grow with their
 length. Null and short texts have no windows. Rows of one id and text, or without an id, count as places of their own
 and get equal results; other columns are left aside; an empty table gives an empty result.
@@ -135,11 +137,22 @@ def _pack(held, meta):
     return np.frombuffer(b"".join(held), np.uint8), list(ids), bounds, np.array(offset, np.int64)
 
 
-ANCHOR = "fp long, hull long, id binary, pos int, a short, b short"
+ANCHOR = "fp long, hull long, id binary, pos int, a short, b short, step int, times int"
+
+
+def _runs(text: np.ndarray, fp: np.ndarray, hull: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, step, size) of runs of rows: places of one hull in a text at equal steps."""
+    order = np.lexsort((pos, hull, fp, text))
+    one, other = order[:-1], order[1:]
+    gap = np.where((text[one] == text[other]) & (fp[one] == fp[other]) & (hull[one] == hull[other]), pos[other] - pos[one], 0)
+    before = np.concatenate([[0], gap[:-1]])
+    starts = np.flatnonzero(np.concatenate([[True], (gap == 0) | (before != 0) & (gap != before)]))
+    size = np.diff(np.concatenate([starts, [len(order)]]))
+    return order[starts], np.where(size > 1, np.concatenate([gap, [0]])[starts], 0), size
 
 
 def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors of all texts of rows (id, data)."""
+    """Anchors of all texts of rows (id, data), a row for each run of them: ``times`` places, from pos on, ``step`` apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +161,10 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 if not len(text):
                     continue
                 pos = at - bounds[text] + offset[text]
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))], names=["fp", "hull", "id", "pos", "a", "b"])
+                first, step, times = _runs(text, fp, hull, pos)
+                text, fp, hull, pos, least, most = (x[first] for x in (text, fp, hull, pos, least, most))
+                arrays = [pa.array(fp.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(step.astype(np.int32)), pa.array(times.astype(np.int32))], names=["fp", "hull", "id", "pos", "a", "b", "step", "times"])
 
     bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, ANCHOR)
@@ -248,7 +264,7 @@ def _bins(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]
 
 
 SPAN = "id binary, s int, e int"
-AROUND = "fp long, id binary, pos int, a short, b short, single boolean, many boolean, left_side binary, right_side binary"
+MEMBER = "key binary, id binary, pos int, a short, b short, single boolean, lo short, hi short, left_side binary, right_side binary"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -259,21 +275,27 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
     """(id, s, e): spans of repeated bytes of texts (id, data), ids being unique; spans of a text may overlap."""
     found = materialize(anchor_rows(texts, length, gram), "found")
-    shared = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
+    shared = found.groupBy("fp").agg(F.sum("times").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
     # written first, so that the join deals both sides anew and can divide a fingerprint of very many rows
     shared = materialize(shared.select("fp", (F.col("lo") == F.col("hi")).alias("one")), "shared")
     held = materialize(found.join(shared, "fp"), "anchors")
-    whole = lambda df: df.select("id", (F.col("pos") - F.col("b")).alias("s"), (F.col("pos") - F.col("a") + length).alias("e"))
+
+    def whole(runs: DataFrame) -> DataFrame:
+        # a span for each place of a run, or one where they touch
+        at = f"""if(step <= b - a + {length}, array(struct(pos - b AS s, pos - a + {length} + (times - 1) * step AS e)),
+            transform(sequence(0, times - 1), i -> struct(pos - b + i * step AS s, pos - a + {length} + i * step AS e)))"""
+        return runs.select("id", F.inline(F.expr(at)))
+
     done = whole(held.where("one"))
     mixed = held.where("not one")
     # one anchor per hull stands for it
-    hulls = mixed.groupBy("fp", "hull").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "a", "b")).alias("at"))
+    hulls = mixed.groupBy("fp", "hull").agg(F.sum("times").alias("n"), F.min(F.struct("id", "pos", "a", "b")).alias("at"))
     hulls = materialize(hulls, "hulls")
     # by a merge join, in which hulls of very many rows can be divided; a broadcast would leave them as they are dealt
     done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull").hint("merge"), ["fp", "hull"])))
     # where a hull stands alone, it is compared with the others
     groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1").select("fp", "m")
-    wanted = hulls.join(groups, "fp").select("at.id", F.struct("fp", "at.pos", "at.a", "at.b", (F.col("n") == 1).alias("single"), (F.col("m") > members).alias("many")).alias("w"))
+    wanted = hulls.join(groups, "fp").select("at.id", F.struct("fp", "at.pos", "at.a", "at.b", (F.col("n") == 1).alias("single"), "m").alias("w"))
     asked = wanted.groupBy("id").agg(F.collect_list("w").alias("ws"))  # no more than the text has anchors
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,47 +304,56 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
             for text, ws, data in zip(*(c.to_pylist() for c in batch.columns)):
                 for w in ws:
                     p = w["pos"]
-                    out.append((w["fp"], text, p, w["a"], w["b"], w["single"], w["many"], data[p - w["b"] : p][::-1], data[p : p - w["a"] + length]))
+                    key = w["fp"].to_bytes(8, "little", signed=True)
+                    out.append((key, text, p, w["a"], w["b"], w["single"], 0, length - gram + 1, data[p - w["b"] : p][::-1], data[p : p - w["a"] + length], w["m"]))
                     size += 700
                     if size > 8 << 20:
-                        yield _around(out)
+                        yield _members(out, ["m"])
                         out, size = [], 0
             if out:
-                yield _around(out)
-
-    around = materialize(asked.join(texts, "id").select("id", "ws", "data").mapInArrow(cut, AROUND), "around")
+                yield _members(out, ["m"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _bins(batches, 4096):
             out = []
-            for group, size, best in repeat_groups([r[0] for r in rows], [r[7] for r in rows], [r[8] for r in rows], length):
+            number = {key: i for i, key in enumerate(dict.fromkeys(r[0] for r in rows))}
+            for group, size, best in repeat_groups([number[r[0]] for r in rows], [r[6] for r in rows], [r[7] for r in rows], length):
                 for i, left in zip(group, best.tolist()):
-                    _, text, p, a, b, single, _, _, _ = rows[i]
+                    _, text, p, a, b, single, _, _ = rows[i]
                     low, high = max(a, length - size), min(b, left)
                     if single and low <= high:
                         out.append((text, p - high, p - low + length))
             yield _spans(out)
 
-    few = around.where("not many").repartition("fp").sortWithinPartitions("fp")  # MEMBERS rows of a fingerprint at most
-    done = done.unionByName(few.mapInArrow(scan, SPAN))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, text, p, a, b, single, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(left[::-1] + right, np.uint8)
-                at = np.arange(b - a + 1)
-                x, y = (Hashes(data, k).of(at, at + length).view(np.int64) for k in (0, 1))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([text] * n, pa.binary()), pa.array((p - b + at).astype(np.int32)), pa.array([single] * n)], names=["x", "y", "id", "s", "single"])
-
-    single = around.where("many").mapInArrow(windows, "x long, y long, id binary, s int, single boolean")
-    twice = single.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    return done.unionByName(single.where("single").join(twice, ["x", "y"]).select("id", "s", (F.col("s") + length).alias("e")))
-
-
-def _around(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
-    names = ["fp", "id", "pos", "a", "b", "single", "many", "left_side", "right_side"]
+            out = []
+            for key, text, p, a, b, single, lo, hi, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                mid = (lo + hi) // 2
+                if a < mid and b >= lo:
+                    out.append((hashlib.md5(b"r" + key + right[: length - mid + 1]).digest(), text, p, a, b, single, lo, mid, left, right))
+                if b >= mid and a < hi:
+                    out.append((hashlib.md5(b"l" + key + left[:mid]).digest(), text, p, a, b, single, mid, hi, left, right))
+            if out:
+                yield _members(out)
+
+    around = materialize(asked.join(texts, "id").select("id", "ws", "data").mapInArrow(cut, f"{MEMBER}, m long"), "around")
+    while True:  # as often as length - gram + 1 can be halved, at most
+        few = around.where(F.col("m") <= members).select("key", "id", "pos", "a", "b", "single", "left_side", "right_side")
+        done = done.unionByName(few.repartition("key").sortWithinPartitions("key").mapInArrow(scan, SPAN))
+        more = around.where(F.col("m") > members)
+        if more.isEmpty():
+            return done
+        # a range of one place: what its members share is the whole window
+        done = done.unionByName(more.where("single and hi - lo = 1").select("id", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + length).alias("e")))
+        halves = materialize(more.where("hi - lo > 1").drop("m").mapInArrow(halve, MEMBER), "halves")
+        sizes = halves.groupBy("key").agg(F.count("*").alias("m"), F.max("single").alias("asked")).where("m > 1 and asked")
+        around = materialize(halves.join(sizes.select("key", "m"), "key"), "around")
+
+
+def _members(rows: list[tuple], more: list[str] | None = None) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.int16(), pa.int16(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["key", "id", "pos", "a", "b", "single", "lo", "hi", "left_side", "right_side", *(more or [])]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 

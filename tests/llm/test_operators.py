@@ -84,6 +84,26 @@ def test_repeats_of_rows_without_ids_and_of_one_id(spark):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_runs_of_places_at_equal_steps():
+    text, fp = np.array([0, 0, 0, 0, 0, 0, 1, 1, 0]), np.array([5, 5, 5, 5, 5, 5, 5, 5, 9])
+    pos = np.array([10, 20, 30, 40, 47, 60, 70, 80, 15])
+    first, step, size = repeats._runs(text, fp, fp, pos)
+    places = sorted((int(text[f]), int(fp[f]), int(pos[f] + i * s)) for f, s, n in zip(first, step, size) for i in range(n))
+    assert places == sorted(zip(text.tolist(), fp.tolist(), pos.tolist()))
+    assert (0, 5, 10, 10, 4) in {(int(text[f]), int(fp[f]), int(pos[f]), int(s), int(n)) for f, s, n in zip(first, step, size)}
+
+
+@pytest.mark.parametrize("members", [1 << 15, 2])
+def test_repeats_of_lines_over_and_over(spark, members):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    short, long, far = text(25), text(70), text(45)
+    rows = [long * 40 + text(30), text(20) + short * 30 + text(9), "".join(far + text(90) for _ in range(12)), long + text(15) + short * 3, "z" * 500, text(60)]
+    rows += [text(30) + short + text(30) for _ in range(40)]  # one passage under the length, around it always something else
+    got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(frame(spark, rows), 40, 12, members).drop("kept").collect()}
+    assert [got[i] for i in range(len(rows))] == removed_by_hand([t.encode() for t in rows], 40)
+
+
 def test_repeats_over_segment_ends(spark, monkeypatch):
     rows = ["".join(random.Random(7).choice("abc ") for _ in range(3000)) * 2, "q" * 100]
     data = np.frombuffer(rows[0].encode(), np.uint8)
