@@ -40,6 +40,9 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+# What every match of IP holds, and every match of CARD, GROUPS or WIDE; texts without it are spared these.
+DOTTED = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"
+SEVEN = r"[0-9](?:[ ().-]{0,4}+[0-9]){6}"
 # Generators of further candidates.
 TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-)[A-Za-z0-9_/+-]{16,}+"
 GROUPS = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ .-]{0,3}+[0-9](?:[ ().-]?+[0-9]){4,}+|\(?[0-9](?:[ ().-]?+[0-9]){6,}+)[A-Za-z]?+"  # those that end in a letter are dropped
@@ -48,6 +51,7 @@ KEYED = r"""(?i)(?<![a-z])(?:(?:password|passwd|pwd|secret|token|api[_-]?key|acc
 KEYED_VALUE = r"""(?i)^(?:[a-z_-]+["']?\s*[=:]|bearer\s)\s*["']?(.*?)["']?$"""
 SPELLED = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++ ?[\[(] ?at ?[\])] ?[\p{L}0-9-]++(?: ?[\[(] ?dot ?[\])] ?[\p{L}0-9-]++)++"
 MORE = {"secret": (TOKEN,), "value": (KEYED,), "identifier": (GROUPS, WIDE), "spelled": (SPELLED,)}
+DOMAINS = "com|org|net|edu|gov|mil|int|info|io|dev|app|ai|au|br|ca|ch|cn|de|es|eu|fr|in|it|jp|nl|pl|ru|uk|us"  # fixed values: common top-level domains
 BEFORE = 28  # characters before a candidate that features look at
 BLOCK = 256
 PIECE = 256
@@ -69,6 +73,7 @@ FEATURES = {
     "quoted": r"""int(b rlike '["\'=:]\\s*$')""",
     "assigned": r"""int(b rlike '=\\s*["\']?$')""",
     "marked": r"""int(b rlike '["\']$')""",
+    "domain": rf"int(v rlike '(?i)[\\])] ?({DOMAINS})$')",
     "blank": r"int(v rlike '(?i)^(none|null|nil|true|false|yes|no|undefined|[*.x]+|[$%{\\x5B(&].*)$')",
 }
 
@@ -145,8 +150,8 @@ def base_spans(text: Column) -> Column:
     phone_fits = lambda s: F.length(_digits(s["v"])).between(9, 15)
     return F.concat(
         _gated(text.contains("@"), _spans(text, EMAIL, "email")),
-        F.filter(_spans(text, IP, "ip"), ip_fits),
-        F.filter(_spans(text, CARD, "card"), card_fits),
+        _gated(text.rlike(DOTTED), F.filter(_spans(text, IP, "ip"), ip_fits)),
+        _gated(text.rlike(SEVEN), F.filter(_spans(text, CARD, "card"), card_fits)),
         _gated(text.contains("+"), F.filter(_spans(text, PHONE, "phone"), phone_fits)),
     )
 
@@ -165,7 +170,7 @@ def candidates(text: Column) -> Column:
 
     keyed = _gated(text.rlike("(?i)password|passwd|pwd|secret|token|key|auth|bearer"), F.transform(_spans(text, KEYED, "value"), value))
     spelled = _gated(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
-    groups = F.concat(_spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier"))
+    groups = _gated(text.rlike(SEVEN), F.concat(_spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier")))
     return F.concat(_spans(text, TOKEN, "secret"), F.filter(keyed, lambda s: s["end"] > s["start"]), F.filter(groups, lambda s: ~s["v"].rlike("[A-Za-z]$")), spelled)
 
 
@@ -210,7 +215,9 @@ def training_rows(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, str,
         elif what == 12:
             out.append(("spelled", plain, f"{words(1)}.{pick(digit, 2)} [at] {words(1)} [dot] {r.choice(['com', 'org', 'net'])}", 1))
         else:
-            out.append(("spelled", plain, f"{words(1)} (at) {words(1)} (dot) {words(1)}", int(r.random() < 0.5)))
+            # an address ends in a top-level domain; other words in such brackets are none
+            ends = r.random() < 0.5
+            out.append(("spelled", plain, f"{words(1)} (at) {words(1)} (dot) {r.choice(DOMAINS.split('|')) if ends else 'x' + words(1)}", int(ends)))
     plainer = [k for k in keys if k != "Bearer "]
     for _ in range(n // 4):
         plain, what = words(3) + " ", r.randrange(8)
