@@ -40,9 +40,10 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-# What every match of IP holds, and every match of CARD, GROUPS or WIDE; texts without it are spared these.
+# What every match of IP holds, every match of CARD, GROUPS or WIDE, and every match of KEYED; texts without it are spared these.
 DOTTED = r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"
 SEVEN = r"[0-9](?:[ ().-]{0,4}+[0-9]){6}"
+KEYS_END = r"""[dtnyhDTNYH]["']?\s{0,3}[=:]|[Rr][Ee][Rr]\s"""
 # Generators of further candidates.
 TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-)[A-Za-z0-9_/+-]{16,}+"
 GROUPS = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[ .-]{0,3}+[0-9](?:[ ().-]?+[0-9]){4,}+|\(?[0-9](?:[ ().-]?+[0-9]){6,}+)[A-Za-z]?+"  # those that end in a letter are dropped
@@ -168,8 +169,8 @@ def candidates(text: Column) -> Column:
 
         return _let(F.regexp_extract(s["v"], KEYED_VALUE, 1), placed)
 
-    keyed = _gated(text.rlike("(?i)password|passwd|pwd|secret|token|key|auth|bearer"), F.transform(_spans(text, KEYED, "value"), value))
-    spelled = _gated(F.lower(text).rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
+    keyed = _gated(text.rlike(KEYS_END), F.transform(_spans(text, KEYED, "value"), value))
+    spelled = _gated(text.rlike("[\\[(] ?at ?[\\])]"), _spans(text, SPELLED, "spelled"))
     groups = _gated(text.rlike(SEVEN), F.concat(_spans(text, GROUPS, "identifier"), _spans(text, WIDE, "identifier")))
     return F.concat(_spans(text, TOKEN, "secret"), F.filter(keyed, lambda s: s["end"] > s["start"]), F.filter(groups, lambda s: ~s["v"].rlike("[A-Za-z]$")), spelled)
 
