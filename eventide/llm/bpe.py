@@ -70,25 +70,28 @@ class Automaton:
         """Apply a gadget for each merge in order, then merge equal states and equal labels; symbols gets the tokens that merges make."""
         state = {token: n for n, token in enumerate([START, *(t for t, seq in symbols.items() if seq[0] < 256)])}
         column = {token: n for n, token in enumerate(symbols)}
-        width = (len(state) + len(merges) + 7) // 8
-        arcs = np.zeros((len(column) + len(merges), width), np.uint8)  # by label: a bit for each state that has it
-        arcs[: len(column)] = np.packbits(np.arange(8 * width) < len(state), bitorder="little")
+        # by eight states: a byte for each label, a bit for each state that has it; what no state reaches takes no memory
+        arcs = np.zeros(((len(state) + len(merges) + 7) // 8, len(column) + len(merges)), np.uint8)
+        arcs[: (len(state) + 7) // 8, : len(column)] = np.packbits(np.ones(len(state), bool), bitorder="little")[:, None]
         for a, b, c in merges:
             at = state.get(a)
-            if at is None or b not in column or not arcs[column[b], at >> 3] >> (at & 7) & 1:
+            if at is None or b not in column or not arcs[at >> 3, column[b]] >> (at & 7) & 1:
                 continue  # no path a, b is left by the merges before it
             known, column[c] = len(column), len(column)
             symbols[c] = symbols[a] + symbols[b]
             if b in state:
                 old, new = state[b], state.setdefault(c, len(state))
-                arcs[:known, new >> 3] |= (arcs[:known, old >> 3] >> (old & 7) & 1) << (new & 7)
-            arcs[column[b], at >> 3] &= 255 ^ 1 << (at & 7)
-            arcs[column[c]] = arcs[column[a]]
-        arcs = arcs[: len(column), : (len(state) + 7) // 8]
+                arcs[new >> 3, :known] |= (arcs[old >> 3, :known] >> (old & 7) & 1) << (new & 7)
+            arcs[at >> 3, column[b]] &= 255 ^ 1 << (at & 7)
+            used = (len(state) + 7) // 8
+            arcs[:used, known] = arcs[:used, column[a]]
+        arcs = arcs[: (len(state) + 7) // 8, : len(column)]
         sources: dict[bytes, int] = {}
         self.arc_class = [0] * self.size
-        for token, n in column.items():
-            self.arc_class[token] = sources.setdefault(arcs[n].tobytes(), len(sources))
+        names = list(column)
+        for first in range(0, len(names), 1024):
+            for token, row in zip(names[first : first + 1024], np.ascontiguousarray(arcs[:, first : first + 1024].T)):
+                self.arc_class[token] = sources.setdefault(row.tobytes(), len(sources))
         packed = np.frombuffer(b"".join(sources), np.uint8).reshape(len(sources), -1)
         same: dict[bytes, int] = {}
         self.state_class = [0] * (self.size + 1)
