@@ -35,7 +35,6 @@ CHUNK = 1 << 16
 SAMPLE_TEXTS = 1 << 14  # about so many texts are counted for the order of shingles
 COMMON = 1 << 15  # so many of their most common shingles come last in it
 SHARE = 1024  # texts held against one text in a task
-KEYS = 32  # of the rarest shingles of a text of which most shingles are not common
 WORDS = 8  # 64-bit words in the parities of a shingle set
 
 
@@ -150,19 +149,14 @@ def common_shingles(docs: DataFrame, width: int, id_col: str = "doc_id", text_co
 def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a set in an order with common ones last and else by hash, and how many of them are not common.
 
-    Two sets of this similarity share one of the first (1 - similarity) * n + 1. Where more than 2 * (1 - similarity) / similarity
-    of a set is not common (half of it, at 0.8), the first KEYS are enough: of the uncommon shingles in either set at
-    least half are then in both, so with hashes as order each of the first is with that chance, and a pair is missed with a
-    chance under 2 ** -KEYS.
+    Two sets of this similarity share one of the first (1 - similarity) * n + 1.
     """
     weight = np.zeros(len(hashes), np.int64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         weight = np.where(keys[at] == hashes, counts[at], 0)
-    size, rare = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1, int((weight == 0).sum())
-    if similarity * rare > 2 * (1 - similarity) * len(hashes):
-        size = min(size, KEYS)
-    return hashes[np.lexsort((hashes, weight))[:size]], min(size, rare)
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, weight))[:size]], min(size, int((weight == 0).sum()))
 
 
 def _parities(hashes: np.ndarray) -> np.ndarray:

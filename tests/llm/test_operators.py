@@ -256,6 +256,20 @@ def test_similar_texts(spark, few):
     assert components_by_hand(len(rows), got) == components_by_hand(len(rows), want)
 
 
+def test_prefixes_of_similar_sets_always_meet():
+    """Sets of a similarity of just 0.8, chosen so that they share as little of their order's beginning as can be, still share a key of their prefixes."""
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in (1, 4, 5, 9, 36, 900, 9000):
+        values = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        spare = n // 9  # of each set only: n - spare shared of n + spare
+        a, b = np.r_[values[:spare], values[2 * spare : n + spare]], values[spare : n + spare]
+        shared = len(np.intersect1d(a, b))
+        assert shared >= 0.8 * (len(a) + len(b) - shared)
+        one, two = (simhash._rare(x, 0.8, *none) for x in (a, b))
+        assert np.intersect1d(one[0], two[0]).size and one[1] == len(one[0])
+
+
 def test_recall_of_similar_texts(spark):
     """Texts whose id is divisible by 20 against all rows: every similar pair is in one component."""
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
