@@ -7,12 +7,13 @@ The scan in arrival order is cut into chunks of about CHUNK_ROWS rows by quantil
 are, so no task orders the whole stream: each partition's largest times in the chunks before give what a chunk starts from, and
 within a chunk rows stream by in order. Any number of source partitions will do: their state is a row each per chunk.
 
-Where partitions begin in earlier chunks is found by a fixpoint. Each is first taken to begin with its first row; a pass
-then finds the first row of each that is not DISCARDED under the beginnings of the others so far. Earlier beginnings only
-lower watermarks, so beginnings only move on, to the one solution there is: a row's status depends on rows before it alone.
-Summaries of chunks (the least watermark, each partition's largest time) say which chunks can hold such rows, and only those are
-scanned. Usually every partition begins with its first row and one pass over the chunks of these confirms it; else it takes as many more as
-beginnings depend on one another across chunks, however many chunks there are.
+Where partitions begin in earlier chunks is found by a fixpoint. Each is first taken to begin with its first row; a pass then scans
+each chunk from what it knows under the beginnings so far, and the first row in it that is not DISCARDED of each partition that it doesn't
+know gives the next beginnings. A chunk whose scan finds the beginnings it was taken to have leaves the next one's start right,
+so a pass makes at least one more chunk right for good, and beginnings that a pass leaves as they were are the ones there are. However
+many rows of a chunk are DISCARDED before a partition begins and however partitions there depend on one another, that is one pass.
+Summaries (the least time a chunk starts from, each partition's largest time in it) rule out chunks in which none begins, and only others are
+scanned. Usually a pass finds the beginnings and one more confirms them.
 
 On a stream the state after a batch is a row for each known partition, its largest time: what the next batch starts from.
 """
@@ -58,17 +59,10 @@ class _Tops:
             self.at[part] = at
             heappush(self.heap, (at, id(part), part))
 
-    def least(self, without=None, leave_out: bool = False):
+    def least(self):
         while self.heap and self.at[self.heap[0][2]] != self.heap[0][0]:
             heappop(self.heap)
-        if not self.heap:
-            return None
-        if leave_out and self.heap[0][2] == without:
-            first = heappop(self.heap)
-            found = self.least()
-            heappush(self.heap, first)
-            return found
-        return self.heap[0][0]
+        return self.heap[0][0] if self.heap else None
 
 
 def _in_order(rows: DataFrame, first: DataFrame) -> DataFrame:
@@ -112,83 +106,74 @@ def _scan(rows: DataFrame, starts: DataFrame, late: int, lateness_ms: int) -> Da
     return both.mapInArrow(run, T.StructType([*fields, T.StructField("wm", T.LongType()), T.StructField("status", T.StringType())]))
 
 
-def _accepted(timed: DataFrame, starts: DataFrame, begin: DataFrame, late: int, lateness_ms: int) -> DataFrame:
-    """(_chunk, _part, _o, _at): in each chunk the first row of each partition, from where it is taken to begin, that is not DISCARDED under the others."""
+def _accepted(timed: DataFrame, starts: DataFrame, late: int, lateness_ms: int) -> DataFrame:
+    """(_chunk, _part, _o, _at, _top): in each chunk the first row that is not DISCARDED of each partition that it doesn't start from, and that one's largest time by the chunk's end."""
     kinds = timed.schema
-    none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
-    known = starts.select("_chunk", "_part", "_at", none("_o"), F.lit(0).alias("_kind"), F.lit(0).alias("_mark"))
-    # a mark where a partition is taken to begin, just before that row
-    marks = begin.select(F.col("_in").alias("_chunk"), F.col("_from_part").alias("_part"), F.col("_from_at").alias("_at"), F.col("_from").alias("_o"), F.lit(1).alias("_kind"), F.lit(0).alias("_mark"))
-    both = _in_order(timed.select("_chunk", "_part", "_at", "_o", F.lit(1).alias("_kind"), F.lit(1).alias("_mark")), known.unionByName(marks))
+    first = starts.select("_chunk", "_part", "_at", F.lit(None).cast(kinds["_o"].dataType).alias("_o"), F.lit(0).alias("_kind"), F.lit(0).alias("_mark"))
+    both = _in_order(timed.select("_chunk", "_part", "_at", "_o", F.lit(1).alias("_kind"), F.lit(0).alias("_mark")), first)
+    given = ["_chunk", "_part", "_o", "_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, tops, done = None, _Tops(), set()
+        chunk, tops, new = None, _Tops(), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for part, row in new:
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([tops.at[part]], pa.int64())], names=[*given, "_top"])
+
         for batch in batches:
-            found = []
-            for n, (c, part, at, kind, mark) in enumerate(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_chunk", "_part", "_at", "_kind", "_mark")))):
+            for n, (c, part, at, kind) in enumerate(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_chunk", "_part", "_at", "_kind")))):
                 if c != chunk:
-                    chunk, tops, done = c, _Tops(), set()
-                if not kind or not mark:
-                    tops.add(part, at)
-                elif part in tops.at:  # rows before its beginning were ruled out by an earlier pass
-                    if part not in done:
-                        least = tops.least(part, True)
-                        if least is None or least - late - lateness_ms <= at:
-                            done.add(part)
-                            found.append(n)
-                    tops.add(part, at)
-            yield batch.select(["_chunk", "_part", "_o", "_at"]).take(pa.array(found, pa.int64()))
+                    yield from done()
+                    chunk, tops, new = c, _Tops(), []
+                if kind and part not in tops.at:
+                    least = tops.least()
+                    if least is not None and least - late - lateness_ms > at:
+                        continue
+                    new.append((part, batch.select(given).take(pa.array([n]))))
+                tops.add(part, at)  # a DISCARDED row of a known partition is below its largest time
+        yield from done()
 
-    return both.mapInArrow(run, timed.select("_chunk", "_part", "_o", "_at").schema)
+    fields = [T.StructField(c, kinds[c].dataType) for c in given]
+    return both.mapInArrow(run, T.StructType([*fields, T.StructField("_top", T.LongType())]))
 
 
-def _starts(timed: DataFrame, begin: DataFrame, initial: DataFrame, last: int) -> DataFrame:
+def _starts(begin: DataFrame, initial: DataFrame, largest: DataFrame, last: int) -> DataFrame:
     """(_chunk, _part, _at): what each chunk knows of the partitions that begin before it."""
-    counted = timed.join(begin, timed["_part"].eqNullSafe(begin["_from_part"])).where("_o >= _from")
-    again = timed.join(initial, timed["_part"].eqNullSafe(initial["_known"])).select("_part", "_chunk", timed["_at"])
+    own = begin.select(F.col("_from_part").alias("_part"), F.col("_in").alias("_chunk"), F.col("_top").alias("_at"))
+    since = largest.join(begin, largest["_part"].eqNullSafe(begin["_from_part"])).where("_chunk > _in").select("_part", "_chunk", F.col("_largest").alias("_at"))
+    again = largest.join(initial, largest["_part"].eqNullSafe(initial["_known"])).select("_part", "_chunk", F.col("_largest").alias("_at"))
     held = initial.select(F.col("_known").alias("_part"), F.lit(-1).cast("long").alias("_chunk"), F.col("_top").alias("_at"))
-    tops = counted.select("_part", "_chunk", "_at").unionByName(again).unionByName(held).groupBy("_part", "_chunk").agg(F.max("_at").alias("_at"))
+    tops = own.unionByName(since).unionByName(again).unionByName(held)
     by = Window.partitionBy("_part").orderBy("_chunk")
     tops = tops.withColumn("_next", F.lead("_chunk", 1, last).over(by)).withColumn("_at", F.max("_at").over(by))
     return tops.where("_next > _chunk").select(F.explode(F.sequence(F.col("_chunk") + 1, F.col("_next"))).alias("_chunk"), "_part", "_at")
 
 
-def _possible(starts: DataFrame, begin: DataFrame, largest: DataFrame, late: int, lateness_ms: int) -> DataFrame:
-    """(_chunk): where, by summaries, a partition that is taken to begin then or earlier can have a row that is not DISCARDED under the others.
+def _possible(starts: DataFrame, largest: DataFrame, late: int, lateness_ms: int) -> DataFrame:
+    """(_chunk): where, by summaries, a partition can begin. The first to begin in a chunk is held against no less than what the chunk starts from."""
+    least = starts.groupBy("_chunk").agg(F.min("_at").alias("_least"))
+    known = starts.select(F.col("_chunk").alias("_c"), F.col("_part").alias("_p"))
+    unknown = largest.join(known, (F.col("_chunk") == F.col("_c")) & F.col("_part").eqNullSafe(F.col("_p")), "left_anti").join(least, "_chunk", "left")
+    return unknown.where(F.col("_least").isNull() | (F.col("_least") - late - lateness_ms <= F.col("_largest"))).select("_chunk").distinct()
 
-    No watermark in a chunk is below the least it starts from or that a beginning within it brings.
-    """
-    lows = starts.select("_chunk", "_part", "_at").unionByName(begin.select(F.col("_in").alias("_chunk"), F.col("_from_part").alias("_part"), F.col("_from_at").alias("_at")))
-    two = lows.withColumn("_k", F.row_number().over(Window.partitionBy("_chunk").orderBy("_at", "_part"))).where("_k <= 2")
-    two = two.groupBy("_chunk").agg(F.min(F.struct("_k", "_part", "_at")).alias("_one"), F.max(F.when(F.col("_k") == 2, F.col("_at"))).alias("_two"))
-    held = largest.join(begin.select("_from_part", "_in"), largest["_part"].eqNullSafe(F.col("_from_part"))).where("_chunk >= _in").join(two, "_chunk", "left")
-    other = F.when(F.col("_one._part").eqNullSafe(F.col("_part")), F.col("_two")).otherwise(F.col("_one._at"))
-    return held.where(other.isNull() | (other - late - lateness_ms <= F.col("_largest"))).select("_chunk").distinct()
-
-
-def _beginnings(timed: DataFrame, initial: DataFrame, last: int, late: int, lateness_ms: int) -> DataFrame:
-    """(_from_part, _from, _from_at, _in): the row, its time and chunk with which each partition not known before begins."""
-    new = timed.join(initial, timed["_part"].eqNullSafe(initial["_known"]), "left_anti")
-    largest = _written(new.groupBy("_part", "_chunk").agg(F.max("_at").alias("_largest")), "largest")
-    first = lambda rows: rows.groupBy("_part").agg(F.min(F.struct("_o", "_at", "_chunk")).alias("_b")).select(F.col("_part").alias("_from_part"), F.col("_b._o").alias("_from"), F.col("_b._at").alias("_from_at"), F.col("_b._chunk").alias("_in"))
-    begin = _written(first(new), "begin")
+
+def _beginnings(timed: DataFrame, initial: DataFrame, last: int, late: int, lateness_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Where partitions not known before begin, (_from_part, _from, _in, _top): row, chunk and largest time by its end; and what each chunk starts from."""
+    largest = _written(timed.groupBy("_part", "_chunk").agg(F.max("_at").alias("_largest"), F.min("_o").alias("_o")), "largest")
+    first = lambda rows: rows.groupBy("_part").agg(F.min(F.struct("_o", "_chunk", "_top")).alias("_b")).select(F.col("_part").alias("_from_part"), F.col("_b._o").alias("_from"), F.col("_b._chunk").alias("_in"), F.col("_b._top").alias("_top"))
+    new = largest.join(initial.select("_known"), largest["_part"].eqNullSafe(F.col("_known")), "left_anti")
+    begin = _written(first(new.withColumnRenamed("_largest", "_top")), "begin")
     state = lambda b: b.agg(F.count("*"), F.sum(F.xxhash64("_from_part", "_from").cast("decimal(38,0)"))).first()
-    was, where = state(begin), begin.select(F.col("_in").alias("_chunk")).distinct()
+    was = state(begin)
     while True:
-        starts = _starts(timed, begin, initial, last)
-        looked = _accepted(timed.join(where, "_chunk", "left_semi"), starts.join(where, "_chunk", "left_semi"), begin.join(where.withColumnRenamed("_chunk", "_in"), "_in", "left_semi"), late, lateness_ms)
-        found = _written(first(looked.join(begin.select("_from_part"), F.col("_part").eqNullSafe(F.col("_from_part"))).drop("_from_part")), "begin")
-        now = state(found)
+        starts = _written(_starts(begin, initial, largest, last), "starts")
+        where = _possible(starts, largest, late, lateness_ms)
+        looked = _accepted(timed.join(where, "_chunk", "left_semi"), starts.join(where, "_chunk", "left_semi"), late, lateness_ms)
+        begin = _written(first(looked), "begin")
+        now = state(begin)
         if now == was:
-            return found
-        if where is not None and now[0] < was[0]:
-            # some partition has no such row where its first one is: look wherever there may be one, before it is taken away
-            where = _written(_possible(_starts(timed, begin, initial, last), begin, largest, late, lateness_ms), "possible")
-            looked = _accepted(timed.join(where, "_chunk", "left_semi"), starts.join(where, "_chunk", "left_semi"), begin.join(where.withColumnRenamed("_chunk", "_in"), "_in", "left_semi"), late, lateness_ms)
-            found = _written(first(looked.join(begin.select("_from_part"), F.col("_part").eqNullSafe(F.col("_from_part"))).drop("_from_part")), "begin")
-            now = state(found)
-        begin, was = found, now
-        where = _written(_possible(_starts(timed, begin, initial, last), begin, largest, late, lateness_ms), "possible")
+            return begin, starts
+        was = now
 
 
 def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms: int, lateness_ms: int = 0, watermark: str | None = None, chunk_rows: int = CHUNK_ROWS, state: DataFrame | None = None) -> DataFrame:
@@ -208,8 +193,7 @@ def replay(df: DataFrame, ts: str, order: list[str], partition: str, disorder_ms
     if total <= chunk_rows:
         return _scan(rows, initial.select(F.lit(0).cast("long").alias("_chunk"), F.col("_known").alias("_part"), F.col("_top").alias("_at")), late, lateness_ms)
     last = -(-total // chunk_rows) - 1
-    begin = _beginnings(timed, initial, last, late, lateness_ms)
-    return _scan(rows, _starts(timed, begin, initial, last), late, lateness_ms)
+    return _scan(rows, _beginnings(timed, initial, last, late, lateness_ms)[1], late, lateness_ms)
 
 
 def state_after(replayed: DataFrame, time: str, partition: str, state: DataFrame | None = None) -> DataFrame:

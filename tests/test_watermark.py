@@ -160,6 +160,23 @@ def test_passes_do_not_grow_with_chunks(spark, monkeypatch):
     assert counts[12] <= counts[4] + 1 <= 6
 
 
+def test_passes_do_not_grow_with_discarded_rows(spark, monkeypatch):
+    """Partitions that wait for one another in a chunk: each row of theirs is DISCARDED under the first one until time catches up."""
+    passes = []
+    looked = W._accepted
+    monkeypatch.setattr(W, "_accepted", lambda *a: passes.append(1) or looked(*a))
+    rows = [(100_000, 0), *((1000 * n, 1 + n % 3) for n in range(240))]
+    assert replay(spark, rows, 0, 10_000, 2) == by_hand(rows, 0, 10_000)
+    assert len(passes) <= 3
+
+
+def test_row_discarded_before_its_partition_begins_does_not_count(spark):
+    """Partition 1 has a DISCARDED row with a larger time than the one it begins with, under which partition 3 begins."""
+    rows = [(80_000, 0), (50_000, 1), (61_000, 2), (45_000, 1), (27_000, 3), (90_000, 0), (91_000, 2), (92_000, 1), (30_000, 0), (5_000, 4), (95_000, 3), (70_000, 4)]
+    for chunks in (3, 6):
+        assert replay(spark, rows, 19_999, 0, chunks) == by_hand(rows, 19_999, 0)
+
+
 def test_firings_of_a_hot_window_in_pieces(spark):
     r = random.Random(5)
     rows = [(r.randrange(100_000), 0) for _ in range(400)]
