@@ -356,13 +356,28 @@ def udf_release_headers(spark, d):
 
 @query(f"SELECT date_trunc('day', ts) AS window_start, count(*) AS n, sum({CENTS})::BIGINT AS total, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def udf_merging_fold(spark, d):
-    """A user's fold of one key a day that has all rows: folded where they are read, states merged."""
+    """A user's fold of days that have all rows: folded where they are read, states merged.
 
-    def add(state, record: dict):
-        return state[0] + 1, state[1] + record["score"], state[2] | {record["user_id"]}
-
-    rows = scored(events(spark, d)).select("ts", "user_id", "score", F.lit("all").alias("key"))
-    return O.fold_merging(rows, "ts", "1 day", ["key"], lambda: (0, 0, frozenset()), add, lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] | b[2]), lambda g, s: [{"window_start": g["window_start"], "n": s[0], "total": s[1], "users": len(s[2])}], "window_start timestamp_ntz, n long, total long, users long")
+    A first fold is of each day and share of the users, so that no state holds all users of a day; the second adds shares up.
+    """
+    plus = lambda a, b: b if a is None else a if b is None else a + b
+
+    def add(state: list, record: dict) -> list:
+        state[0] += 1
+        state[1] = plus(state[1], record["score"])
+        if record["user_id"] is not None:
+            state[2].add(record["user_id"])
+        return state
+
+    def merge(a: list, b: list) -> list:
+        a[2].update(b[2])
+        return [a[0] + b[0], plus(a[1], b[1]), a[2]]
+
+    sums = "n long, total long, users long"
+    rows = scored(events(spark, d)).select("ts", "user_id", "score", F.pmod(F.xxhash64("user_id"), F.lit(64)).alias("share"))
+    shares = O.fold_merging(rows, "ts", "1 day", ["share"], lambda: [0, None, set()], add, merge, lambda g, s: [{"ts": g["window_start"], "n": s[0], "total": s[1], "users": len(s[2])}], f"ts timestamp_ntz, {sums}")
+    both = lambda a, b: (a[0] + b[0], plus(a[1], b[1]), a[2] + b[2])
+    return O.fold_merging(shares.withColumn("key", F.lit("all")), "ts", "1 day", ["key"], lambda: (0, None, 0), lambda s, r: both(s, (r["n"], r["total"], r["users"])), both, lambda g, s: [{"window_start": g["window_start"], "n": s[0], "total": s[1], "users": s[2]}], f"window_start timestamp_ntz, {sums}")
 
 
 @query("SELECT event_id, '[' || event_type || ']' AS payloads FROM events")
