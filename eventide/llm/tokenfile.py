@@ -54,9 +54,13 @@ class _Words(dict):
     def __init__(self, model):
         super().__init__()
         self.model, self.table = model, {i: ord(c) for i, c in enumerate(byte_symbols())}
+        self.space = chr(self.table[32])
 
     def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.table)
+        if word.isascii():  # printable by PLAIN, so all but the space stand for themselves
+            shown = word.replace(" ", self.space)
+        else:
+            shown = word.encode().decode("latin-1").translate(self.table)
         value = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= CACHE:
             self.clear()

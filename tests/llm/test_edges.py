@@ -149,3 +149,17 @@ def test_odd_rows_have_defined_values(spark, odd):
     assert len(of("op8_bpe_automaton", 1)) == 2 and len({r["ids_sha256"] for r in of("op8_bpe_automaton", 1) + of("op8_bpe_automaton", 7)}) == 1
     assert all((r["spans"], r["n_email"], r["base_sha256"]) == ("", 0, hashlib.sha256(b"").hexdigest()) for i in (2, 3) for r in of("op10_pii", i))
     assert queries.queries()["op4_decontamination"](spark, odd).count() == 0
+
+
+def test_ascii_words_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from eventide.llm.tokenfile import ByteEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    signs = "".join(map(chr, range(33, 127)))
+    texts = [signs, " ".join(signs), f"a{signs} b\n{signs[::-1]}", *(f"x{c} {c}y é{c}\n{c}" for c in signs)]
+    mine, whole = ByteEncoder(path), Tokenizer.from_file(path)
+    for t in texts:
+        assert [int.from_bytes(b, "little") for b in (mine.encode(t)[i : i + 4] for i in range(0, len(mine.encode(t)), 4))] == whole.encode(t, add_special_tokens=False).ids
