@@ -294,7 +294,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
     # by a merge join, in which hulls of very many rows can be divided; a broadcast would leave them as they are dealt
     done = done.unionByName(whole(mixed.join(hulls.where("n > 1").select("fp", "hull").hint("merge"), ["fp", "hull"])))
     # where a hull stands alone, it is compared with the others
-    groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1").select("fp", "m")
+    groups = hulls.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("alone")).where("alone = 1")
+    # written first as well: a fingerprint of very many hulls can be divided
+    groups = materialize(groups.select("fp", "m"), "groups")
     wanted = hulls.join(groups, "fp").select("at.id", F.struct("fp", "at.pos", "at.a", "at.b", (F.col("n") == 1).alias("single"), "m").alias("w"))
     asked = wanted.groupBy("id").agg(F.collect_list("w").alias("ws"))  # no more than the text has anchors
 
@@ -348,7 +350,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
         done = done.unionByName(more.where("single and hi - lo = 1").select("id", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + length).alias("e")))
         halves = materialize(more.where("hi - lo > 1").drop("m").mapInArrow(halve, MEMBER), "halves")
         sizes = halves.groupBy("key").agg(F.count("*").alias("m"), F.max("single").alias("asked")).where("m > 1 and asked")
-        around = materialize(halves.join(sizes.select("key", "m"), "key"), "around")
+        around = materialize(halves.join(materialize(sizes.select("key", "m"), "sizes"), "key"), "around")
 
 
 def _members(rows: list[tuple], more: list[str] | None = None) -> pa.RecordBatch:

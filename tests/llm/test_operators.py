@@ -104,6 +104,41 @@ def test_repeats_of_lines_over_and_over(spark, members):
     assert [got[i] for i in range(len(rows))] == removed_by_hand([t.encode() for t in rows], 40)
 
 
+def test_hulls_of_one_fingerprint_can_be_divided(spark, monkeypatch):
+    r = random.Random(17)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage = text(38), text(60)
+    # one passage under the length, around it always something else: a fingerprint of as many hulls as texts
+    rows = [text(30) + line + text(30) for _ in range(1500)] + [text(20) + passage + text(20) for _ in range(5)]
+    plans, write = [], repeats.materialize
+
+    def watched(df, tag, *more):
+        if tag == "around":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(repeats, "materialize", watched)
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(frame(spark, rows), 40, 12, 100).drop("kept").collect()}
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert [got[i] for i in range(len(rows))] == removed_by_hand([t.encode() for t in rows], 40)
+    joins = [re.findall(r"SortMergeJoin(\(skew=true\))? \[(fp|key)#", plan.split("Initial Plan")[0]) for plan in plans]
+    assert len(joins) > 1 and all(split for found in joins[:2] for split, _ in found) and [k for found in joins[:2] for _, k in found] == ["fp", "key"]
+
+
 def test_repeats_over_segment_ends(spark, monkeypatch):
     rows = ["".join(random.Random(7).choice("abc ") for _ in range(3000)) * 2, "q" * 100]
     data = np.frombuffer(rows[0].encode(), np.uint8)
