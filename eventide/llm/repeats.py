@@ -20,6 +20,9 @@ windows it owns, about (LENGTH - GRAM) / 2 of them, and knows the hash of their
    length - hi + 1 bytes right of it, so each half is a group of members by one more prefix (128-bit digests), in
    which all its repeats are found. Members alone in their group are done. After log2(length) steps at most a group shares whole windows.
 
+Passages of some number of words are found likewise in rows of 32-bit codes of words, a code for a byte (``coded``): they
+may be shorter than LENGTH bytes and differ in white space.
+
 Places of one hull in a text at equal steps (a line over and over) are one row. No step holds a group of unbounded size, and copies collapse into counts before anything is compared.
 Texts are bytes in UTF-8, known by their MD5, cut into overlapping segments so that memory doesn't grow with their
 length. Null and short texts have no windows. Rows of one id and text, or without an id, count as places of their own
@@ -37,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, few_ids, materialize
+from .common import bounded_batches, few_ids, materialize, scratch
 
 LENGTH = 400
 GRAM = 128
 MEMBERS = 1 << 15
 SEGMENT = 1 << 19
+WORDS = 51
+WORD_GRAM = 16
+SPACES = b" \t\n\v\f\r"
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,12 +70,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes, from one pass."""
+    """Hashes of all substrings of some bytes or codes, from one pass."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         table, up, self.down = _powers(which, 1 << max(10, (len(data)).bit_length()))
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(table[data] * up[: len(data)])])
+            values = table[data] if data.dtype == np.uint8 else _mix((data.astype(np.uint64) + np.uint64(1)) * M1 + np.uint64(which))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[: len(data)])])
 
     def of(self, start, end) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -112,29 +119,69 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return text[first], at, least, most, grams[at], hashes.of(at - most, at - least + length)
 
 
-def _segments(ids, texts, length: int) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
-    """Texts packed together up to SEGMENT bytes; longer ones in pieces that overlap by a window less a byte."""
+def word_codes(texts: list[bytes | None]) -> list[bytes]:
+    """The words of each text as 32-bit codes in a row; words are what stands between ASCII white space."""
+    out, held, size = [], [], 0
+    for x in texts:
+        data = x or b""
+        if held and size + len(data) >= SEGMENT:
+            out += _codes(held)
+            held, size = [], 0
+        if len(data) >= SEGMENT:
+            out.append(b"".join(_long_codes(data)))
+        else:
+            held.append(data)
+            size += len(data) + 1
+    return out + _codes(held)
+
+
+def _codes(texts: list[bytes]) -> list[bytes]:
+    if not any(texts):
+        return [b""] * len(texts)
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    inside = ~np.isin(data, np.frombuffer(SPACES, np.uint8))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    codes = Hashes(data).of(start, end).astype(np.uint32)
+    cuts = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+    return [codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _long_codes(data: bytes) -> Iterator[bytes]:
+    """Those of a text in pieces cut at white space; words of SEGMENT bytes or more have a digest's."""
+    a = 0
+    while len(data) - a >= SEGMENT:
+        cut = max(data.rfind(x, a, a + SEGMENT) for x in SPACES)
+        if cut < 0:
+            cut = min((x for x in (data.find(x, a + SEGMENT) for x in SPACES) if x >= 0), default=len(data))
+            yield hashlib.md5(data[a:cut]).digest()[:4]
+        else:
+            yield from _codes([data[a:cut]])
+        a = cut + 1
+    yield from _codes([data[a:]])
+
+
+def _segments(ids, texts, length: int, unit: int = 1) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    """Texts packed together up to SEGMENT bytes (or codes of unit bytes); longer ones in pieces that overlap by a window less a byte."""
     held, meta, size = [], [], 0
     for text, x in zip(ids, texts):
         data = x or b""
-        if len(data) < length:
-            continue
-        for a in range(0, len(data) - length + 1, SEGMENT):
-            piece = data[a : a + SEGMENT + length - 1]
-            if size and size + len(piece) > SEGMENT:
-                yield _pack(held, meta)
+        for a in range(0, len(data) // unit - length + 1, SEGMENT):
+            piece = data[a * unit : (a + SEGMENT + length - 1) * unit]
+            if size and size + len(piece) // unit > SEGMENT:
+                yield _pack(held, meta, unit)
                 held, meta, size = [], [], 0
             held.append(piece)
             meta.append((text, a))
-            size += len(piece)
+            size += len(piece) // unit
     if held:
-        yield _pack(held, meta)
+        yield _pack(held, meta, unit)
 
 
-def _pack(held, meta):
-    bounds = np.cumsum([0, *map(len, held)])
+def _pack(held, meta, unit):
+    bounds = np.cumsum([0, *(len(x) // unit for x in held)])
     ids, offset = zip(*meta)
-    return np.frombuffer(b"".join(held), np.uint8), list(ids), bounds, np.array(offset, np.int64)
+    return np.frombuffer(b"".join(held), np.uint8 if unit == 1 else np.uint32), list(ids), bounds, np.array(offset, np.int64)
 
 
 ANCHOR = "fp long, hull long, id binary, pos int, a short, b short, step int, times int"
@@ -151,12 +198,14 @@ def _runs(text: np.ndarray, fp: np.ndarray, hull: np.ndarray, pos: np.ndarray) -
     return order[starts], np.where(size > 1, np.concatenate([gap, [0]])[starts], 0), size
 
 
-def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def anchor_rows(rows: DataFrame, length: int, gram: int, coded: bool = False) -> DataFrame:
     """Anchors of all texts of rows (id, data), a row for each run of them: ``times`` places, from pos on, ``step`` apart."""
+    unit = 4 if coded else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, ids, bounds, offset in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            texts = batch.column(1).to_pylist()
+            for data, ids, bounds, offset in _segments(batch.column(0).to_pylist(), word_codes(texts) if coded else texts, length, unit):
                 text, at, least, most, fp, hull = anchors(data, bounds, length, gram)
                 if not len(text):
                     continue
@@ -272,13 +321,18 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.binary(), pa.int32(), pa.int32()])], names=["id", "s", "e"])
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(id, s, e): spans of repeated bytes of texts (id, data), ids being unique; spans of a text may overlap."""
-    found = materialize(anchor_rows(texts, length, gram), "found")
-    shared = found.groupBy("fp").agg(F.sum("times").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
-    # written first, so that the join deals both sides anew and can divide a fingerprint of very many rows
-    shared = materialize(shared.select("fp", (F.col("lo") == F.col("hi")).alias("one")), "shared")
-    held = materialize(found.join(shared, "fp"), "anchors")
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, coded: bool = False) -> DataFrame:
+    """(id, s, e): spans of repeated bytes of texts (id, data), ids being unique; spans of a text may overlap.
+
+    coded: of words, in which all numbers count then.
+    """
+    unit = 4 if coded else 1
+    with scratch(texts.sparkSession):
+        found = materialize(anchor_rows(texts, length, gram, coded), "found")
+        shared = found.groupBy("fp").agg(F.sum("times").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi")).where("n > 1")
+        # written first, so that the join deals both sides anew and can divide a fingerprint of very many rows
+        shared = materialize(shared.select("fp", (F.col("lo") == F.col("hi")).alias("one")), "shared")
+        held = materialize(found.join(shared, "fp"), "anchors", True)
 
     def whole(runs: DataFrame) -> DataFrame:
         # a span for each place of a run, or one where they touch
@@ -303,11 +357,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for text, ws, data in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, asked_of, texts = (c.to_pylist() for c in batch.columns)
+            for text, ws, data in zip(ids, asked_of, word_codes(texts) if coded else texts):
                 for w in ws:
                     p = w["pos"]
                     key = w["fp"].to_bytes(8, "little", signed=True)
-                    out.append((key, text, p, w["a"], w["b"], w["single"], 0, length - gram + 1, data[p - w["b"] : p][::-1], data[p : p - w["a"] + length], w["m"]))
+                    left, right = data[(p - w["b"]) * unit : p * unit][::-1], data[p * unit : (p - w["a"] + length) * unit]
+                    out.append((key, text, p, w["a"], w["b"], w["single"], 0, length - gram + 1, left, right, w["m"]))
                     size += 700
                     if size > 8 << 20:
                         yield _members(out, ["m"])
@@ -319,10 +375,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
         for rows in _bins(batches, 4096):
             out = []
             number = {key: i for i, key in enumerate(dict.fromkeys(r[0] for r in rows))}
-            for group, size, best in repeat_groups([number[r[0]] for r in rows], [r[6] for r in rows], [r[7] for r in rows], length):
+            for group, size, best in repeat_groups([number[r[0]] for r in rows], [r[6] for r in rows], [r[7] for r in rows], length * unit):
                 for i, left in zip(group, best.tolist()):
                     _, text, p, a, b, single, _, _ = rows[i]
-                    low, high = max(a, length - size), min(b, left)
+                    low, high = max(a, length - size // unit), min(b, left // unit)
                     if single and low <= high:
                         out.append((text, p - high, p - low + length))
             yield _spans(out)
@@ -333,9 +389,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mem
             for key, text, p, a, b, single, lo, hi, left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 mid = (lo + hi) // 2
                 if a < mid and b >= lo:
-                    out.append((hashlib.md5(b"r" + key + right[: length - mid + 1]).digest(), text, p, a, b, single, lo, mid, left, right))
+                    out.append((hashlib.md5(b"r" + key + right[: (length - mid + 1) * unit]).digest(), text, p, a, b, single, lo, mid, left, right))
                 if b >= mid and a < hi:
-                    out.append((hashlib.md5(b"l" + key + left[:mid]).digest(), text, p, a, b, single, mid, hi, left, right))
+                    out.append((hashlib.md5(b"l" + key + left[: mid * unit]).digest(), text, p, a, b, single, mid, hi, left, right))
             if out:
                 yield _members(out)
 
@@ -370,34 +426,54 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept is what is left, as bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, word_gram: int = WORD_GRAM) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept is what is left, as bytes.
+
+    words: n_repeat_words comes before kept, the number of words in runs of so many words that also start anywhere else.
+    """
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.unhex(F.md5(data)).alias("id"), data.alias("data"))
-    long = rows.where(F.octet_length("data") >= length)
-    copied = few_ids(materialize(long.groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n > 1").select("id", "doc"), "copied"))
+    size, least = F.octet_length("data"), min(length, 2 * words - 1) if words else length
+    copied = few_ids(materialize(rows.where(size >= least).groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n > 1").select("id", "doc"), "copied"))
     alone = rows.join(copied.select("id"), "id", "left_anti")
     # one copy of each copied text: those of its smallest id, and of these any
     stand_in = rows.join(copied.withColumnRenamed("doc", "least"), "id").where("doc <=> least").select("id", "data").dropDuplicates(["id"])
-    spans = repeated_spans(alone.where(F.octet_length("data") >= length).select("id", "data").unionByName(stand_in), length, gram, members)
-    spans = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))  # no more than the text has anchors
+    texts = alone.where(size >= least).select("id", "data").unionByName(stand_in)
+    spans = repeated_spans(texts.where(size >= length), length, gram, members).withColumn("word", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeated_spans(texts, words, word_gram, members, coded=True).withColumn("word", F.lit(True)))
+    spans = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "e", "word"))).alias("spans"))  # no more than the text has anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, data, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                gone = merged([(x["s"], x["e"]) for x in spans or []])
+                gone = merged([(x["s"], x["e"]) for x in spans or [] if not x["word"]])
                 kept = b"".join(data[a:b] for (_, a), (b, _) in zip([(0, 0), *gone], [*gone, (len(data), 0)]))
-                out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    short = rows.where(F.octet_length("data") < length).select("doc", "data", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
-    left = alone.where(F.octet_length("data") >= length).join(spans, "id", "left").select("doc", "data", "spans").unionByName(short).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    size, none = F.octet_length("data").cast("long"), F.lit(b"")
-    gone = rows.join(copied.select("id"), "id", "left_semi").select(F.col("doc").alias("doc_id"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(none, 256).alias("kept_sha256"), none.alias("kept"))
-    return left.unionByName(gone)
+                again = sum(e - s for s, e in merged([(x["s"], x["e"]) for x in spans or [] if x["word"]]))
+                out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), again, kept))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "kept"])
+
+    short = rows.where(size < least).select("doc", "data", F.lit(None).cast("array<struct<s:int,e:int,word:boolean>>").alias("spans"))
+    left = alone.where(size >= least).join(spans, "id", "left").select("doc", "data", "spans").unionByName(short)
+    left = left.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long, kept binary")
+    # copies: all of their words repeat, and their bytes if there are enough
+    whole, n = size >= length, F.expr(r"regexp_count(cast(data AS string), r'[^\x20\x09-\x0D]+')")
+    kept = F.when(whole, F.lit(b"")).otherwise(F.col("data"))
+    gone = rows.join(copied.select("id"), "id", "left_semi").select(
+        F.col("doc").alias("doc_id"),
+        size.cast("long").alias("n_bytes"),
+        F.when(whole, size).otherwise(0).cast("long").alias("n_removed"),
+        whole.cast("long").alias("n_spans"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+        F.when(n >= (words or 0), n).otherwise(0).cast("long").alias("n_repeat_words"),
+        kept.alias("kept"),
+    )
+    out = left.unionByName(gone)
+    return out if words else out.drop("n_repeat_words")
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=WORDS).drop("kept")

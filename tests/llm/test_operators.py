@@ -139,6 +139,46 @@ def test_hulls_of_one_fingerprint_can_be_divided(spark, monkeypatch):
     assert len(joins) > 1 and all(split for found in joins[:2] for split, _ in found) and [k for found in joins[:2] for _, k in found] == ["fp", "key"]
 
 
+def words_by_hand(texts, n):
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    seen = Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+    return [len({j for i in range(len(t) - n + 1) if seen[tuple(t[i : i + n])] > 1 for j in range(i, i + n)}) for t in texts]
+
+
+@pytest.mark.parametrize("word_gram,members", [(3, 1 << 15), (2, 3), (5, 1)])
+def test_words_of_repeated_passages(spark, word_gram, members):
+    r = random.Random(23)
+    text = lambda n: "".join(r.choice(["a", "bé", "cd", "ace", "f"]) + r.choice([" ", " ", "\n", " \t", "\u00a0"]) for _ in range(n))
+    line, passage = text(7), text(9)
+    rows = repeat_fixture() + [text(r.randint(4, 60)) for _ in range(60)] + [line, line, line.replace(" ", "\n\n"), " " + text(3), " ", passage * 2, "the " * 30, "x"]
+    rows += [text(8) + line + text(8) for _ in range(30)] + [text(4) + passage.replace("\n", "  ") + text(5) for _ in range(5)]
+    got = {x["doc_id"]: x for x in repeats.remove_repeats(frame(spark, rows), 40, 12, members, words=7, word_gram=word_gram).drop("kept").collect()}
+    data = [(t or "").encode() for t in rows]
+    assert [tuple(got[i])[1:5] for i in range(len(rows))] == removed_by_hand(data, 40)
+    assert [got[i]["n_repeat_words"] for i in range(len(rows))] == words_by_hand(data, 7)
+
+
+def test_passages_of_over_50_words_under_400_bytes(spark, tmp_path):
+    r = random.Random(29)
+    words = lambda n: [f"{r.randrange(10**5):05d}" for _ in range(n)]
+    passage, less = words(51), words(50)
+    rows = [" ".join(words(40) + passage + words(40)), "\n".join(words(90) + passage), " ".join(less + words(60)), " ".join(words(60) + less), " ".join(words(200)), None]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.queries()["op1_repeats"](spark, str(tmp_path)).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_repeat_words"]) for i in range(6)] == [(0, 51), (0, 51), (0, 0), (0, 0), (0, 0), (0, 0)]
+
+
+def test_codes_of_words_in_pieces(monkeypatch):
+    r = random.Random(31)
+    texts = ["".join(r.choice("ab \n") for _ in range(r.choice([0, 3, 60, 400]))).encode() for _ in range(200)] + [b" " * 300, b"a" * 64, b"a" * 63 + b" ", b" " + b"a" * 64 + b"  b", None, b"a" * 200 + b" " + b"a" * 64]
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    got = [np.frombuffer(x, np.uint32).tolist() for x in repeats.word_codes(texts)]
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t or b"") for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in words]
+    code = {}
+    assert all(code.setdefault(w, c) == c for ws, cs in zip(words, got) for w, c in zip(ws, cs)) and len(set(code.values())) == len(code)
+
+
 def test_repeats_over_segment_ends(spark, monkeypatch):
     rows = ["".join(random.Random(7).choice("abc ") for _ in range(3000)) * 2, "q" * 100]
     data = np.frombuffer(rows[0].encode(), np.uint8)
