@@ -16,22 +16,41 @@ from ..sources.shared import fresh_path, remove, shared_dir  # noqa: F401
 _SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
+#: Spark's switch that deletes a query's shuffle files as it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables materialized within are removed at its end; what is needed later is materialized with keep."""
-    folder = fresh_path(spark, "scratch")
+def scratch(spark: SparkSession, shuffles: bool = False) -> Iterator[str]:
+    """Tables materialized within are removed at its end; what is needed later is materialized with keep.
+
+    shuffles: the files of shuffles within go with each query.
+    """
+    folder, cleanup = fresh_path(spark, "scratch"), spark.conf.get(CLEANUP, "false")
     before = _SCRATCH.set(folder)
+    if shuffles:
+        spark.conf.set(CLEANUP, "true")
     try:
-        yield
+        yield folder
     finally:
+        if shuffles:
+            spark.conf.set(CLEANUP, cleanup)
         _SCRATCH.reset(before)
         remove(spark, folder)
 
 
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later uses neither recompute nor lose it."""
+def around() -> str | bool:
+    """For materialize's keep: the folder of the scratch that is open now, or True."""
+    return _SCRATCH.get() or True
+
+
+def materialize(df: DataFrame, tag: str, keep: bool | str = False) -> DataFrame:
+    """Write df once to the shared folder and read it back, so that later uses neither recompute nor lose it.
+
+    keep: not to the folder of the scratch that is open, but to the session's, or to the folder named.
+    """
     spark = df.sparkSession
-    folder = None if keep else _SCRATCH.get()
+    folder = keep if isinstance(keep, str) else None if keep else _SCRATCH.get()
     path = f"{folder}/{tag}-{uuid.uuid4().hex}" if folder else fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected, few_ids, map_arrow, materialize, scratch
+from .common import around, bounded_batches, connected, few_ids, map_arrow, materialize, scratch
 
 SEED = 42
 GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))  # of the 32 two-bit segments
@@ -35,7 +36,10 @@ CHUNK = 1 << 16
 SAMPLE_TEXTS = 1 << 14  # about so many texts are counted for the order of shingles
 COMMON = 1 << 15  # so many of their most common shingles come last in it
 SHARE = 1024  # texts held against one text in a task
-WORDS = 8  # 64-bit words in the parities of a shingle set
+WORDS = 8  # 64-bit words in the parities of a shingle set; long texts have more besides
+KEYS = 1 << 24  # about so many shingles of prefixes meet at once, or more if that takes over PIECES turns
+PIECES = 8
+MOVED = 1 << 30  # so many bytes of texts are compared at once, or as many as the texts have themselves
 
 
 def _hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -159,20 +163,35 @@ def _rare(hashes: np.ndarray, similarity: float, keys: np.ndarray, counts: np.nd
     return hashes[np.lexsort((hashes, weight))[:size]], min(size, int((weight == 0).sum()))
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * WORDS classes of shingles whether the set has an odd number: two sets differ in as many shingles at least as in bits."""
-    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+def _parities(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each of 64 * words classes of shingles whether the set has an odd number: two sets differ in as many shingles at least as in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-SKETCH = "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n_rare int, size int, bits array<long>"
+def _wide(hashes: np.ndarray) -> np.ndarray | None:
+    """Parities in classes enough for a set that has more shingles than WORDS tell apart: bits of chance differ by half, which has to be more than the similarity leaves."""
+    words = WORDS
+    while 4 * 64 * words < 3 * len(hashes):
+        words *= 2
+    return _parities(hashes, words) if words > WORDS else None
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two sets' parities differ; those of more classes are first folded to as many as the other has."""
+    n = min(len(x), len(y))
+    odd = np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))
+    return int(np.bitwise_count(odd.view(np.uint64)).sum())  # of signed ones it would count absolute values
+
+
+SKETCH = "doc_id long, same binary, fp long, lanes array<long>, rare array<long>, n_rare int, size int, bits array<long>, wide array<long>"
 
 
 def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp, lanes, rare, n_rare, size, bits) of each text with a word.
+    """(doc_id, same, fp, lanes, rare, n_rare, size, bits, wide) of each text with a word.
 
     A digest of its words, its fingerprint, those of its samples, its rarest shingles and how many of them are not
-    common as ``_rare`` gives them, how many different shingles it has, and their parities.
+    common as ``_rare`` gives them, how many different shingles it has, their parities, and those of more classes for long texts.
     """
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, id_col, text_col))  # COMMON values at most
 
@@ -185,12 +204,12 @@ def sketches(docs: DataFrame, width: int, lanes: int, similarity: float, id_col:
             hashes = _hashes(words, width)
             fp, hashes = _majority(hashes), np.unique(hashes)
             rare, n_rare = _rare(hashes, similarity, *held.value)
-            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fp, _lanes(hashes, lanes), rare.view(np.int64), n_rare, len(hashes), _parities(hashes)))
-        cols = list(zip(*rows)) or [()] * 8
+            rows.append((doc, xxhash.xxh3_128_digest(b" ".join(words)), fp, _lanes(hashes, lanes), rare.view(np.int64), n_rare, len(hashes), _parities(hashes), _wide(hashes)))
+        cols = list(zip(*rows)) or [()] * 9
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         longs = pa.list_(pa.int64())
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32()), pa.array(list(cols[7]), longs)]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n_rare", "size", "bits"])
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(signed(cols[2])), pa.array([signed(x).tolist() for x in cols[3]], longs), pa.array(list(cols[4]), longs), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32()), pa.array(list(cols[7]), longs), pa.array(list(cols[8]), longs)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "fp", "lanes", "rare", "n_rare", "size", "bits", "wide"])
 
     return map_arrow(docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text")), run, SKETCH)
 
@@ -206,17 +225,50 @@ def _shingled(text: str, width: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) >= width else frozenset([tuple(words)])
 
 
-def apart(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v), u > v, of texts (doc_id, rare, n_rare, size, bits) in different components of labels that could have the similarity.
+def _still_alike(pairs: DataFrame, at: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of which some texts' wide parities leave room for the similarity, or aren't there."""
+    sets = at.select("doc_id", "size", "wide")
+    both = pairs.join(sets.alias("a"), F.col("u") == F.col("a.doc_id")).join(sets.alias("b"), F.col("v") == F.col("b.doc_id"))
+    both = both.select("u", "v", F.col("a.size") + F.col("b.size"), "a.wide", "b.wide")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        (x, x_at), (y, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[3:])
+        for i, size in enumerate(batch.column(2).to_pylist()):
+            a, b = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+            keep.append(not len(a) or not len(b) or _differ(a, b) <= (1 - similarity) / (1 + similarity) * size + 1e-6)
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both.toDF("u", "v", "sizes", "x", "y"), run, "u long, v long").distinct()
+
+
+def apart(at: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v), u > v, of texts (doc_id, rare, n_rare, size, bits, wide, part) in different components, part, that could have the similarity.
 
     Texts of this similarity share one of their rarest shingles, and the first they share leaves enough after it
     in both; in the smaller text it is even among the first (1 - s) / (1 + s) of its shingles. And their parities differ in
-    few bits. Shingles within one component only are dropped first; common ones, known from the sample, never meet there, so
-    no task gets a hot one. Where many texts share a shingle, those of its largest component are not held against each other.
+    few bits; of long texts, which meet by chance the more the more texts there are, only the wide ones tell. Shingles within one
+    component only are dropped first; common ones, known from the sample, never meet there, so no task gets a hot one. Where many
+    texts share a shingle, those of its largest component are not held against each other.
+
+    Shingles meet in up to PIECES turns, each with its share of them, so that only one share's tables and shuffles are on disk.
     """
-    at = texts.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "rare", "n_rare", "bits", F.coalesce("component", "doc_id").alias("part"))
-    at = materialize(at, "at")
+    home = around()
+    total = at.agg(F.sum((1 - similarity) * F.col("size") + 1)).first()[0] or 0
+    pieces = max(1, min(PIECES, math.ceil(total / KEYS)))
+    found = []
+    for piece in range(pieces):
+        with scratch(at.sparkSession):
+            met = _meeting(at, piece, pieces, similarity)
+            found.append(materialize(_still_alike(met, at, similarity), "found", home))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _meeting(at: DataFrame, piece: int, pieces: int, similarity: float) -> DataFrame:
+    """The pairs that meet in a piece's share of the shingles and that the parities of all texts don't rule out."""
     keys = at.select("doc_id", "part", "n_rare", F.posexplode("rare").alias("pos", "key"))
+    if pieces > 1:
+        keys = keys.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == piece)
     keys = keys.select("doc_id", "part", "pos", "key", F.when(F.col("pos") >= F.col("n_rare"), F.col("doc_id")).alias("spread"))
     together = Window.partitionBy("key", "spread")
     mixed = keys.withColumn("lo", F.min("part").over(together)).withColumn("hi", F.max("part").over(together)).where("lo < hi or spread is not null")
@@ -228,24 +280,17 @@ def apart(texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     fits = F.expr(f"""a.key = b.key and a.part <> b.part and (b.size < a.size or b.size = a.size and b.doc_id < a.doc_id)
         and least(a.size - a.pos, b.size - b.pos) + 1e-6 >= {similarity!r}D / (1 + {similarity!r}D) * (a.size + b.size) and {_alike(similarity)}""")
     meet = lambda a, b: a.alias("a").join(b.alias("b"), fits).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v"))
-    return meet(met.where("not top"), first).unionByName(meet(met.where("top"), first.where("not top"))).where("u <> v").distinct()
+    pairs = meet(met.where("not top"), first).unionByName(meet(met.where("top"), first.where("not top"))).where("u <> v").distinct()
+    return materialize(pairs, "meeting")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of the pairs (u, v) of which some texts have the similarity, compared word by word.
+    """Those of the pairs (u, v) of which some texts have the similarity, compared word by word, as a written table.
 
     Only texts in a pair are moved. A pair's text u is held against that of v as texts stream by, sorted with v
     first; of a v in many pairs these are dealt over tasks by about SHARE, so v's text is not copied for each of them.
+    Pairs whose texts have more bytes than MOVED and than all these texts once are compared in turns, each of about so many.
     """
-    need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "need")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie"))
-    texts = materialize(texts.join(few_ids(need), "id", "left_semi").where("t is not null").dropDuplicates(["id", "tie"]), "texts")
-    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    asked = pairs.join(shares, "v").join(texts.select(F.col("id").alias("v"), "tie"), "v").select("u", "v", "tie", F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"))
-    asked = materialize(asked, "asked")
-    first = asked.select("v", "tie", "share").distinct().join(texts.withColumnRenamed("id", "v"), ["v", "tie"]).select("v", "tie", "share", F.lit(None).cast("long").alias("u"), "t")
-    others = asked.join(texts.select(F.col("id").alias("u"), "t"), "u").select("v", "tie", "share", "u", "t")
-    both = first.unionByName(others).repartition("v", "tie", "share").sortWithinPartitions("v", "tie", "share", "u")  # nulls first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, known = None, frozenset()
@@ -263,13 +308,29 @@ def compared(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, i
                     keep[1].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in keep], names=["u", "v"])
 
+    home, found = around(), []
     bounded_batches(docs.sparkSession)
-    return both.mapInArrow(run, "u long, v long")
-
-
-def _linked(docs: DataFrame, width: int, similarity: float, lanes: int, few: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The edges of the first pass, their components, and the edges of the second pass."""
-    prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, similarity, id_col, text_col), "sketches")
+    with scratch(docs.sparkSession):
+        need = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "need")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie"), F.octet_length(text_col).cast("long").alias("bytes"))
+        texts = materialize(texts.join(few_ids(need), "id", "left_semi").where("t is not null").dropDuplicates(["id", "tie"]), "texts")
+        shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+        asked = pairs.join(shares, "v").join(texts.select(F.col("id").alias("v"), "tie"), "v").select("u", "v", "tie", F.pmod(F.xxhash64("u"), F.col("shares")).alias("share"))
+        asked = materialize(asked, "asked")
+        moved = asked.groupBy("u").count().join(texts.select(F.col("id").alias("u"), "bytes"), "u").agg(F.sum(F.col("count") * F.col("bytes"))).first()[0] or 0
+        held = texts.agg(F.sum("bytes")).first()[0] or 0
+        turns = max(1, math.ceil(moved / max(MOVED, held)))
+        for turn in range(turns):
+            now = asked if turns == 1 else asked.where(F.pmod(F.xxhash64("u", "v"), F.lit(turns)) == turn)
+            first = now.select("v", "tie", "share").distinct().join(texts.withColumnRenamed("id", "v"), ["v", "tie"]).select("v", "tie", "share", F.lit(None).cast("long").alias("u"), "t")
+            others = now.join(texts.select(F.col("id").alias("u"), "t"), "u").select("v", "tie", "share", "u", "t")
+            both = first.unionByName(others).repartition("v", "tie", "share").sortWithinPartitions("v", "tie", "share", "u")  # nulls first
+            found.append(materialize(both.mapInArrow(run, "u long, v long"), "alike", home))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _first_pass(prints: DataFrame, docs: DataFrame, width: int, similarity: float, few: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of the first pass over sketches, and the texts that are no copies of others."""
     # written first, so that the join deals both sides anew and can divide a text of very many copies
     first = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "first")
     named = materialize(prints.select("doc_id", "same", "fp", "lanes").join(first, "same").drop("same"), "named")
@@ -290,11 +351,28 @@ def _linked(docs: DataFrame, width: int, similarity: float, lanes: int, few: int
     sized = prints.select("doc_id", "size", "bits")
     alike = pairs.join(sized.alias("a"), F.col("u") == F.col("a.doc_id")).join(sized.alias("b"), F.col("v") == F.col("b.doc_id")).where(_alike(similarity))
     pairs = materialize(alike.select("u", "v").distinct(), "pairs")
-    edges = materialize(compared(pairs, docs, width, similarity, id_col, text_col).unionByName(copies).distinct(), "edges")
-    labels = materialize(connected(edges), "labels")
-    shown = prints.select("doc_id", "rare", "n_rare", "size", "bits").join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
-    rest = materialize(apart(shown, labels, similarity), "rest")
-    return edges, labels, compared(rest, docs, width, similarity, id_col, text_col).distinct()
+    edges = compared(pairs, docs, width, similarity, id_col, text_col).unionByName(copies).distinct()
+    return edges, alone
+
+
+def _linked(docs: DataFrame, width: int, similarity: float, lanes: int, few: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges of the first pass, their components, and the edges of the second pass.
+
+    What only one step reads is removed after it, as sketches and prefixes each take nearly half as much as the texts.
+    """
+    spark, home = docs.sparkSession, around()
+    with scratch(spark, shuffles=True) as both:
+        with scratch(spark) as second:
+            with scratch(spark):
+                prints = materialize(sketches(docs.where(F.col(id_col).isNotNull()), width, lanes, similarity, id_col, text_col), "sketches")
+                edges, alone = _first_pass(prints, docs, width, similarity, few, id_col, text_col)
+                edges = materialize(edges, "edges", home)
+                labels = materialize(connected(edges), "labels", home)
+                shown = prints.select("doc_id", "rare", "n_rare", "size", "bits", "wide").join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
+                at = shown.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).drop("node", "component")
+                at = materialize(at, "at", second)
+            rest = materialize(apart(at, similarity), "rest", both)
+        return edges, labels, materialize(compared(rest, docs, width, similarity, id_col, text_col).distinct(), "linked", home)
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 12, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +397,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     All columns stay. Texts without a word and rows without an id are in no group. Of rows with equal id and text
     one stays; rows with one id and different texts are one document and go or stay together.
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession, shuffles=True):
         _, labels, rest = _linked(docs, width, similarity, 12, 16, id_col, text_col)
         # the components so far are stars, so few steps are left
         groups = connected(labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
